@@ -146,9 +146,9 @@ def tag_regions(df: DataFrame, region_terms=config.REGION_TERMS, default=config.
     return df.withColumn("is_related", F.get("region_tags", F.lit(0)) != default)
 
 
-def resolve_regions(df: DataFrame, regions: DataFrame, themes: DataFrame, entities: DataFrame, parent: str,
+def resolve_regions(df: DataFrame, regions: DataFrame, themes: DataFrame, entities: DataFrame, parent: str | None = None,
                     id_col="id") -> DataFrame:
-    """``(id, region_id)``: by tag, mention in the text, theme, and entity; the parent is added to all.
+    """``(id, region_id)``: by tag, mention in the text, theme, and entity; a parent region is added to all.
 
     regions(term, region_id) · themes(term, region_id) · entities(entity_id, region_ids).
     Tags are part of the searched text, so one search finds tags and mentions alike.
@@ -164,9 +164,11 @@ def resolve_regions(df: DataFrame, regions: DataFrame, themes: DataFrame, entiti
         docs = docs.withColumn("_found", terms.keep((r.region_id, F.contains(F.col("_full"), F.lit(r.term))) for r in rows))
     of_entity = entities.select("entity_id", "region_ids")
     linked = docs.select(id_col, "_found", F.explode_outer("entity_ids").alias("entity_id")).join(of_entity, "entity_id", "left")
-    own = F.filter(F.coalesce("region_ids", terms.strings([])), lambda r: r != parent)
+    own = F.coalesce("region_ids", terms.strings([]))
+    if parent is not None:
+        own = F.filter(own, lambda r: r != parent)
     all_ids = linked.select(id_col, F.array_union("_found", own).alias("_ids")).filter(F.size("_ids") > 0)
-    return all_ids.select(id_col, F.explode(F.array_union("_ids", terms.strings([parent]))).alias("region_id")).distinct()
+    return all_ids.select(id_col, F.explode(F.array_union("_ids", terms.strings([parent] if parent else []))).alias("region_id")).distinct()
 
 
 def category(lower, hints):

@@ -115,9 +115,9 @@ def heads_of(versions):
     return versions.groupBy("news_id").agg(F.max("version_id").alias("current_version_id"), F.min("source").alias("source"))
 
 
-@query("qa7_deletion_preview", f"""WITH {ASSESSED}, {HEADS}, n AS (SELECT news_id, count(*) AS n_versions FROM ver GROUP BY 1)
-SELECT '仅匹配' || len(v.core) || '个核心关键词和' || len(v.ents) || '个实体名称，不满足最低要求' AS relevance_reason, count(*) AS heads, CAST(sum(n.n_versions) AS BIGINT) AS versions
-FROM heads h JOIN ver v ON h.current_version_id = v.version_id JOIN n ON n.news_id = h.news_id WHERE NOT v.relevant GROUP BY 1""")
+@query("qa7_deletion_preview", f"""WITH {ASSESSED}, {HEADS}, nv AS (SELECT news_id, count(*) AS n_versions FROM ver GROUP BY 1)
+SELECT '仅匹配' || len(v.core) || '个核心关键词和' || len(v.ents) || '个实体名称，不满足最低要求' AS relevance_reason, count(*) AS heads, CAST(sum(nv.n_versions) AS BIGINT) AS versions
+FROM heads h JOIN ver v ON h.current_version_id = v.version_id JOIN nv ON nv.news_id = h.news_id WHERE NOT v.relevant GROUP BY 1""")
 def deletion_preview(spark, d):
     vers = assessed(spark, d).select("news_id", "version_id", "source", "relevant", "relevance_reason")
     return audit.deletion_preview(heads_of(vers), vers)
