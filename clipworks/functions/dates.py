@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions.text import clean, col_of
+from clipworks.functions.text import clean, col_of, let
 
 # The date shapes recognised, in precedence order.
 NUMERIC = r"(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})(?:[日\sT]+(\d{1,2})(?::(\d{1,2}))?)?"
@@ -47,18 +47,20 @@ def _digits(text: Column) -> Column:
 
 def _named_month(shape: Column) -> Column:
     """Local time of ``Mon d yyyy [clock]`` text."""
-    half = shape.rlike("(?i)[ap]m$")
-    clocked = F.when(shape.endswith(" "), F.concat(shape, F.lit("00:00"))).otherwise(shape)
-    return F.coalesce(
-        F.try_to_timestamp(F.when(half, shape), F.lit("MMM d yyyy h:mm a")),
-        F.try_to_timestamp(F.when(~half, clocked), F.lit("MMM d yyyy HH:mm")),
-    ).cast("timestamp_ntz")
+    padded = F.regexp_replace(shape, r"^(\w+ \d+ \d+) $", "$1 00:00")
+
+    def read(t):
+        form = F.when(t.rlike("(?i)[ap]m$"), "MMM d yyyy h:mm a").otherwise("MMM d yyyy HH:mm")
+        return F.when(t.isNotNull(), F.try_to_timestamp(t, form).cast("timestamp_ntz"))
+
+    return let(padded, read)
 
 
 def _english(text: Column) -> Column:
     spare = F.regexp_replace(text, r"(?i)\b(?:at|updated|published|posted)\b", " ")
     norm = F.trim(F.regexp_replace(spare, r"\s+", " "))
-    return _named_month(F.coalesce(_found(norm, MONTH_FIRST, "$1 $2 $3 $4"), _found(norm, DAY_FIRST, "$2 $1 $3 $4")))
+    return let(norm, lambda n: _named_month(
+        F.coalesce(_found(n, MONTH_FIRST, "$1 $2 $3 $4"), _found(n, DAY_FIRST, "$2 $1 $3 $4"))))
 
 
 def _offset(text: Column, zone: str) -> Column:
@@ -73,27 +75,28 @@ def parse(c, zone: str = config.LOCAL_ZONE, default: Column | None = None) -> Co
 
     The first shape found decides: a match with impossible parts is unreadable.
     """
-    text = F.trim(F.coalesce(col_of(c), F.lit("")))
-    digits = _digits(text)
-    parsed = F.when(digits.isNotNull(), digits.try_cast("timestamp_ntz")).otherwise(
-        F.coalesce(_english(text), _offset(text, zone))
-    )
-    return parsed if default is None else F.when(text == "", default).otherwise(parsed)
+    def read(t):
+        parsed = let(_digits(t), lambda d: F.when(d.isNotNull(), d.try_cast("timestamp_ntz")).otherwise(
+            F.coalesce(_english(t), _offset(t, zone))))
+        return parsed if default is None else F.when(t == "", default).otherwise(parsed)
+
+    return let(F.trim(F.coalesce(col_of(c), F.lit(""))), read)
 
 
 def parse_feed(c, zone: str = config.LOCAL_ZONE) -> Column:
     """As ``parse``, with mail-style dates (feeds) tried first; blank gives NULL."""
-    text = clean(c)
-    return F.coalesce(_named_month(_found(text, MAIL_DATE, "$2 $1 $3 $4")), parse(text, zone))
+    return let(clean(c), lambda t: F.when(
+        t != "", F.coalesce(_named_month(_found(t, MAIL_DATE, "$2 $1 $3 $4")), parse(t, zone))))
 
 
 def hint(c) -> Column:
     """First date-like piece of free text ('' when none): numeric, compact, then English."""
-    text = F.coalesce(col_of(c), F.lit(""))
-    numeric = F.regexp_extract(text, HINT_NUMERIC, 0)
-    compact = F.regexp_replace(F.regexp_extract(text, HINT_COMPACT, 0), HINT_COMPACT, "$1-$2-$3")
-    english = F.regexp_extract(text, HINT_ENGLISH, 0)
-    return clean(F.coalesce(F.nullif(numeric, F.lit("")), F.nullif(compact, F.lit("")), english))
+    def find(t):
+        compact = _found(t, HINT_COMPACT, "$1-$2-$3")
+        numeric = F.nullif(F.regexp_extract(t, HINT_NUMERIC, 0), F.lit(""))
+        return F.coalesce(numeric, compact, F.regexp_extract(t, HINT_ENGLISH, 0))
+
+    return clean(let(F.coalesce(col_of(c), F.lit("")), find))
 
 
 def iso(c, zone: str = config.LOCAL_ZONE) -> Column:

@@ -35,6 +35,17 @@ def mark_later(df: DataFrame, id_col: str, keys, order_cols, out: str = "is_dupl
     return df.join(first, id_col, "left").withColumn(out, F.col("_first").isNull()).drop("_first")
 
 
+def keep_computed(df: DataFrame, computed: dict, condition) -> DataFrame:
+    """Adds computed columns and keeps the rows where ``condition(struct)`` holds, computing each value once.
+
+    A plain filter on a computed column is pushed below the projection, which repeats the whole expression;
+    rows that leave a generator are not.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))
+    rest = [c for c in df.columns if c not in computed]
+    return df.select(*rest, F.explode(F.filter(made, condition)).alias("_made")).select(*rest, "_made.*")
+
+
 def bounded(df: DataFrame, max_rows: int):
     """All rows when there are at most ``max_rows``, else None. Never reads more than one row past the bound."""
     rows = df.limit(max_rows + 1).collect()

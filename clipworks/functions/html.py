@@ -68,27 +68,26 @@ def paragraphs(c, min_len: int) -> Column:
     return F.array_distinct(F.filter(texts, lambda t: F.length(t) >= min_len))
 
 
-def meta(c, name: str) -> Column:
-    """Content of ``<meta name|property|itemprop=name>`` in either attribute order, or ''."""
-    html = F.coalesce(col_of(c), F.lit(""))
-    quoted = "\\Q" + name + "\\E"
-    key = rf"(?:name|property|itemprop)=[\"']{quoted}[\"']"
+def _meta_in(tags: Column, name: str) -> Column:
+    key = rf"(?:name|property|itemprop)=[\"']\Q{name}\E[\"']"
     content = r"content=[\"']([^\"']*)[\"']"
-    forward = F.regexp_extract(html, rf"(?i)<meta[^>]+{key}[^>]+{content}", 1)
-    backward = F.regexp_extract(html, rf"(?i)<meta[^>]+{content}[^>]+{key}", 1)
-    return clean(decode_entities(F.when(forward != "", forward).otherwise(backward)))
+    forward = F.nullif(F.regexp_extract(tags, rf"(?i)<meta[^>]+{key}[^>]+{content}", 1), F.lit(""))
+    backward = F.nullif(F.regexp_extract(tags, rf"(?i)<meta[^>]+{content}[^>]+{key}", 1), F.lit(""))
+    return F.coalesce(forward, backward)
 
 
 def first_meta(c, names) -> Column:
-    """First non-empty meta of a list; the guard skips every regex on pages without metas of that kind."""
-    html = F.coalesce(col_of(c), F.lit(""))
-    lower = F.lower(html)
-    picks = [
-        F.when(F.contains(lower, F.lit(f'"{n.lower()}"')) | F.contains(lower, F.lit(f"'{n.lower()}'")),
-               F.nullif(meta(html, n), F.lit("")))
-        for n in names
-    ]
-    return F.coalesce(*picks, F.lit(""))
+    """Content of the first ``<meta name|property|itemprop=...>`` of a list that has any, or ''.
+
+    The page is scanned once for its meta tags; the names are looked up in that short text.
+    """
+    tags = F.array_join(F.regexp_extract_all(F.coalesce(col_of(c), F.lit("")), F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)), " ")
+    found = let(tags, lambda t: F.when(t != "", F.coalesce(*[_meta_in(t, n) for n in names])))
+    return clean(decode_entities(found))
+
+
+def meta(c, name: str) -> Column:
+    return first_meta(c, [name])
 
 
 def tag_text(c, tag: str) -> Column:

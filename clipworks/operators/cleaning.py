@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions import terms, text, urls
+from clipworks.functions import groups, terms, text, urls
 from clipworks.operators import normalize, tagging, urlset
 
 
@@ -51,10 +51,9 @@ def clean_candidates(
 def normalize_articles(df: DataFrame, entities: DataFrame, targets: DataFrame, required=config.REQUIRED_TERMS,
                        hints=config.ARGMAX_HINTS) -> DataFrame:
     """Articles ready for the derived datasets: strict title and summary, required term, entities, category, page URL."""
-    out = df.withColumn("title", text.title("title")).filter("title <> ''")
-    kept = text.strict_summary("summary")
-    out = out.withColumn("summary", F.coalesce(F.nullif(kept, F.lit("")), text.strict_summary("title")))
-    out = out.filter((F.col("summary") != "") & terms.any_term(F.col("summary"), required))
+    out = groups.keep_computed(df, {"title": text.title("title")}, lambda x: x["title"] != "")
+    lead = F.coalesce(F.nullif(text.strict_summary("summary"), F.lit("")), text.strict_summary("title"))
+    out = groups.keep_computed(out, {"summary": lead}, lambda x: (x["summary"] != "") & terms.any_term(x["summary"], required))
     out = out.withColumn("_text", tagging.matching_text())
     out = tagging.with_entities(out, entities, "_text")
     out = out.withColumn("_ts", F.concat_ws(" ", "title", "summary"))
