@@ -25,8 +25,11 @@ def strings(values) -> Column:
 
 
 def spaced(lower: Column) -> Column:
-    """Lower-cased text with every character that is not an ASCII word character turned into a space."""
-    return F.concat(F.lit(" "), F.regexp_replace(lower, "[^a-z0-9_ ]", " "), F.lit(" "))
+    """Lower-cased text with every run of characters that are not ASCII word characters turned into a space.
+
+    ``\\w`` is a bit table in the regex engine, several times faster than the same class spelled out.
+    """
+    return F.concat(F.lit(" "), F.regexp_replace(lower, r"[^\w ]+", " "), F.lit(" "))
 
 
 def hit(lower: Column, norm: Column, term: str, word_boundary: bool) -> Column:
@@ -38,7 +41,7 @@ def hit(lower: Column, norm: Column, term: str, word_boundary: bool) -> Column:
     t = term.lower()
     if not word_boundary or CJK.search(t):
         return F.contains(lower, F.lit(t))
-    folded = re.sub("[^a-z0-9_]", " ", t)
+    folded = re.sub("[^a-z0-9_ ]+", " ", t)
     found = F.contains(norm, F.lit(f" {folded} ")) if folded.strip() == folded else F.lit(True)
     if re.fullmatch("[a-z0-9_]+", t):
         return found

@@ -11,8 +11,8 @@ from pyspark.sql.types import StringType
 from clipworks import config
 
 NBSP = "\u00a0"
-# Runs of blanks, or one blank that is not a plain space: a single space needs no rewrite.
-BLANKS = r"[\t\n\x0B\f\r]\s*| \s+"
+# Blanks other than the plain space.
+BLANKS = [NBSP, "\n", "\r", "\t", "\x0b", "\f"]
 
 TEMPLATE_PATTERN = (
     r"(?i)(?:title|content|time)_(?:value|vaule)"
@@ -31,9 +31,15 @@ def let(value: Column, body) -> Column:
 
 
 def clean(c) -> Column:
-    """Null to '', no-break space to space, blanks collapsed, trimmed."""
-    text = F.replace(F.coalesce(col_of(c), F.lit("")), F.lit(NBSP), F.lit(" "))
-    return F.trim(F.regexp_replace(text, BLANKS, " "))
+    """Null to '', no-break space and other blanks to space, blanks collapsed, trimmed.
+
+    Plain byte replacements come first; the regex runs only on text that has two spaces in a row.
+    """
+    text = F.coalesce(col_of(c), F.lit(""))
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return let(text, lambda t: F.trim(F.when(
+        F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)))
 
 
 def is_artifact(c) -> Column:

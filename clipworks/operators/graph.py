@@ -14,7 +14,7 @@ EDGE = ["source_id", "target_id"]
 
 def node_tokens(nodes: DataFrame) -> DataFrame:
     """``(node_id, term)``: normalized names and aliases in lower case."""
-    names = F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), text.keyword_term))
+    names = F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lambda t: text.keyword_term(t)))
     return nodes.select(F.col("id").alias("node_id"), F.explode(names).alias("_t")).filter("_t <> ''").select("node_id", F.lower("_t").alias("term"))
 
 

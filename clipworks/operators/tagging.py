@@ -57,15 +57,25 @@ def match_terms(df: DataFrame, term_list, id_col="id", col="body", word_boundary
     return df.select(id_col, hay.alias("_hay")).select(id_col, F.explode(found).alias("term"))
 
 
+ANCHOR = 6
+
+
 def match_term_table(df, table, id_col, col, word_boundary=False, ignore_case=False) -> DataFrame:
-    """Term tables of any size: documents and terms meet on two-character starts, then the hit is verified."""
+    """Term tables of any size: documents and terms meet on the first characters of each term, then the hit is verified.
+
+    Anchors have up to six characters, so few wrong pairs arise; a document offers each distinct piece once. The
+    text itself is not carried through the meeting join, only ids are.
+    """
     fold = F.lower if ignore_case or word_boundary else (lambda c: c)
     docs = df.select(F.col(id_col), fold(F.coalesce(F.col(col), F.lit(""))).alias("_hay"))
-    starts = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_hay") - 1, F.lit(1))), lambda i: F.substring(F.col("_hay"), i, F.lit(2))))
-    grams = docs.select(id_col, F.explode(starts).alias("_start"))
-    keyed = table.filter(F.length("term") >= 2).select("term", F.substring(fold(F.col("term")), 1, 2).alias("_start"))
-    pairs = grams.join(keyed, "_start").select(id_col, "term")
+    size = F.least(F.length("term"), F.lit(ANCHOR))
+    keyed = table.filter(F.length("term") >= 1).select("term", F.substring(fold(F.col("term")), F.lit(1), size).alias("_start"))
+    sizes = [r.n for r in keyed.select(F.length("_start").alias("n")).distinct().limit(ANCHOR).collect()]
+    if not sizes:
+        return docs.limit(0).select(id_col, F.lit("").alias("term"))
+    pieces = F.concat(*[F.regexp_extract_all("_hay", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
+    starts = docs.select(id_col, F.explode(F.array_distinct(pieces)).alias("_start"))
+    pairs = starts.join(keyed, "_start").select(id_col, "term")
     needle = fold(F.col("term"))
     hit = F.contains(F.col("_hay"), needle)
     if word_boundary:

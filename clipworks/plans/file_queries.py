@@ -36,7 +36,7 @@ def import_articles(spark, d):
     n = F.col("doc_id")
     rows = load_table(spark, d, "documents").select(
         n.alias("seq"), "source", F.concat(F.lit("u"), n % 200).alias("canonical_url"), F.lit("").alias("slug"), F.substring("text", 1, 2).alias("content_hash"))
-    heads, vers = _empty(rows.withColumn("source_id", n * 0))
+    heads, vers = _empty(rows.withColumn("source_id", F.lit(0).cast("bigint")))
     known = bind.sources(spark, d).filter("source_id % 4 <> 3")
     return files.import_articles(rows, known, heads, vers, "2024-01-01")[2]
 

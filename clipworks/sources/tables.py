@@ -7,10 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from clipworks.sources import schemas
 
 
+# Tables whose rows are long texts, with their unique keys.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+SMALL_SPLITS = 64
+
+
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table; the schema is given, so no file is opened to infer it."""
     schema = schemas.DRIVER.get(name) or schemas.MODEL[name]
-    return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+    df = spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+
+
+def spread(df: DataFrame, key: str, small_splits: int = SMALL_SPLITS) -> DataFrame:
+    """Small text inputs only: rows spread over all cores by their unique key.
+
+    A file of one row group is one task however many cores are free. Inputs with more splits than cores, or than
+    ``small_splits`` (about 8 GB), are left as they are laid out: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if cores > 1 and splits <= min(cores, small_splits) else df
 
 
 def load_tables(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]:
