@@ -7,13 +7,16 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipworks.sources.tables import materialize
+
 
 def _plan(heads: DataFrame, versions: DataFrame, ok: str, best) -> DataFrame:
     """Actions ``(action, news_id, version_id)`` for heads whose current version fails.
 
-    One grouped pass per head (combined before the shuffle) decides; one join brings the decision to the versions.
+    The verdicts are computed once and written as a narrow table, since two branches read them. One grouped pass
+    per head (combined before the shuffle) decides; one join brings the decision to the versions.
     """
-    flagged = versions.select("news_id", "version_id", F.col(ok).alias("_ok"), best.alias("_order"))
+    flagged = materialize(versions.select("news_id", "version_id", F.col(ok).alias("_ok"), best.alias("_order")))
     state = heads.select("news_id", "current_version_id").join(flagged, "news_id").groupBy("news_id").agg(
         F.max(F.when(F.col("version_id") == F.col("current_version_id"), F.col("_ok"))).alias("_current_ok"),
         F.max_by("version_id", F.when(F.col("_ok"), F.col("_order"))).alias("_any"),

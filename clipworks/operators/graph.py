@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clipworks.functions import groups, terms, text
 from clipworks.operators import tagging
+from clipworks.sources.tables import materialize
 
 EDGE = ["source_id", "target_id"]
 
@@ -22,13 +23,14 @@ def edge_evidence(edges: DataFrame, nodes: DataFrame, articles: DataFrame, k: in
     """``(source_id, target_id, id, rank)``: newest ``k`` articles that name both ends, or one end and an edge keyword.
 
     The three-way OR becomes a union of three equi-joins: every hit is tagged with the side it speaks for, sides
-    are counted per edge and article (a well-spread key), and two different sides make evidence.
+    are counted per edge and article (a well-spread key), and two different sides make evidence. The text hits are
+    found once and written as a narrow table, since every branch reads them.
     """
     docs = articles.select("id", "published_at", F.lower(tagging.matching_text()).alias("_text"))
     tokens = node_tokens(nodes)
     words = edges.select(*EDGE, F.explode("keywords").alias("_w")).select(*EDGE, F.lower("_w").alias("term")).filter("term <> ''")
     wanted = tokens.select("term").unionByName(words.select("term")).distinct()
-    said = tagging.match_terms(docs, wanted, "id", "_text")
+    said = materialize(tagging.match_terms(docs, wanted, "id", "_text"))
     hits = said.join(tokens, "term").select("id", "node_id").distinct()
     pairs = edges.select(*EDGE).distinct()
     by_source = hits.withColumnRenamed("node_id", "source_id").join(pairs, "source_id").select(*EDGE, "id", F.lit(1).alias("side"))

@@ -97,7 +97,7 @@ def retrieve(df: DataFrame, signals, kind: str, fields: dict, page="home", boost
     total = F.when(F.col("base_score") > 0, F.col("base_score") + bias).otherwise(0)
     for cond, points in boosts:
         total = total + F.when(cond, points).otherwise(0)
-    scored = base.withColumn("score", total).filter("score > 0").drop("base_score")
+    scored = groups.keep_computed(base, {"score": total}, lambda x: x["score"] > 0).drop("base_score")
     return scored.orderBy(F.desc("score"), *[F.asc(c) for c in tie]).limit(k or KIND_LIMITS[kind])
 
 

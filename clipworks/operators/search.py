@@ -105,8 +105,9 @@ def related_articles(df: DataFrame, article_id, k: int = 3) -> DataFrame:
         + F.when(F.col("category") == F.col("t.category"), 1.5).otherwise(0) + F.when(F.col("is_related") & F.col("t.is_related"), 1.2).otherwise(0)
         + F.when(F.col("language") == F.col("t.language"), 0.5).otherwise(0)
         + F.greatest(F.lit(0.0), 2 - F.coalesce(gap, F.lit(365.0)) / 45))
-    scored = df.filter(F.col("id") != article_id).join(one).withColumn("score", F.round(score, 6)).drop("t")
-    return scored.filter("score > 0").orderBy(F.desc("score"), F.desc("published_at"), F.asc("id")).limit(k)
+    paired = df.filter(F.col("id") != article_id).join(one)
+    scored = groups.keep_computed(paired, {"score": F.round(score, 6)}, lambda x: x["score"] > 0).drop("t")
+    return scored.orderBy(F.desc("score"), F.desc("published_at"), F.asc("id")).limit(k)
 
 
 def rank_regions(metrics: DataFrame, value: str, k: int | None = None) -> DataFrame:

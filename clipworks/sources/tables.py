@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from clipworks.session import checkpoint_dir
 from clipworks.sources import schemas
 
 
@@ -44,3 +47,13 @@ def read_jdbc(
         numPartitions=str(partitions),
     )
     return reader.options(**(properties or {})).load()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A result that several branches read, written once as a table in the shared checkpoint folder.
+
+    Used for narrow tables behind costly text work; the written table survives lost executors.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
