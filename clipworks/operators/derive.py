@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipworks.functions import groups, terms, text
-from clipworks.functions.text import let
 
 CATEGORIES = ["enterprise", "technology", "policy"]
 
@@ -26,13 +24,18 @@ def summary(articles: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 
 def word_cloud(articles: DataFrame, k: int = 20, categories=CATEGORIES, default="technology") -> DataFrame:
     """Terms with weight (2 per occurrence in a related article, else 1) and article count: the top ``k`` over
-    all articles and of each category. The explode is folded into the first, map-side half of the count."""
+    all articles and of each category.
+
+    An article is one row, so its repeated terms are counted inside the row; what is shuffled is one row per
+    task, category and term.
+    """
     known = F.when(F.col("category").isin(list(categories)), F.col("category")).otherwise(F.lit(default))
+    counted = F.transform(F.array_distinct("keywords"), lambda t: F.struct(
+        t.alias("term"), F.size(F.filter("keywords", lambda x: x == t)).alias("n")))
     words = articles.select(
-        F.explode("keywords").alias("term"), known.alias("category"), "id",
-        F.when(F.coalesce("is_related", F.lit(False)), 2).otherwise(1).alias("w")).filter(F.trim("term") != "")
-    per_article = words.groupBy("term", "category", "id").agg(F.sum("w").alias("w"))
-    by_category = per_article.groupBy("category", "term").agg(F.sum("w").alias("weight"), F.count("*").alias("article_count"))
+        F.explode(counted).alias("c"), known.alias("category"), F.when(F.coalesce("is_related", F.lit(False)), 2).otherwise(1).alias("w")
+    ).select("category", F.col("c.term").alias("term"), (F.col("c.n") * F.col("w")).alias("w")).filter(F.trim("term") != "")
+    by_category = words.groupBy("category", "term").agg(F.sum("w").alias("weight"), F.count("*").alias("article_count"))
     total = by_category.groupBy("term").agg(F.sum("weight").alias("weight"), F.sum("article_count").alias("article_count"))
     both = by_category.unionByName(total.select(F.lit("all").alias("category"), "term", "weight", "article_count"))
     return groups.top_k(both, ["category"], [F.desc("weight"), F.asc("term")], k, rank="rank")

@@ -97,16 +97,30 @@ def resolve_url(href: Column, base: Column) -> Column:
 
 
 def extract_links(pages: DataFrame, min_text: int = 1, id_col="page_id", col="html", url="url") -> DataFrame:
-    """``(id, page_url, href, text)`` of every usable link, first occurrence of each target."""
+    """``(id, page_url, href, text, pos)`` of every usable link, first occurrence of each target.
+
+    A page is one row, so repeats are dropped inside the row: no shuffle.
+    """
     pattern = r"(?is)<a\b[^>]*?\bhref=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
     hrefs = F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
     labels = F.regexp_extract_all(col, F.lit(pattern), F.lit(2))
-    pairs = pages.select(id_col, F.col(url).alias("page_url"), F.posexplode(F.arrays_zip(hrefs.alias("h"), labels.alias("t"))).alias("pos", "a"))
-    links = pairs.select(id_col, "page_url", "pos", F.trim(html.decode_entities("a.h")).alias("_h"), html.to_text("a.t").alias("text"))
-    usable = (F.col("_h") != "") & ~F.col("_h").rlike(r"(?i)^(?:javascript:|mailto:|tel:|#)") & (F.length("text") >= min_text)
-    full = links.filter(usable).withColumn("href", resolve_url(F.col("_h"), F.col("page_url")))
-    firsts = full.groupBy(id_col, "page_url", "href").agg(F.min(F.struct("pos", "text")).alias("m"))
-    return firsts.select(id_col, "page_url", "href", F.col("m.text").alias("text"), F.col("m.pos").alias("pos"))
+    page = F.col(url)
+
+    def read(pair, i):
+        return F.struct(i.alias("pos"), F.trim(html.decode_entities(pair["h"])).alias("raw"), html.to_text(pair["t"]).alias("text"))
+
+    def usable(x):
+        return (x["raw"] != "") & ~x["raw"].rlike(r"(?i)^(?:javascript:|mailto:|tel:|#)") & (F.length(x["text"]) >= min_text)
+
+    read_all = F.filter(F.transform(F.arrays_zip(hrefs.alias("h"), labels.alias("t")), read), usable)
+    full = F.transform(read_all, lambda x: F.struct(x["pos"].alias("pos"), resolve_url(x["raw"], page).alias("href"), x["text"].alias("text")))
+
+    def firsts(links):
+        targets = F.transform(links, lambda x: x["href"])
+        return let(targets, lambda ts: F.filter(links, lambda x, i: F.array_position(ts, x["href"]) == i + 1))
+
+    return pages.select(id_col, page.alias("page_url"), F.explode(let(full, firsts)).alias("a")).select(
+        id_col, "page_url", "a.href", "a.text", "a.pos")
 
 
 def _matches(patterns: Column, href: Column, lower: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipworks.functions import groups, terms, text
@@ -85,12 +84,12 @@ def scope_nodes(nodes: DataFrame, region: str, root: str = "root", members=()) -
 def layer_groups(nodes: DataFrame, center: str) -> DataFrame:
     """Nodes of each class in display order with the class size; the center itself is left out.
 
-    Class sizes are joined from a count; ranks are per class over the nodes of one scope.
+    Class sizes are pre-aggregated counts; the order is one range sort on the full key, so a class that holds
+    most nodes is split like any other.
     """
     shown = nodes.filter(F.col("id") != center)
     sizes = shown.groupBy("element_class").agg(F.count("*").alias("class_size"))
-    order = W.partitionBy("element_class").orderBy(F.coalesce("display_order", F.lit(9999)), "name", "id")
-    return shown.withColumn("position", F.row_number().over(order)).join(sizes, "element_class")
+    return shown.join(sizes, "element_class").orderBy("element_class", F.coalesce("display_order", F.lit(9999)), "name", "id")
 
 
 def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

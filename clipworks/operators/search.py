@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipworks import config
 from clipworks.functions import groups, terms
-from clipworks.functions.text import let
 
 
 def matching(current: DataFrame, query="", category="", source="", region="", related_only=False) -> DataFrame:

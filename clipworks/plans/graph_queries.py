@@ -76,9 +76,9 @@ def scope_nodes(spark, d):
     return city.unionByName(graph.scope_nodes(nodes, "all", "r0", ["r1", "r3"]).select("id", "name", F.lit("overview").alias("view")))
 
 
-@query("kg5_layer_groups", f"""WITH {bind.GRAPH} SELECT id, element_class, row_number() OVER (PARTITION BY element_class ORDER BY display_order, name, id) AS position, count(*) OVER (PARTITION BY element_class) AS class_size FROM nodes WHERE id <> 'r2'""")
+@query("kg5_layer_groups", f"""WITH {bind.GRAPH} SELECT id, element_class, display_order, count(*) OVER (PARTITION BY element_class) AS class_size FROM nodes WHERE id <> 'r2'""")
 def layer_groups(spark, d):
-    return graph.layer_groups(bind.graph(spark, d)[0], "r2").select("id", "element_class", "position", "class_size")
+    return graph.layer_groups(bind.graph(spark, d)[0], "r2").select("id", "element_class", "display_order", "class_size")
 
 
 @query("kg6_induced_edges", f"WITH {bind.GRAPH}, v AS (SELECT id FROM nodes WHERE region_id IN ('r1', 'r2')) SELECT source_id, target_id, relation FROM edges WHERE source_id IN (FROM v) AND target_id IN (FROM v)")

@@ -32,12 +32,10 @@ def current_articles(spark, d):
     return joins.current_articles(*star(spark, d)).select("news_id", "version_id", "name", "l_quantity")
 
 
-@query("jn2_versions_of", f"""WITH {STAR}, one AS (SELECT version_id, news_id, published_at FROM vers GROUP BY ALL)
-SELECT v.news_id, v.version_id, s.name, row_number() OVER (PARTITION BY v.news_id ORDER BY v.published_at DESC, v.version_id DESC) AS recency
-FROM one v JOIN heads h USING (news_id) JOIN srcs s USING (source_id)""")
+@query("jn2_versions_of", f"""WITH {STAR} SELECT v.news_id, v.version_id, s.name, {k.stamp('v.published_at')} AS published_at FROM vers v JOIN heads h USING (news_id) JOIN srcs s USING (source_id)""")
 def versions_of(spark, d):
-    heads, vers, srcs = star(spark, d)
-    return joins.versions_of(heads, vers.select("version_id", "news_id", "published_at").distinct(), srcs).select("news_id", "version_id", "name", "recency")
+    rows = joins.versions_of(*star(spark, d))
+    return rows.select("news_id", "version_id", "name", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
 @query("jn3_enrich_logs", "SELECT event_id, coalesce(c_name, 'unknown') AS c_name FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON user_id = c_custkey")
