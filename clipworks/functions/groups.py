@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +48,12 @@ def keep_computed(df: DataFrame, computed: dict, condition) -> DataFrame:
     return df.select(*rest, F.explode(F.filter(made, condition)).alias("_made")).select(*rest, "_made.*")
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row numeric results side by side: a union of a few rows and a maximum, no join."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def bounded(df: DataFrame, max_rows: int):
     """All rows when there are at most ``max_rows``, else None. Never reads more than one row past the bound."""
     rows = df.limit(max_rows + 1).collect()

@@ -16,10 +16,9 @@ def summary(articles: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         F.count("*").alias("total_articles"), F.countDistinct("source").alias("total_sources"),
         F.count_if("is_related").alias("related_articles"))
     ents = articles.select(F.explode("entity_ids").alias("e")).agg(F.countDistinct("e").alias("total_entities"))
-    out = one.join(ents)  # two one-row results
     if edges is None:
-        return out.withColumn("total_edges", F.lit(0).cast("bigint"))
-    return out.join(edges.agg(F.count("*").alias("total_edges")))
+        return groups.one_row(one, ents).withColumn("total_edges", F.lit(0).cast("bigint"))
+    return groups.one_row(one, ents, edges.agg(F.count("*").alias("total_edges")))
 
 
 def word_cloud(articles: DataFrame, k: int = 20, categories=CATEGORIES, default="technology") -> DataFrame:
@@ -104,21 +103,21 @@ def legend_bins(metrics: DataFrame, value: str) -> DataFrame:
 
 
 def assign_bin(df: DataFrame, bins: DataFrame, value: str) -> DataFrame:
-    """First bin that holds each value. There are at most four bins, folded into one row."""
-    packed = bins.agg(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi"))).alias("_bins"))
-    hit = F.filter("_bins", lambda b: F.col(value).between(b["lo"], b["hi"]))
-    return df.join(packed).withColumn("bin", F.get(hit, F.lit(0))["bin"]).drop("_bins")
+    """First bin that holds each value. There are at most four bins, so they become plain conditions."""
+    rows = sorted(groups.bounded(bins.select("bin", "lo", "hi"), 4) or [])
+    hits = [F.when(F.col(value).between(r.lo, r.hi), F.lit(r.bin)) for r in rows]
+    return df.withColumn("bin", F.coalesce(*hits, F.lit(None).cast("int")))
 
 
 def region_opacity(metrics: DataFrame, value: str, base: float = 0.24, emphasized: str | None = None, cap: float = 0.82) -> DataFrame:
     """Fill opacity from each region's share of the largest value."""
-    top = metrics.agg(F.max(value).alias("_max"))
+    top = F.lit(metrics.agg(F.max(value).alias("m")).first().m or 0)  # one number
     shown = F.col(emphasized) if emphasized else F.lit(False)
     extra = F.when(shown, 0.16).otherwise(0.0)
-    shaded = F.greatest(F.lit(base), F.least(F.lit(cap), F.lit(base) + F.least(F.lit(1.0), F.col(value) / F.col("_max")) * 0.42 + extra))
-    empty = (F.col("_max") <= 0) | (F.col(value) <= 0)
+    shaded = F.greatest(F.lit(base), F.least(F.lit(cap), F.lit(base) + F.least(F.lit(1.0), F.col(value) / F.greatest(top, F.lit(1))) * 0.42 + extra))
+    empty = (top <= 0) | (F.col(value) <= 0)
     flat = F.when(shown, F.lit(0.44)).otherwise(F.lit(base))
-    return metrics.join(top).withColumn("opacity", F.round(F.when(empty, flat).otherwise(shaded), 6)).drop("_max")
+    return metrics.withColumn("opacity", F.round(F.when(empty, flat).otherwise(shaded), 6))
 
 
 def boundary_centers(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -189,7 +188,7 @@ def origin_counts(entities: DataFrame, sources: DataFrame, domestic) -> DataFram
     """One row: domestic and foreign entities and sources; ``domestic`` is a Column over both tables."""
     ent = entities.agg(F.count_if(domestic).alias("domestic_entities"), F.count("*").alias("entities"))
     src = sources.agg(F.count_if(domestic).alias("domestic_sources"), F.count("*").alias("sources"))
-    return ent.join(src).select(
+    return groups.one_row(ent, src).select(
         "domestic_entities", F.greatest(F.col("entities") - F.col("domestic_entities"), F.lit(0)).alias("foreign_entities"),
         "domestic_sources", F.greatest(F.col("sources") - F.col("domestic_sources"), F.lit(0)).alias("foreign_sources"))
 

@@ -120,7 +120,8 @@ def hub_graph(nodes: DataFrame, center: str, classes):
     hubs = sizes.select(hub.alias("id"), F.lit("hub").alias("kind"), F.col("element_class").alias("layer"), F.col("n").alias("size"))
     middle = nodes.filter(F.col("id") == center).select("id", F.lit("center").alias("kind"), F.lit("").alias("layer"), F.lit(1).cast("bigint").alias("size"))
     leaves = shown.select("id", F.lit("entity").alias("kind"), F.col("element_class").alias("layer"), F.lit(1).cast("bigint").alias("size"))
-    trunk = hubs.join(middle.select(F.col("id").alias("source_id"))).select("source_id", F.col("id").alias("target_id"), F.lit("trunk").alias("kind"))
+    known = bool(nodes.filter(F.col("id") == center).limit(1).count())
+    trunk = hubs.filter(F.lit(known)).select(F.lit(center).alias("source_id"), F.col("id").alias("target_id"), F.lit("trunk").alias("kind"))
     branch = shown.select(hub.alias("source_id"), F.col("id").alias("target_id"), F.lit("branch").alias("kind"))
     return middle.unionByName(hubs).unionByName(leaves), trunk.unionByName(branch)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions import text, urls
+from clipworks.functions import groups, text, urls
 from clipworks.operators import extract, review, versions
 
 
@@ -31,7 +31,7 @@ def replay_counts(replayed: DataFrame, heads: DataFrame, vers: DataFrame, now: s
         F.col("id").alias("seq"), "source_id", F.col("original_url").alias("canonical_url"), F.lit("").alias("slug"), "content_hash")
     stats = versions.upsert_versions(heads, vers, taken, now)[2]
     total = replayed.agg(F.count("*").alias("scanned"), F.count_if(F.col("outcome") == "skipped").alias("skipped"))
-    return total.join(stats)
+    return groups.one_row(total, stats)
 
 
 def replay_strict(cands: DataFrame, reasons, order, languages=None, with_accepted=False, scan_limit: int | None = None,

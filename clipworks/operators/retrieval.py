@@ -103,9 +103,9 @@ def retrieve(df: DataFrame, signals, kind: str, fields: dict, page="home", boost
 
 def references(hits: DataFrame, k: int = 10) -> DataFrame:
     """First ``k`` distinct references ``(type, label, href)`` in hit order, with the number of hits."""
-    total = hits.agg(F.count("*").alias("hit_count"))
+    total = hits.count()
     named = hits.filter("href <> '' OR label <> ''").groupBy("type", "label", "href").agg(F.min(F.struct("kind_order", "position")).alias("o"))
-    return named.orderBy("o", "label").limit(k).join(total).select("type", "label", "href", "hit_count")
+    return named.orderBy("o", "label").limit(k).select("type", "label", "href", F.lit(total).cast("bigint").alias("hit_count"))
 
 
 def pack_context(sections: DataFrame, budget: int = config.CONTEXT_BUDGET, key="conv_id", glue="\n\n") -> DataFrame:

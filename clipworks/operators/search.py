@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipworks import config
@@ -86,25 +86,27 @@ def latest_per_source(df: DataFrame, key: str = "source") -> DataFrame:
     return df.join(best, "id", "left_semi")
 
 
-def _shared(left: Column, right: Column) -> Column:
-    return F.size(F.array_intersect(left, right))
-
-
 def related_articles(df: DataFrame, article_id, k: int = 3) -> DataFrame:
     """Articles most related to one: shared keywords and entities, category, region, language and nearness in time.
 
-    One scan: the article is a single row, scores are computed in place and each task keeps only its best ``k``.
+    The article is read first and becomes constants, so the rest is one scan without a join in which each task
+    keeps only its best ``k``.
     """
     cols = ["keywords", "entity_ids", "category", "is_related", "language", "published_at"]
-    one = df.filter(F.col("id") == article_id).limit(1).select(F.struct(*cols).alias("t"))
-    gap = F.abs(F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.col("t.published_at").cast("timestamp"))) / 86400000000
+    one = df.filter(F.col("id") == article_id).select(*cols).first()
+    if one is None:
+        return df.limit(0).withColumn("score", F.lit(0.0))
+    at = F.lit(one.published_at).cast("timestamp_ntz")
+    gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("published_at"), at)) / 86400000000
     score = (
-        _shared(F.col("keywords"), F.col("t.keywords")) * 2.4 + _shared(F.col("entity_ids"), F.col("t.entity_ids")) * 3
-        + F.when(F.col("category") == F.col("t.category"), 1.5).otherwise(0) + F.when(F.col("is_related") & F.col("t.is_related"), 1.2).otherwise(0)
-        + F.when(F.col("language") == F.col("t.language"), 0.5).otherwise(0)
+        F.size(F.array_intersect("keywords", terms.strings(one.keywords))) * 2.4
+        + F.size(F.array_intersect("entity_ids", terms.strings(one.entity_ids))) * 3
+        + F.when(F.col("category") == one.category, 1.5).otherwise(0)
+        + F.when(F.col("is_related") & F.lit(bool(one.is_related)), 1.2).otherwise(0)
+        + F.when(F.col("language") == one.language, 0.5).otherwise(0)
         + F.greatest(F.lit(0.0), 2 - F.coalesce(gap, F.lit(365.0)) / 45))
-    paired = df.filter(F.col("id") != article_id).join(one)
-    scored = groups.keep_computed(paired, {"score": F.round(score, 6)}, lambda x: x["score"] > 0).drop("t")
+    others = df.filter(F.col("id") != article_id)
+    scored = groups.keep_computed(others, {"score": F.round(score, 6)}, lambda x: x["score"] > 0)
     return scored.orderBy(F.desc("score"), F.desc("published_at"), F.asc("id")).limit(k)
 
 

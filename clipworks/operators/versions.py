@@ -53,9 +53,8 @@ def upsert_versions(heads: DataFrame, versions: DataFrame, accepted: DataFrame,
         F.coalesce("first_seen_at", stamp).alias("first_seen_at"),
         F.when(F.col("_seen"), stamp).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
     new_versions = versions.unionByName(fresh.select(*versions.columns))
-    total = accepted.agg(F.count("*").alias("accepted"))
-    added = fresh.agg(F.count("*").alias("inserted"))
-    stats = total.select("accepted", F.lit(1).alias("_k")).join(added.withColumn("_k", F.lit(1)), "_k").select(
+    counted = groups.one_row(accepted.agg(F.count("*").alias("accepted")), fresh.agg(F.count("*").alias("inserted")))
+    stats = counted.select(
         "accepted", "inserted", (F.col("accepted") - F.col("inserted")).alias("duplicates"))
     return merged, new_versions, stats
 
