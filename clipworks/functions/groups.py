@@ -48,6 +48,15 @@ def keep_computed(df: DataFrame, computed: dict, condition) -> DataFrame:
     return df.select(*rest, F.explode(F.filter(made, condition)).alias("_made")).select(*rest, "_made.*")
 
 
+SMALL_SIDE = 50_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_SIDE) -> DataFrame:
+    """A dimension that proves to have at most ``max_rows`` rows is broadcast, so the texts it meets are not shuffled
+    by a skewed key; a larger one is left to the optimizer. Needed where the optimizer has no size to go by."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def one_row(*parts: DataFrame) -> DataFrame:
     """One-row numeric results side by side: a union of a few rows and a maximum, no join."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -21,7 +21,7 @@ def clean_candidates(
     Keeps the source's columns that the review needs.
     """
     dim = sources.withColumnRenamed("source_code", "source").drop("name", "language")
-    out = cands.join(dim, "source", "inner").withColumns({
+    out = cands.join(groups.small_side(dim), "source", "inner").withColumns({
         "title": text.title("title"),
         "body": text.clean("body"),
         "summary": text.summary("summary"),

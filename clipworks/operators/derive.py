@@ -34,10 +34,9 @@ def word_cloud(articles: DataFrame, k: int = 20, categories=CATEGORIES, default=
     words = articles.select(
         F.explode(counted).alias("c"), known.alias("category"), F.when(F.coalesce("is_related", F.lit(False)), 2).otherwise(1).alias("w")
     ).select("category", F.col("c.term").alias("term"), (F.col("c.n") * F.col("w")).alias("w")).filter(F.trim("term") != "")
-    by_category = words.groupBy("category", "term").agg(F.sum("w").alias("weight"), F.count("*").alias("article_count"))
-    total = by_category.groupBy("term").agg(F.sum("weight").alias("weight"), F.sum("article_count").alias("article_count"))
-    both = by_category.unionByName(total.select(F.lit("all").alias("category"), "term", "weight", "article_count"))
-    return groups.top_k(both, ["category"], [F.desc("weight"), F.asc("term")], k, rank="rank")
+    both = words.select(F.explode(F.array("category", F.lit("all"))).alias("category"), "term", "w")
+    cloud = both.groupBy("category", "term").agg(F.sum("w").alias("weight"), F.count("*").alias("article_count"))
+    return groups.top_k(cloud, ["category"], [F.desc("weight"), F.asc("term")], k, rank="rank")
 
 
 def chip_levels(cloud: DataFrame, max_items: int = 20) -> DataFrame:

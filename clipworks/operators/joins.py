@@ -1,6 +1,6 @@
 """Star joins, lookups, entity binding, merges and graph joins.
 
-No join is forced to broadcast: the optimizer does so for sides whose measured size is under
+No join here is forced to broadcast: the optimizer does so for sides whose measured size is under
 ``spark.sql.autoBroadcastJoinThreshold``, and adaptive execution splits skewed partitions of the rest.
 """
 

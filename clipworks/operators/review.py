@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipworks.config import ReviewRule
-from clipworks.functions import terms, text, urls
+from clipworks.functions import groups, terms, text, urls
 from clipworks.operators import relevance, urlset
 
 
@@ -17,7 +17,7 @@ def assess(df: DataFrame, entities: DataFrame, rule: ReviewRule, entity_terms=No
     """
     dim = entities.select(F.col("entity_id").alias("whitelist_entity_id"),
                           F.concat(F.array("name"), "aliases").alias("_own"), F.lit(True).alias("_known"))
-    df = df.join(dim, "whitelist_entity_id", "left")
+    df = df.join(groups.small_side(dim), "whitelist_entity_id", "left")
     if entity_terms is None:
         entity_terms = entities.select(F.explode(F.concat(F.array("name"), "aliases")).alias("term"))
     df = relevance.strict_relevance(df, rule.relevance, entity_terms, id_col, own_terms="_own")

@@ -108,7 +108,7 @@ def extract_keywords(df: DataFrame, domain_terms=config.DOMAIN_TERMS, sources: D
                      k=config.KEYWORD_LIMIT) -> DataFrame:
     """``keywords`` from title, summary and body; columns ``raw_keywords`` and the source's ``whitelist`` may add to them."""
     if sources is not None:
-        df = df.join(sources.select(F.col("source_code").alias(key), "whitelist"), key, "left")
+        df = df.join(groups.small_side(sources.select(F.col("source_code").alias(key), "whitelist")), key, "left")
     empty = F.array().cast("array<string>")
     raw = F.coalesce(F.col("raw_keywords"), empty) if "raw_keywords" in df.columns else empty
     white = F.coalesce(F.col("whitelist"), empty) if "whitelist" in df.columns else empty
@@ -173,7 +173,7 @@ def resolve_regions(df: DataFrame, regions: DataFrame, themes: DataFrame, entiti
     else:
         docs = docs.withColumn("_found", terms.keep((r.region_id, F.contains(F.col("_full"), F.lit(r.term))) for r in rows))
     of_entity = entities.select("entity_id", "region_ids")
-    linked = docs.select(id_col, "_found", F.explode_outer("entity_ids").alias("entity_id")).join(of_entity, "entity_id", "left")
+    linked = docs.select(id_col, "_found", F.explode_outer("entity_ids").alias("entity_id")).join(groups.small_side(of_entity), "entity_id", "left")
     own = F.coalesce("region_ids", terms.strings([]))
     if parent is not None:
         own = F.filter(own, lambda r: r != parent)

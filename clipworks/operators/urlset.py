@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipworks.functions import urls
+from clipworks.functions import groups, urls
 
 
 def canonical_urls(df: DataFrame, col="url", out="canonical_url") -> DataFrame:
@@ -45,7 +45,7 @@ def check_source_domain(df: DataFrame, sources: DataFrame, url="url", key="sourc
     policy = sources.select(F.col("source_code").alias(key), F.col("site_url").alias("_site"),
                             F.col("allowed_hosts").alias("_hosts"), F.col("allowed_host_patterns").alias("_patterns"))
     checked = F.coalesce(domain_allowed(F.col(url), F.col("_site"), F.col("_hosts"), F.col("_patterns")), F.lit(False))
-    return df.join(policy, key, "left").withColumn(out, checked).drop("_site", "_hosts", "_patterns")
+    return df.join(groups.small_side(policy), key, "left").withColumn(out, checked).drop("_site", "_hosts", "_patterns")
 
 
 def best_source_target(sources: DataFrame, blocked_hosts=(), key="source_code") -> DataFrame:
@@ -64,7 +64,7 @@ def resolve_article_url(df: DataFrame, targets: DataFrame, key="source", url="ur
     own = urls.is_specific(F.col(url), F.col("_site"), blocked_hosts) & urls.is_article_page(url)
     via = urls.is_specific(F.col("_target"), F.col("_site"), blocked_hosts) & urls.is_article_page("_target")
     pick = F.when(own, F.col(url)).when(via, F.col("_target")).otherwise(F.coalesce(F.col("_site"), F.col(url)))
-    return df.join(dim, key, "left").withColumn("resolved_url", pick).drop("_site", "_target")
+    return df.join(groups.small_side(dim), key, "left").withColumn("resolved_url", pick).drop("_site", "_target")
 
 
 def access_urls(df: DataFrame, mirror_hosts=(), mirror_prefix="https://web.archive.org/web/",

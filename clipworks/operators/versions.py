@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clipworks import config
 from clipworks.functions import groups, terms, text, urls
 from clipworks.operators import joins
+from clipworks.sources.tables import materialize
 
 KEY = ["source_id", "canonical_url"]
 
@@ -26,10 +27,10 @@ def version_id(news="news_id", content="content_hash"):
 
 
 def keyed(accepted: DataFrame) -> DataFrame:
-    """Batch with head and version ids; a repeated content of one head keeps its first row."""
+    """Batch with head and version ids; a repeated content of one head keeps its first row and counts ``copies``."""
     rows = accepted.withColumn("news_id", news_id()).withColumn("version_id", version_id())
-    firsts = rows.groupBy("version_id").agg(F.min_by(F.struct(*rows.columns), "seq").alias("r"))
-    return firsts.select("r.*")
+    firsts = rows.groupBy("version_id").agg(F.min_by(F.struct(*rows.columns), "seq").alias("r"), F.count("*").alias("copies"))
+    return firsts.select("r.*", "copies")
 
 
 def upsert_versions(heads: DataFrame, versions: DataFrame, accepted: DataFrame, now: str):
@@ -37,9 +38,10 @@ def upsert_versions(heads: DataFrame, versions: DataFrame, accepted: DataFrame,
 
     New key: head and version. Known key with known content: only ``last_seen_at`` moves. Known key with
     new content: a version is added and becomes current (the last added one, in ``seq`` order).
-    accepted(seq, source_id, canonical_url, slug, content_hash, ...); versions and heads hold a subset.
+    accepted(seq, source_id, canonical_url, slug, content_hash, ...); versions and heads hold a subset. The batch
+    is written once, since heads, versions and counts all read it.
     """
-    batch = keyed(accepted)
+    batch = materialize(keyed(accepted))
     fresh = batch.join(versions.select("version_id"), "version_id", "left_anti")
     stamp = F.lit(now).cast("timestamp_ntz")
     touched = batch.groupBy("news_id").agg(F.min_by(F.struct(*KEY), "seq").alias("k"))
@@ -53,7 +55,7 @@ def upsert_versions(heads: DataFrame, versions: DataFrame, accepted: DataFrame,
         F.coalesce("first_seen_at", stamp).alias("first_seen_at"),
         F.when(F.col("_seen"), stamp).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
     new_versions = versions.unionByName(fresh.select(*versions.columns))
-    counted = groups.one_row(accepted.agg(F.count("*").alias("accepted")), fresh.agg(F.count("*").alias("inserted")))
+    counted = groups.one_row(batch.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("accepted")), fresh.agg(F.count("*").alias("inserted")))
     stats = counted.select(
         "accepted", "inserted", (F.col("accepted") - F.col("inserted")).alias("duplicates"))
     return merged, new_versions, stats

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipworks.config import RelevanceRule
+from clipworks.functions import groups
 from clipworks.operators import cleaning, relevance, tagging
 from clipworks.operators import urlset
 from clipworks.plans import sqlkit as k
@@ -185,7 +186,7 @@ def own_terms(df, entities):
     """Names of the source's own entity, for the relevance evidence."""
     dim = entities.select(F.col("entity_id").alias("whitelist_entity_id"),
                           F.concat(F.array("name"), "aliases").alias("own_terms"), F.lit(True).alias("entity_known"))
-    return df.join(dim, "whitelist_entity_id", "left").withColumn("entity_known", F.coalesce("entity_known", F.lit(False)))
+    return df.join(groups.small_side(dim), "whitelist_entity_id", "left").withColumn("entity_known", F.coalesce("entity_known", F.lit(False)))
 
 
 @query("rl1_strict_relevance", f"WITH {k.CLEANED}, {REL} SELECT id, relevant, array_to_string(core, '|') AS core, array_to_string(ents, '|') AS ents FROM rel")

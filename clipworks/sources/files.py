@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clipworks.functions import groups
 from clipworks.operators import versions
 
 
@@ -70,7 +71,7 @@ def resolve_sources(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Articles with a source id by name; unknown names get an inactive stub id made from the name."""
     dim = sources.select(F.col("name").alias("source"), "source_id", F.col("active").alias("source_active"))
     stub = -F.abs(F.xxhash64("source"))
-    return articles.join(dim, "source", "left").withColumn("is_stub", F.col("source_id").isNull()).withColumns({
+    return articles.join(groups.small_side(dim), "source", "left").withColumn("is_stub", F.col("source_id").isNull()).withColumns({
         "source_id": F.coalesce("source_id", stub), "source_active": F.coalesce("source_active", F.lit(False))})
 
 
