@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,3 +36,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, where they would not find it on their own path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    sc = spark.sparkContext
+    if root in [os.path.abspath(p) for p in [os.getcwd(), *paths] if p] or getattr(sc, "_clipworks_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="clipworks-"), "clipworks"), "zip", root, "clipworks")
+    sc.addPyFile(archive)
+    sc._clipworks_shipped = True
