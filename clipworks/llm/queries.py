@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import minhash
+from clipworks.llm import line_dedup, minhash, mixing, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -13,3 +13,31 @@ from clipworks.plans.registry import query
 def op9(spark, sf_dir):
     out = minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    index = toxicity.fit(docs, labels, keep=~toxicity.held_out())
+    out = toxicity.score_texts(docs.select("doc_id", "text"), index)
+    score = F.col("toxicity.score")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("toxicity.neighbours").alias("n_neighbours"))
+
+
+@query("op6_mix_sources", """WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
+points AS (SELECT d.doc_id, d.source, d.text, rate, ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+terms AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, (SELECT unnest(range(80)) AS k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+counted AS (SELECT doc_id, p.source, text, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM p.source AND c <= u) AS n_copies FROM points p),
+copies AS (SELECT *, unnest(range(n_copies)) AS copy FROM counted)
+SELECT doc_id, source, copy, n_copies, md5('11:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key, md5(text) AS text_md5 FROM copies""")
+def op6(spark, sf_dir):
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.md5("text").alias("text_md5"))
+
+
+@query("op10_line_dedup")
+def op10(spark, sf_dir):
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), drop_emptied=False)
+    return out.select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))

@@ -76,9 +76,9 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(value + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are not white space, and the first word of each row (rows + 1)."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are not in ``apart``, and the first word of each row (rows + 1)."""
+    inside = ~apart[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     full = offsets[1:] > offsets[:-1]
