@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import line_dedup, minhash, mixing, toxicity
+from clipworks.llm import line_dedup, minhash, mixing, pieces, quality, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -41,3 +41,19 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), drop_emptied=False)
     return out.select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("op1_sentencepiece")
+def op1(spark, sf_dir):
+    out = pieces.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.withColumn("decoded", pieces.decode_column(F.col("piece_ids")))
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"),
+                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), F.md5("decoded").alias("decoded_md5"))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    out = quality.score_texts(docs.select("doc_id", "text"), quality.fit(docs, labels, keep=~quality.held_out()))
+    score = F.col("quality_score")
+    return out.select("doc_id", quality.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
