@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import line_dedup, minhash, mixing, pieces, quality, toxicity
+from clipworks.llm import embedding_dedup, line_dedup, minhash, mixing, pieces, quality, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -57,3 +57,8 @@ def op4(spark, sf_dir):
     out = quality.score_texts(docs.select("doc_id", "text"), quality.fit(docs, labels, keep=~quality.held_out()))
     score = F.col("quality_score")
     return out.select("doc_id", quality.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
