@@ -120,9 +120,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "v")
 
-    def pair(key, table: pa.Table) -> pa.Table:
+    def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         flat = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)
-        ids, links, root = compare(table.column("id").to_numpy(), flat.reshape(table.num_rows, -1), None if key[2] == key[3] else table.column("side").to_numpy(), threshold)
+        ids, links, root = compare(table.column("id").to_numpy(), flat.reshape(table.num_rows, -1), None if key[2].as_py() == key[3].as_py() else table.column("side").to_numpy(), threshold)
         return pa.table({"id": ids, "links": links, "root": root})
 
     found = materialize(dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(pair, "id long, links long, root long"))
