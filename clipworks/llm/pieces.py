@@ -135,34 +135,38 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.searchsorted(starts, offsets)
 
 
+def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of spans of bytes, one after the other, and how many each has. Every distinct span is solved once and remembered."""
+    machine, memory = automaton(path), _memory(path)
+    if not len(starts):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    _, at, back = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    raw, found = data.tobytes(), []
+    for i in at:
+        word = raw[starts[i]:ends[i]]
+        ids = memory.get(word)
+        if ids is None:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            ids = memory[word] = np.array(machine.encode(word), np.int32)
+        found.append(ids)
+    size = np.array([len(x) for x in found], np.int64)
+    pool, begin, n = np.concatenate(found), np.cumsum(size) - size, size[back]
+    before = np.cumsum(n) - n
+    return pool[np.arange(n.sum()) - np.repeat(before, n) + np.repeat(begin[back], n)], n
+
+
 def encode(column, path: str = MODEL) -> pa.ListArray:
     """The ids of each text; null and empty texts have none."""
-    machine, parts = automaton(path), []
-    memory: dict[bytes, np.ndarray] = _memory(path)
+    separable, parts = automaton(path).vocabulary.separable, []
     for data, offsets in tb.chunks(column):
         # the word mark before each text that isn't empty
         full = offsets[1:] > offsets[:-1]
         data = np.insert(data, offsets[:-1][full], 0x20)
         offsets = offsets + np.concatenate([[0], np.cumsum(full)])
-        starts, first = word_spans(data, offsets) if machine.vocabulary.separable else (offsets[:-1][full], np.concatenate([[0], np.cumsum(full)]))
-        ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        keys, at, back = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        raw, found = data.tobytes(), []
-        for i in at:
-            word = raw[starts[i]:ends[i]]
-            ids = memory.get(word)
-            if ids is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                ids = memory[word] = np.array(machine.encode(word), np.int32)
-            found.append(ids)
-        size = np.array([len(x) for x in found], np.int64)
-        pool = np.concatenate(found) if found else np.zeros(0, np.int32)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else size
-        n = size[back] if len(size) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.arange(before[-1]) - np.repeat(before[:-1], n) + np.repeat(begin[back], n)] if len(n) else pool
-        parts.append(tb.lists(ids, before[first]))
+        starts, first = word_spans(data, offsets) if separable else (offsets[:-1][full], np.concatenate([[0], np.cumsum(full)]))
+        ids, n = encode_spans(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts, path)
+        parts.append(tb.lists(ids, np.concatenate([[0], np.cumsum(n)])[first]))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 

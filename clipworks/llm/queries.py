@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import embedding_dedup, line_dedup, minhash, mixing, pieces, quality, toxicity
+from clipworks.llm import embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -62,3 +62,15 @@ def op4(spark, sf_dir):
 @query("op7_embedding_near_dedup")
 def op7(spark, sf_dir):
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op5_secret_scan")
+def op5(spark, sf_dir):
+    out = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "no", F.md5("value").alias("value_md5"), F.length("value").alias("length"), F.round("score", 6).alias("score"), "is_secret")
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    out = lm.score_texts(read(spark, sf_dir, "documents"), keep=~lm.held_out())
+    return out.select(F.col("id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
