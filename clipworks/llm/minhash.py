@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipworks.functions.groups import small_side
 from clipworks.llm import textbytes as tb
 from clipworks.llm.components import components
 from clipworks.llm.frames import fresh
@@ -19,7 +20,11 @@ from clipworks.sources.tables import materialize
 BANDS, ROWS, SKETCH_WORDS = 32, 4, 8
 #: Least similarity of a set of 128 samples that may still be 0.8 in truth: five standard errors of 0.035 below it.
 SLACK = 0.18
-STAR_ROUNDS = 2
+#: A finer sketch of as many samples and 64-bit words, made only for what the first rounds leave open; five standard errors of 0.014.
+FINE_SAMPLES, FINE_WORDS, FINE_SLACK = 1024, 64, 0.07
+STAR_ROUNDS = 4
+#: Ids to confirm up to this number are sent to the texts; more meet them in a shuffle.
+SENT_IDS = 500_000
 
 
 def shingles(column, width: int):
@@ -43,10 +48,8 @@ def shingles(column, width: int):
 
 def signatures(width: int, bands: int = BANDS, rows: int = ROWS, sketch_words: int = SKETCH_WORDS):
     """UDF: set size, two digests of the set, odd sketch and band keys of a text."""
-    rng = np.random.default_rng(7)
     k = bands * rows
-    scale = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    scale, shift = samplers(k)
 
     @F.arrow_udf("struct<n:bigint,d1:bigint,d2:bigint,odd:array<bigint>,bands:array<bigint>>")
     def signature(text: pa.Array) -> pa.Array:
@@ -63,22 +66,54 @@ def signatures(width: int, bands: int = BANDS, rows: int = ROWS, sketch_words: i
                 for i in range(k):
                     least[i, full] = np.minimum.reduceat(h * scale[i] + shift[i], starts)
             keys = np.stack([tb.fold(list(least[b * rows:(b + 1) * rows]), b) for b in range(bands)], axis=1)
-            bit = tb.mix(least + np.arange(k, dtype=np.uint64)[:, None] * np.uint64(0xA24BAED4963EE407)) % np.uint64(64 * sketch_words)
-            odd = np.zeros((len(n), sketch_words), np.uint64)
-            who = np.arange(len(n))
-            for i in range(k):
-                odd[who, (bit[i] >> np.uint64(6)).astype(int)] ^= np.uint64(1) << (bit[i] & np.uint64(63))
+            odd = parities(least, sketch_words)
             parts.append((n, d[0], d[1], odd, keys))
         if not parts:
             return pa.array([], signature_type)
         n, d1, d2, odd, keys = (np.concatenate(x) for x in zip(*parts))
-        grid = lambda a: tb.lists(a.reshape(-1).view(np.int64), np.arange(len(a) + 1) * a.shape[1])
         return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), grid(odd), grid(keys)], ["n", "d1", "d2", "odd", "bands"])
 
     signature_type = pa.struct([("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("odd", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     return signature
 
 
+def parities(samples: np.ndarray, sketch_words: int) -> np.ndarray:
+    """Odd sketches (rows x words): sample i of value v flips bit hash(i, v)."""
+    odd = np.zeros((samples.shape[1], sketch_words), np.uint64)
+    who = np.arange(samples.shape[1])
+    for i, least in enumerate(samples):
+        bit = tb.mix(least + np.uint64(i) * np.uint64(0xA24BAED4963EE407)) % np.uint64(64 * sketch_words)
+        odd[who, (bit >> np.uint64(6)).astype(int)] ^= np.uint64(1) << (bit & np.uint64(63))
+    return odd
+
+
+def samplers(k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, k, dtype=np.uint64)
+
+
+def grid(a: np.ndarray) -> pa.ListArray:
+    return tb.lists(a.reshape(-1).view(np.int64), np.arange(len(a) + 1) * a.shape[1])
+
+
+def fine_sketch(width: int, samples: int = FINE_SAMPLES, sketch_words: int = FINE_WORDS):
+    """UDF: the odd sketch of ``samples`` MinHash samples of a text."""
+    scale, shift = samplers(samples)
+
+    @F.arrow_udf("array<bigint>")
+    def sketch(text: pa.Array) -> pa.Array:
+        parts = []
+        for h, first in shingles(text, width):
+            full = np.flatnonzero(np.diff(first))
+            least = np.zeros((samples, len(first) - 1), np.uint64)
+            for i in range(samples if len(full) else 0):
+                least[i, full] = np.minimum.reduceat(h * scale[i] + shift[i], first[:-1][full])
+            parts.append(grid(parities(least, sketch_words)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return sketch
+
+
 def shingle_sets(width: int):
     """UDF: the distinct shingle hashes of a text."""
 
@@ -96,8 +131,12 @@ def estimate(a: str, b: str, samples: int, sketch_words: int = SKETCH_WORDS) ->
     Each differing sample flips one bit of either bitmap, so the share of odd bits in the XOR is (1 - e^(-4k(1-J)/bits)) / 2.
     """
     bits = 64 * sketch_words
-    odd = sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(1, sketch_words)),
-              F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
+    if sketch_words > 16:  # too long to write out
+        flips = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        odd = F.aggregate(flips, F.lit(0), lambda acc, x: acc + x)
+    else:
+        odd = sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(1, sketch_words)),
+                  F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
     rest = F.greatest(F.lit(1e-9), 1 - 2 * odd / bits)
     return 1 + bits * F.log(rest) / (4 * samples)
 
@@ -117,8 +156,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or null, and is kept only if it has none. Repeated rows get the same answer each. Other columns are not read.
 
     Equal sets are one class from the start, so a group of copies is one row in all that follows. Classes that share a
-    band meet in rounds: each class is compared with one leader of its bands, then bands that still hold more than one
-    component compare across components. No list of a band's members is built and nothing is left out.
+    band meet in rounds: each class is compared with the likeliest of its bands' leaders, which leaves few components
+    in any group; then bands that still hold more than one compare across components, whatever their number.
+    No list of a band's members is built and nothing is left out.
     """
     samples = BANDS * ROWS
     made = docs.select(F.col(id_col).alias("id"), signatures(width)(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
@@ -130,23 +170,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = materialize(banded.join(shared, "key"))
 
-    links, comp, pending = None, None, members.withColumn("comp", F.col("rep"))
+    links, comp, tested, pending = None, None, None, members.withColumn("comp", F.col("rep"))
     for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            lead = F.min_by(F.struct(F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")), F.xxhash64("rep", F.lit(turn)))
+        if turn < STAR_ROUNDS:  # first the same order in all bands, so that stars meet; then one of each band's own
+            order = F.xxhash64("rep", F.lit(0)) if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
+            lead = F.min_by(F.struct(F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")), order)
             leads = pending.groupBy("key").agg(lead.alias("l")).select("key", "l.*")
-            tried = pending.join(leads, "key").where("comp <> lead_comp").select("rep", "lead").distinct()
-            a, b = sketch.alias("a"), sketch.alias("b")
-            pairs = tried.join(a, F.col("a.rep") == tried["rep"]).join(b, F.col("b.rep") == F.col("lead")).where(similar("a", "b", percent, samples))
-            best = F.max_by("lead", F.struct(estimate("a.odd", "b.odd", samples), F.col("lead")))
-            pairs = pairs.groupBy(tried["rep"].alias("a")).agg(best.alias("b"))
-        else:
-            full = materialize(pending.join(sketch, "rep"))
+            tried = pending.join(leads, "key").where("comp <> lead_comp").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+            if tested is not None:
+                tried = tried.join(tested, ["a", "b"], "left_anti")
+            a, b = sketch.alias("x"), sketch.alias("y")
+            pairs = tried.join(a, F.col("x.rep") == F.col("a")).join(b, F.col("y.rep") == F.col("b")).where(similar("x", "y", percent, samples))
+            best = F.max_by("b", F.struct(estimate("x.odd", "y.odd", samples), F.col("b")))
+            pairs = pairs.groupBy("a").agg(best.alias("b"))
+        else:  # whatever is still apart: every pair of different components that shares a band, at the first band it shares
+            fine = _texts_of(docs, id_col, text_col, pending.select(F.col("rep").alias("id")).distinct())
+            fine = materialize(fine.select(F.col("id").alias("rep"), fine_sketch(width)("text").alias("fine")).dropDuplicates(["rep"]))
+            full = materialize(pending.join(classes.select("rep", "n", "odd", "bands"), "rep").join(fine, "rep"))
             a, b = full.alias("a"), full.alias("b")
-            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & similar("a", "b", percent, samples))
-            pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+            first = F.array_min(F.array_intersect(F.col("a.bands"), F.col("b.bands"))) == F.col("a.key")
+            near = estimate("a.fine", "b.fine", FINE_SAMPLES, FINE_WORDS) >= percent / 100 - FINE_SLACK
+            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & similar("a", "b", percent, samples) & first & near)
+            pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+            pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
         pairs = materialize(pairs)
         if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
             found = _confirm(docs, id_col, text_col, pairs, width, percent)
             links = found if links is None else links.union(found)
             comp = components(links)
@@ -172,11 +221,15 @@ def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return now.join(more, "key")
 
 
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(id, text) of the wanted ids; few ids go to the texts, many meet them in a shuffle."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(small_side(ids, SENT_IDS), "id", "left_semi")
+
+
 def _confirm(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) among ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.join(wanted, "id", "left_semi")
+    texts = _texts_of(docs, id_col, text_col, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = texts.withColumn("set", shingle_sets(width)("text")).select("id", "set").dropDuplicates(["id"])
     sets = materialize(sets)
     a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
