@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
+from clipworks.llm import ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -74,3 +74,9 @@ def op5(spark, sf_dir):
 def op2(spark, sf_dir):
     out = lm.score_texts(read(spark, sf_dir, "documents"), keep=~lm.held_out())
     return out.select(F.col("id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_nearest_neighbours")
+def op8(spark, sf_dir):
+    out = ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return out.withColumnRenamed("id", "vec_id")
