@@ -12,18 +12,15 @@ from clipworks.functions.text import clean, col_of, let
 NUMERIC = r"(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})(?:[日\sT]+(\d{1,2})(?::(\d{1,2}))?)?"
 COMPACT = r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)"
 SLASHED = r"(\d{1,2})/(\d{1,2})/(20\d{2})"
-MONTH = (
-    "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-    "(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember)?"
-)
 CLOCK = r"(?: (\d{1,2}:\d{2} [ap]m|\d{2}:\d{2}))?"
-MONTH_FIRST = rf"(?i)^{MONTH} (\d{{1,2}}), (\d{{4}}){CLOCK}$"
-DAY_FIRST = rf"(?i)^(\d{{1,2}}) {MONTH} (\d{{4}}){CLOCK}$"
-MAIL_DATE = r"(?i)^(?:[a-z]{3}, )?(\d{1,2}) ([a-z]{3}) (\d{4}) (\d{2}:\d{2})(?::\d{2})? (?:gmt|[+-]\d{4})$"
 MONTH_WORD = (
     r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
     r"|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
+MONTH = rf"(?={MONTH_WORD}\b)([a-z]{{3}})[a-z]*"
+MONTH_FIRST = rf"(?i)^{MONTH} (\d{{1,2}}), (\d{{4}}){CLOCK}$"
+DAY_FIRST = rf"(?i)^(\d{{1,2}}) {MONTH} (\d{{4}}){CLOCK}$"
+MAIL_DATE = r"(?i)^(?:[a-z]{3}, )?(\d{1,2}) ([a-z]{3}) (\d{4}) (\d{2}:\d{2})(?::\d{2})? (?:gmt|[+-]\d{4})$"
 CLOCK_WORD = r"(?:\s+\d{1,2}:\d{2}(?:\s*[ap]m)?)?"
 HINT_NUMERIC = r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}(?:[日\sT]+\d{1,2}:\d{2})?"
 HINT_COMPACT = r"\b(20\d{2})(\d{2})(\d{2})\b"

@@ -130,7 +130,7 @@ def accessibility_report(versions: DataFrame, fetches: DataFrame, url="url") ->
 
 def verify_summaries(current: DataFrame, fetches: DataFrame, url="url", body="body", summary="summary") -> DataFrame:
     """Bodies filled from the fetch table where missing, then each summary judged: ``valid`` and ``verdict``."""
-    pages = fetches.groupBy(url).agg(F.first("page_text", ignorenulls=True).alias("_page"))
+    pages = fetches.groupBy(url).agg(F.max("page_text").alias("_page"))
     filled = current.join(pages, url, "left").withColumn(
         body, F.coalesce(F.nullif(text.clean(body), F.lit("")), "_page", F.lit(""))).drop("_page")
     filled = filled.withColumn("_in", terms.contained(summary, body))

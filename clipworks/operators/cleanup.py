@@ -42,7 +42,7 @@ def body_backfill(heads: DataFrame, versions: DataFrame, fetches: DataFrame, url
     """``(version_id, body)`` for current versions without a body whose page was fetched."""
     empty = versions.filter(F.coalesce("body", F.lit("")) == "").join(
         heads.select(F.col("current_version_id").alias("version_id")), "version_id", "left_semi")
-    pages = fetches.groupBy(url).agg(F.first("page_text", ignorenulls=True).alias("_page"))
+    pages = fetches.groupBy(url).agg(F.max("page_text").alias("_page"))
     return empty.join(pages, url).filter("_page <> ''").select("version_id", F.col("_page").alias("body"))
 
 

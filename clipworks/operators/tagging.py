@@ -37,18 +37,25 @@ def flag_title_only(df: DataFrame, title="title", summary="summary", out="title_
     return df.withColumn(out, (text.clean(title) != "") & (text.clean(title) == text.clean(summary)))
 
 
+def real_terms(table: DataFrame, col="term") -> DataFrame:
+    """Rows whose term is neither null nor blank."""
+    return table.filter(F.trim(col) != "")
+
+
 def match_terms(df: DataFrame, term_list, id_col="id", col="body", word_boundary=False, ignore_case=False) -> DataFrame:
     """Long table ``(id, term)`` of the terms found in a text column.
 
     A list, or a term table that proves small, becomes plain searches inside one scan of the documents.
-    A larger table meets the documents in an equi-join on the first two characters of each term.
+    A larger table meets the documents in an equi-join on the first ``ANCHOR`` characters of each term.
+    Null and blank terms match nothing, whichever way is taken.
     """
     if isinstance(term_list, DataFrame):
-        table = term_list.select(F.col(term_list.columns[0]).alias("term")).distinct()
+        table = real_terms(term_list.select(F.col(term_list.columns[0]).alias("term"))).distinct()
         rows = groups.bounded(table, MAX_LITERAL_TERMS)
         if rows is None:
             return match_term_table(df, table, id_col, col, word_boundary, ignore_case)
         term_list = sorted(r.term for r in rows)
+    term_list = [t for t in term_list if t and t.strip()]
     hay = F.lower(col_of(col)) if ignore_case or word_boundary else col_of(col)
     if ignore_case or word_boundary:
         found = terms.matched(F.col("_hay"), term_list, word_boundary)
@@ -163,7 +170,7 @@ def resolve_regions(df: DataFrame, regions: DataFrame, themes: DataFrame, entiti
     regions(term, region_id) · themes(term, region_id) · entities(entity_id, region_ids).
     Tags are part of the searched text, so one search finds tags and mentions alike.
     """
-    wanted = regions.select("term", "region_id").unionByName(themes.select("term", "region_id"))
+    wanted = real_terms(regions.select("term", "region_id").unionByName(themes.select("term", "region_id")))
     rows = groups.bounded(wanted, MAX_LITERAL_TERMS)
     docs = df.select(id_col, "entity_ids", matching_text().alias("_full"))
     if rows is None:
@@ -215,13 +222,15 @@ def with_entities(df: DataFrame, entities: DataFrame, col="body", id_col="id", o
 
     A whitelist that proves small is searched in place; a larger one goes through ``match_terms``.
     """
-    rows = groups.bounded(entities.select("entity_id", F.concat(F.array("name"), "aliases").alias("names")), MAX_LITERAL_TERMS)
+    names = F.filter(F.concat(F.array("name"), F.coalesce("aliases", terms.strings([]))), lambda t: F.coalesce(F.trim(t), F.lit("")) != "")
+    entities = entities.select("entity_id", F.array_distinct(names).alias("names"))
+    rows = groups.bounded(entities, MAX_LITERAL_TERMS)
     listed = F.coalesce(F.col("entity_ids"), terms.strings([])) if "entity_ids" in df.columns else terms.strings([])
     if rows is not None:
         said = terms.keep((r.entity_id, terms.any_term(col_of(col), r.names)) for r in rows)
         known = F.array_intersect(listed, terms.strings([r.entity_id for r in rows]))
         return df.withColumn(out, F.array_sort(F.array_union(said, known)))
-    alias = entities.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("term"))
+    alias = entities.select("entity_id", F.explode("names").alias("term"))
     said = match_terms(df, alias.select("term"), id_col, col).join(alias, "term").select(id_col, "entity_id")
     if "entity_ids" in df.columns:
         known = df.select(id_col, F.explode("entity_ids").alias("entity_id")).join(entities.select("entity_id"), "entity_id", "left_semi")

@@ -30,12 +30,12 @@ def import_sources(spark, d):
     return files.resolve_sources(bind.articles(spark, d), known).select("id", "source_active", "is_stub")
 
 
-@query("io3_import_articles", """WITH b AS (SELECT source, 'u' || (doc_id % 200) AS u, substr(text, 1, 2) AS h FROM documents)
+@query("io3_import_articles", """WITH b AS (SELECT source, 'u' || (doc_id % 200) AS u, sha256(text) AS h FROM documents)
 SELECT (SELECT count(*) FROM b) AS accepted, (SELECT count(*) FROM (SELECT DISTINCT source, u, h FROM b)) AS inserted, (SELECT count(*) FROM b) - (SELECT count(*) FROM (SELECT DISTINCT source, u, h FROM b)) AS duplicates""")
 def import_articles(spark, d):
     n = F.col("doc_id")
     rows = load_table(spark, d, "documents").select(
-        n.alias("seq"), "source", F.concat(F.lit("u"), n % 200).alias("canonical_url"), F.lit("").alias("slug"), F.substring("text", 1, 2).alias("content_hash"))
+        n.alias("seq"), "source", F.concat(F.lit("u"), n % 200).alias("canonical_url"), F.lit("").alias("slug"), F.sha2("text", 256).alias("content_hash"))
     heads, vers = _empty(rows.withColumn("source_id", F.lit(0).cast("bigint")))
     known = bind.sources(spark, d).filter("source_id % 4 <> 3")
     return files.import_articles(rows, known, heads, vers, "2024-01-01")[2]

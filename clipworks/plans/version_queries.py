@@ -21,7 +21,7 @@ def _batch(spark, d, keep):
     n = F.col("doc_id")
     return load_table(spark, d, "documents").filter(keep).select(
         n.alias("seq"), (n % 5).alias("source_id"), F.concat(F.lit("u"), n % 200).alias("canonical_url"),
-        F.concat(F.lit("s"), n).alias("slug"), F.substring("text", 1, 2).alias("content_hash"))
+        F.concat(F.lit("s"), n).alias("slug"), F.sha2("text", 256).alias("content_hash"))
 
 
 def _empty(batch):
@@ -32,7 +32,7 @@ def _empty(batch):
     return heads, vers
 
 
-PV = """b AS (SELECT doc_id AS seq, doc_id % 5 AS source_id, 'u' || (doc_id % 200) AS url, substr(text, 1, 2) AS h, doc_id % 2 = 0 AS in1, doc_id % 3 = 0 AS in2 FROM documents),
+PV = """b AS (SELECT doc_id AS seq, doc_id % 5 AS source_id, 'u' || (doc_id % 200) AS url, sha256(text) AS h, doc_id % 2 = 0 AS in1, doc_id % 3 = 0 AS in2 FROM documents),
 v1 AS (SELECT source_id, url, h, min(seq) AS seq, 1 AS batch FROM b WHERE in1 GROUP BY 1, 2, 3),
 v2 AS (SELECT source_id, url, h, min(seq) AS seq, 2 AS batch FROM b WHERE in2 AND (source_id, url, h) NOT IN (SELECT source_id, url, h FROM v1) GROUP BY 1, 2, 3),
 v AS (FROM v1 UNION ALL FROM v2)"""

@@ -160,7 +160,7 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("id") % 3
     return arts.select(
         "id", "source", "language", "published_at", "url", text.clean("title").alias("title"),
-        F.substring(text.clean("body"), 1, 260).alias("summary"),
+        text.clean("body").alias("summary"),
         terms.matched(F.col("_low"), DOMAIN, word_boundary=False).alias("keywords"),
         tagging.region_list(F.col("body"), REGIONS, "none").alias("region_tags"),
         (F.size(terms.keep((t, F.contains(F.col("body"), F.lit(t))) for t in REGIONS)) > 0).alias("is_related"),

@@ -47,29 +47,31 @@ def late_report(df: DataFrame, col: str, start: str, end: str, keys=(), grace_se
     return df.withColumn("arrival", arrival).groupBy(*keys, "arrival").agg(F.count("*").alias("n"))
 
 
-def ingest_stream(source: DataFrame, store: str, checkpoint: str, key: str, time_col: str, lateness: str = "1 day"):
+def ingest_stream(source: DataFrame, store: str, checkpoint: str, key: str, time_col: str):
     """Start an ingest that stores each key once although windows overlap and batches may be retried.
 
-    Duplicates within the watermark are dropped by keyed state. Each micro-batch writes its own folder, named by
-    the batch id and overwritten on retry, after an anti-join with the keys of earlier batches: exactly once.
-    Run with the returned query's ``awaitTermination``; state and store lie in shared folders.
+    Rows may come at any time and in any order: nothing is dropped as late. Each micro-batch writes its own folder,
+    named by the batch id and overwritten on retry, by day of ``time_col``, after an anti-join with the keys that
+    earlier batches stored for the days it touches: exactly once, and no more of the store is read than those days.
+    A key keeps its time; rows without one share a day of their own. Store and state lie in shared folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch
+        day = F.coalesce(F.date_format(time_col, "yyyy-MM-dd"), F.lit("none"))
+        fresh = batch.dropDuplicates([key]).withColumn("day", day)
         if batch_id > 0:
-            earlier = spark.read.schema(batch.schema).parquet(f"{store}/batch=*").select(key, F.input_file_name().alias("_f"))
-            earlier = earlier.filter(~F.contains(F.col("_f"), F.lit(f"/batch={batch_id}/"))).select(key)
-            fresh = batch.join(earlier, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+            schema = f"{batch.select(key).schema.toDDL()}, batch BIGINT, day STRING"
+            earlier = spark.read.schema(schema).option("basePath", store).parquet(f"{store}/batch=*").filter(F.col("batch") != batch_id)
+            days = batch.select(day.alias("day")).distinct()
+            fresh = fresh.join(earlier.join(F.broadcast(days), "day", "left_semi").select(key), key, "left_anti")  # one row a day
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={batch_id}")
 
-    stamped = source.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, lateness)
-    unique = stamped.dropDuplicatesWithinWatermark([key])
-    return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stamped = source.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return stamped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{store}/batch=*")
+    return spark.read.schema(schema).option("basePath", store).parquet(f"{store}/batch=*")
 
 
 def ingest_versions(source: DataFrame, store: str, checkpoint: str):
