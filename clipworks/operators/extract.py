@@ -69,12 +69,14 @@ def extract_published_at(pages: DataFrame, metas=config.DATE_METAS, col="html",
     return pages.withColumn(out, page_date(metas, col, url, link_hint, zone))
 
 
-def pages_to_candidates(pages: DataFrame, required=config.REQUIRED_TERMS) -> DataFrame:
+def pages_to_candidates(pages: DataFrame, required=config.REQUIRED_TERMS, known_date: Column | None = None) -> DataFrame:
     """Article candidates: title, body, natural summary, cover, date; pages without title or date are dropped.
 
+    A ``known_date`` wins over what the page says.
+
     Every stage is a projection of the page row: one scan, no shuffle.
     """
-    made = {"title": page_title(), "published_at": page_date()}
+    made = {"title": page_title(), "published_at": page_date() if known_date is None else F.coalesce(known_date, page_date())}
     out = groups.keep_computed(pages, made, lambda x: (x["title"] != "") & x["published_at"].isNotNull())
     out = extract_body(out)
     out = out.withColumn("summary", terms.natural_summary("body", required))

@@ -49,16 +49,20 @@ def replay_strict(cands: DataFrame, reasons, order, languages=None, with_accepte
     return rows.orderBy(*order).limit(need) if need is not None else rows
 
 
-def restore_from_audit(audit: DataFrame, pages: DataFrame, heads: DataFrame, required=config.REQUIRED_TERMS) -> DataFrame:
-    """Articles to insert again: audit rows marked for deletion, one per URL, rebuilt from their fetched pages.
+def restore_from_audit(audit: DataFrame, pages: DataFrame, heads: DataFrame, required=config.REQUIRED_TERMS, judge=None) -> DataFrame:
+    """Articles to insert again: audit rows marked for deletion, one per source and URL, rebuilt from their fetched pages.
 
-    audit(source_id, original_url, action); pages(url, html).
+    audit(source_id, original_url, published_at, action); pages(url, html). The audited date wins over the page's.
+    ``judge`` adds ``qualified`` to the rebuilt rows, as ``review.compliance`` does over assessed ones; without it all
+    rebuilt rows with a title, a summary and a detail URL qualify.
     """
-    wanted = audit.filter("action = 'will_delete'").withColumn("canonical_url", urls.canonical("original_url")).groupBy("canonical_url").agg(
-        F.min("source_id").alias("source_id"))
+    wanted = audit.filter("action = 'will_delete'").withColumn("canonical_url", urls.canonical("original_url")).groupBy("source_id", "canonical_url").agg(
+        F.max("published_at").alias("audited_at"))
     fetched = pages.withColumn("canonical_url", urls.canonical("url")).join(wanted, "canonical_url")
-    rebuilt = extract.pages_to_candidates(fetched, required).filter(
+    rebuilt = extract.pages_to_candidates(fetched, required, F.col("audited_at")).drop("audited_at").filter(
         (F.length("title") >= 6) & (F.col("summary") != "") & urls.is_detail("canonical_url"))
+    if judge is not None:
+        rebuilt = judge(rebuilt).filter("qualified")
     rows = rebuilt.withColumns({
         "content_hash": F.sha2(F.concat_ws("\n", "title", "summary", "canonical_url"), 256), "seq": F.col("page_id"),
         "slug": text.slug("title", "source_id", "canonical_url")})

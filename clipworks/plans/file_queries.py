@@ -117,7 +117,7 @@ def restore_from_audit(spark, d):
     n = F.col("page_id")
     own = F.concat(F.lit("https://a.example.com/news/"), n, F.lit(".html"))
     pages = bind.pages(spark, d).withColumn("url", own)
-    audit = load_table(spark, d, "pages").select((n % 7).alias("source_id"), F.concat(own, F.lit("#x")).alias("original_url"), F.when(n % 2 == 0, "will_delete").otherwise("keep").alias("action"))
+    audit = load_table(spark, d, "pages").select((n % 7).alias("source_id"), F.concat(own, F.lit("#x")).alias("original_url"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("published_at"), F.when(n % 2 == 0, "will_delete").otherwise("keep").alias("action"))
     heads = load_table(spark, d, "pages").limit(0).select(F.lit("").alias("news_id"))
     return replay.restore_from_audit(audit, pages, heads, bind.REQUIRED).select("page_id", "canonical_url", "title", "summary")
 
