@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipworks.llm import textbytes as tb
-from clipworks.llm.frames import fresh, one_label, remainder
+from clipworks.llm.frames import one_label, remainder
+from clipworks.sources.tables import materialize
 
 STATISTICS = ["log_words", "word_bytes", "word_spread", "distinct_words", "repeats", "upper", "digits", "marks", "marked_words", "lone_marks", "line_words", "line_ends", "distinct_lines"]
 TO_POOLED, TO_DIAGONAL, FLOOR = 0.1, 0.1, 1e-3
@@ -111,16 +112,31 @@ def model(count: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Model:
     return Model(centre, scale, mean, factor, log_det, np.log((count + 1) / (count.sum() + 2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None) -> Model:
-    """The model over all labelled texts (``keep`` says which labels may be learnt from): every task adds up its own sums, the driver gets two rows."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) for every row: the statistics of its text, written once so that fitting and scoring read each text once and move none."""
+
+    @F.arrow_udf("array<double>")
+    def taken(text: pa.Array) -> pa.Array:
+        x = statistics(text)
+        return tb.lists(x.ravel(), np.arange(len(x) + 1) * len(STATISTICS))
+
+    return materialize(docs.select(F.col(id_col).alias("id"), taken(F.coalesce(F.col(text_col), F.lit(""))).alias("x")))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+
+
+def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", keep: Column | None = None) -> Model:
+    """The model over all labelled rows of ``measured`` (``keep`` says which labels may be learnt from): every task adds up its own sums, the driver gets two rows."""
     lab = one_label(labels if keep is None else labels.where(keep), id_col, label_col).where("label IN (0, 1)")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, "id").select("label", "text")
+    rows = measured.join(lab, "id").select("label", "x")
     d = len(STATISTICS)
 
     def add(batches):
         count, sums, products = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
-            x, y = statistics(batch.column(1)), batch.column(0).to_numpy()
+            x, y = _matrix(batch.column(1)), batch.column(0).to_numpy()
             for c in (0, 1):
                 own = x[y == c]
                 count[c] += len(own)
@@ -135,14 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model(total[:, 0], total[:, 1:1 + d], total[:, 1 + d:].reshape(2, d, d))
 
 
-def score_texts(docs: DataFrame, fitted: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score`` (renamed on a clash), the probability of class 1. Null texts are empty; every row is scored by itself."""
+def score(measured: DataFrame, fitted: Model) -> DataFrame:
+    """(id, quality_score), the probability of class 1, for every row of ``measured``. Null texts were measured as empty; repeats score alike."""
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array(fitted.score(statistics(text)))
+    def scored(x: pa.Array) -> pa.Array:
+        return pa.array(fitted.score(_matrix(x)))
 
-    return docs.withColumn(fresh(docs, "quality_score"), score.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    return measured.select("id", scored.asNondeterministic()("x").alias("quality_score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

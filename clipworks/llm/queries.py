@@ -53,10 +53,10 @@ def op1(spark, sf_dir):
 
 @query("op4_quality")
 def op4(spark, sf_dir):
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    out = quality.score_texts(docs.select("doc_id", "text"), quality.fit(docs, labels, keep=~quality.held_out()))
+    measured = quality.measure(read(spark, sf_dir, "documents"))
+    out = quality.score(measured, quality.fit(measured, read(spark, sf_dir, "labels"), keep=~quality.held_out()))
     score = F.col("quality_score")
-    return out.select("doc_id", quality.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 @query("op7_embedding_near_dedup")
