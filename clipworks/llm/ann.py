@@ -17,9 +17,9 @@ from clipworks.functions.groups import top_k
 from clipworks.sources.tables import materialize
 
 #: Neighbours kept of a vector, reverse ones looked at, rounds of NN-descent, bucketings to start from and rows of a bucket.
-DEGREE, REVERSE, ROUNDS, BUCKETINGS, BUCKET = 32, 32, 3, 6, 512
+DEGREE, REVERSE, ROUNDS, BUCKETINGS, BUCKET = 40, 40, 4, 6, 512
 #: Candidates each comparison hands on per vector; vectors a search keeps, opens at a time, and its steps.
-HANDED, BEAM, OPENED, STEPS = 10, 128, 32, 4
+HANDED, BEAM, OPENED, STEPS = 12, 224, 56, 4
 
 
 def usable(v: str) -> Column:
