@@ -35,10 +35,10 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]) if weights else F.lit(None).cast("map<string,double>")
         weight = F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0))
-    counts = counts.withColumn("weight", weight)
-    total = counts.agg(F.sum("n").alias("docs"), F.sum("weight").alias("all"))
-    rate = F.when(F.col("all") > 0, F.col("weight") / F.col("all") * F.col("docs") * epochs / F.col("n")).otherwise(0.0)
-    rates = counts.join(F.broadcast(total), F.lit(True)).select("source", rate.alias("rate"))  # the total is one row
+    counts = materialize(counts.withColumn("weight", weight))
+    docs_total, weights_total = counts.agg(F.sum("n"), F.sum("weight")).first()
+    rate = F.col("weight") / float(weights_total) * float(docs_total) * epochs / F.col("n") if weights_total else F.lit(0.0)
+    rates = counts.select("source", rate.alias("rate"))
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int"))
     part = F.col("rate") / F.col("parts")
     last = (F.ceil(part + 12 * F.sqrt(part)) + 30).cast("int")
