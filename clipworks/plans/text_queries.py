@@ -203,13 +203,11 @@ def strip_term_suffix(spark, d):
 @query("tx18_recover_title", """
 WITH t AS (SELECT doc_id, substr(replace(replace(split_part(text, chr(10), 1), '-', ''), '|', ''), 1, 30) AS w, source FROM documents),
  r AS (SELECT doc_id, trim(w) AS w, source FROM t)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(w) >= 1 THEN CASE WHEN length(w) >= 6 THEN w ELSE 'ab | ' || w END
-  WHEN doc_id % 3 = 1 THEN 'ab | ' || w ELSE w || ' - ' || source END AS title
-FROM r WHERE length(w) >= 6 AND regexp_matches(w, '^[ -~]+$')""")
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN w WHEN doc_id % 3 = 1 THEN trim('ab | ' || w) ELSE w || ' - ' || source END AS title FROM r""")
 def recover_title(spark, d):
     n = F.col("doc_id") % 3
     w = F.trim(F.substring(F.regexp_replace(F.substring_index("text", "\n", 1), "[-|]", ""), 1, 30))
-    docs = load_table(spark, d, "documents").select("doc_id", "source", w.alias("w")).filter((F.length("w") >= 6) & F.col("w").rlike("^[ -~]+$"))
+    docs = load_table(spark, d, "documents").select("doc_id", "source", w.alias("w"))
     docs = docs.withColumn("raw", F.when(n == 0, F.col("w")).when(n == 1, F.concat(F.lit("ab | "), "w")).otherwise(F.concat("w", F.lit(" - "), "source")))
     docs = docs.withColumn("cleaned", F.when(n == 1, "ab").otherwise(F.lit(None).cast("string")))
     return ops.recover_title(docs, "raw", "cleaned", "source").select("doc_id", "title")
