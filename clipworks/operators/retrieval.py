@@ -26,7 +26,7 @@ def latest_question(turns: DataFrame, key="conv_id") -> DataFrame:
 def extract_signals(turns: DataFrame, k: int = MAX_SIGNALS, recent: int = 6, key="conv_id") -> DataFrame:
     """``(key, value, weight, rank)``: whole texts, CJK runs and their 2- to 4-grams, Latin words; best ``k``.
 
-    Grams are made inside each turn, reduced to the turn's distinct values before anything is shuffled.
+    Grams are made inside each turn and reduced to distinct values by partial sums before the shuffle.
     """
     rows = turns.filter(F.col("from_end") <= recent)
     low = F.lower(F.trim("text"))
@@ -43,11 +43,11 @@ def extract_signals(turns: DataFrame, k: int = MAX_SIGNALS, recent: int = 6, key
         return F.concat(of(2), of(3), of(4))
 
     words = F.regexp_extract_all(low, F.lit("[a-z][a-z0-9-]{1,}"), F.lit(0))
-    every = F.array_distinct(F.concat(
+    every = F.concat(
         F.array(F.struct(low.alias("value"), F.when(F.col("from_end") == 1, 5).otherwise(3).alias("weight"))),
         weigh(runs, lambda v: F.lit(4)),
         weigh(F.flatten(F.transform(runs, grams)), lambda v: F.when(F.length(v) == 4, 2).otherwise(3)),
-        weigh(words, lambda v: F.when(F.length(v) >= 6, 4).otherwise(3))))
+        weigh(words, lambda v: F.when(F.length(v) >= 6, 4).otherwise(3)))
     best = rows.select(key, F.explode(every).alias("s")).filter(F.length("s.value") >= 2).groupBy(key, "s.value").agg(F.max("s.weight").alias("weight"))
     return groups.top_k(best, [key], [F.desc("weight"), F.desc(F.length("value")), F.asc("value")], k, rank="rank")
 
