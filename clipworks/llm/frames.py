@@ -27,3 +27,11 @@ def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(id, label) with one row per id; null ids and labels are left out, of contrary labels the larger one holds."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     return rows.dropna().groupBy("id").agg(F.max("label").alias("label"))
+
+
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Hands texts to Python in batches of ``rows`` at most, so that memory doesn't follow Spark's default of 10 000 whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = int(df.sparkSession.conf.get(key))
+    if size <= 0 or size > rows:
+        df.sparkSession.conf.set(key, rows)

@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from clipworks.functions.groups import small_side
 from clipworks.llm import textbytes as tb
 from clipworks.llm.components import components
-from clipworks.llm.frames import fresh
+from clipworks.llm.frames import bounded_batches, fresh
 from clipworks.sources.tables import materialize
 
 BANDS, ROWS, SKETCH_WORDS = 32, 4, 8
 #: Least similarity of a set of 128 samples that may still be 0.8 in truth: five standard errors of 0.035 below it.
 SLACK = 0.18
-#: A finer sketch of as many samples and 64-bit words, made only for what the first rounds leave open; five standard errors of 0.014.
-FINE_SAMPLES, FINE_WORDS, FINE_SLACK = 1024, 64, 0.07
-STAR_ROUNDS = 4
+#: A finer sketch of as many samples and 64-bit words, made only for what the first rounds leave open; five standard errors of 0.01.
+FINE_SAMPLES, FINE_WORDS, FINE_SLACK = 2048, 128, 0.05
+STAR_ROUNDS = 2
 #: Ids to confirm up to this number are sent to the texts; more meet them in a shuffle.
 SENT_IDS = 500_000
 
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in any group; then bands that still hold more than one compare across components, whatever their number.
     No list of a band's members is built and nothing is left out.
     """
+    bounded_batches(docs)
     samples = BANDS * ROWS
     made = docs.select(F.col(id_col).alias("id"), signatures(width)(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     sig = materialize(made.select("id", "s.*"))
