@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipworks.llm import textbytes as tb
-from clipworks.llm.frames import fresh
+from clipworks.llm.frames import bounded_batches, fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -26,7 +26,7 @@ FRACTION = 1 << 20
 #: A byte that no piece covers costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10 * FRACTION
 #: Words remembered by a task; when full, the memory starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 @dataclass
@@ -148,10 +148,10 @@ def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: s
         if ids is None:
             if len(memory) >= REMEMBERED:
                 memory.clear()
-            ids = memory[word] = np.array(machine.encode(word), np.int32)
+            ids = memory[word] = np.array(machine.encode(word), np.int32).tobytes()
         found.append(ids)
-    size = np.array([len(x) for x in found], np.int64)
-    pool, begin, n = np.concatenate(found), np.cumsum(size) - size, size[back]
+    size = np.array([len(x) // 4 for x in found], np.int64)
+    pool, begin, n = np.frombuffer(b"".join(found), np.int32), np.cumsum(size) - size, size[back]
     before = np.cumsum(n) - n
     return pool[np.arange(n.sum()) - np.repeat(before, n) + np.repeat(begin[back], n)], n
 
@@ -179,9 +179,18 @@ def decode(column, path: str = MODEL) -> pa.Array:
     """The text of each list of ids: pieces and bytes joined, without the first word mark. Unknown and control ids give nothing."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    count = np.array(column.value_lengths().fill_null(0))
+    first, parts, row = np.concatenate([[0], np.cumsum(count)]), [], 0
+    while row < len(count):  # runs of rows, so that memory follows the longest list
+        last = max(row + 1, int(np.searchsorted(first, first[row] + tb.CHUNK // 4, "right")) - 1)
+        parts.append(_decoded(column.slice(row, last - row), count[row:last], path))
+        row = last
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def _decoded(column: pa.ListArray, count: np.ndarray, path: str) -> pa.Array:
     joined, begin, size = _table(path)
     ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    count = np.array(column.value_lengths().fill_null(0))
     first = np.concatenate([[0], np.cumsum(count)])
     before = np.concatenate([[0], np.cumsum(size[ids])])
     starts, ends = before[first[:-1]], before[first[1:]]
@@ -233,4 +242,5 @@ def encode_texts(docs: DataFrame, text_col: str = "text", path: str = MODEL) ->
     Every text comes back by ``decode_column``, byte for byte: characters without a piece, a literal word mark among
     them, are spelt in byte pieces. Rows are independent, so nulls, repeats and other columns pass through.
     """
+    bounded_batches(docs)
     return docs.withColumn(fresh(docs, "piece_ids"), encode_column(F.coalesce(F.col(text_col), F.lit("")), path))
