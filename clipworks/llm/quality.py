@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipworks.llm import textbytes as tb
-from clipworks.llm.frames import one_label, remainder
+from clipworks.llm.frames import bounded_batches, one_label, remainder
 from clipworks.sources.tables import materialize
 
 STATISTICS = ["log_words", "word_bytes", "word_spread", "distinct_words", "repeats", "upper", "digits", "marks", "marked_words", "lone_marks", "line_words", "line_ends", "distinct_lines"]
@@ -120,6 +120,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         x = statistics(text)
         return tb.lists(x.ravel(), np.arange(len(x) + 1) * len(STATISTICS))
 
+    bounded_batches(docs)
     return materialize(docs.select(F.col(id_col).alias("id"), taken(F.coalesce(F.col(text_col), F.lit(""))).alias("x")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipworks.llm import textbytes as tb
-from clipworks.llm.frames import fresh, one_label, remainder
+from clipworks.llm.frames import bounded_batches, fresh, one_label, remainder
 from clipworks.sources.tables import materialize
 
 #: Bounds of the fitted model: examples per class and terms. Everything else sees all rows.
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The examples are the ``examples_per_class`` of each class with the smallest hashed ids. The driver gets those at
     most, each with no more than ``max_terms`` terms, which makes the bound of the model that the executors share.
     """
+    bounded_batches(docs)
     lab = one_label(labels if keep is None else labels.where(keep), id_col, label_col).where("label IN (0, 1)")
     n = {r[0]: r[1] for r in lab.groupBy("label").count().collect()}
     few = [lab.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(examples_per_class) for value in (0, 1)]
@@ -182,6 +183,7 @@ def score_texts(docs: DataFrame, index: Index, text_col: str = "text") -> DataFr
     Null and empty texts, and texts without known terms, have no neighbours and get the share of the positive class.
     Repeated rows get equal scores. An index without examples gives every text that share, 0 if nothing was labelled.
     """
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     return docs.withColumn(fresh(docs, "toxicity"), scorer(shared)(F.coalesce(F.col(text_col), F.lit(""))))
 
