@@ -1,11 +1,17 @@
-"""Line dedup by content-defined chunks: repeated passages of several lines are removed wherever they stand.
+"""Line dedup: repeated passages of several lines are removed wherever they stand.
 
-A hash rolls over the hashes of neighbouring lines and closes a chunk where it hits a residue, so the boundaries inside
-a passage depend on its own lines only and come out alike after any insertion before it.
+``dedup_runs`` looks at the passage from every line on, so every repeated run of lines goes whole: a run is the union of
+the shortest passages in it, which are all repeated too.
+
+``dedup_lines`` is coarser and looks at content-defined chunks only. A hash rolls over the hashes of neighbouring lines
+and closes a chunk where it hits a residue, so the boundaries inside a passage depend on its own lines only and come out
+alike after any insertion before it; lines before the first and after the last boundary inside a passage stay.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,12 +19,13 @@ from pyspark.sql import functions as F
 
 from clipworks.llm import textbytes as tb
 from clipworks.llm.frames import bounded_batches, fresh
+from clipworks.sources.tables import materialize
 
 WINDOW, DIVISOR, MIN_LINES = 2, 4, 2
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, window: int, divisor: int):
-    """Of runs of rows: line starts and ends, the first line of each row, chunk ends (as line numbers) and the first chunk of each row.
+def split(data: np.ndarray, offsets: np.ndarray):
+    """Of runs of rows: line starts and ends and the first line of each row (rows + 1).
 
     Every row has at least one line, if empty. The line feed that ends a line is no part of it.
     """
@@ -32,6 +39,12 @@ def cut(data: np.ndarray, offsets: np.ndarray, window: int, divisor: int):
     inner = np.ones(first[-1], bool)
     inner[first[1:] - 1] = False
     ends[first[1:] - 1], ends[inner] = offsets[1:], feeds
+    return starts, ends, first
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, window: int, divisor: int):
+    """Line starts and ends, the first line of each row, chunk ends (as line numbers) and the first chunk of each row."""
+    starts, ends, first = split(data, offsets)
     h = tb.span_hash(data, starts, ends)
     rolled, row_start = h.copy(), first[:-1][tb.owner(first)]
     for k in range(1, window):
@@ -121,3 +134,79 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = joined.withColumn(made, without(window, divisor).asNondeterministic()(docs[text_col], listed))
     out = out.select(*[F.col(f"{made}.text").alias(c) if c == text_col else docs[c] for c in docs.columns], F.col(f"{made}.removed").alias(count))
     return out.where(f"NOT (`{count}` > 0 AND `{text_col}` = '')") if drop_emptied else out
+
+
+def filled_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of the lines that aren't blank."""
+    solid = np.concatenate([[0], np.cumsum(~tb.SPACE[data])])
+    return np.flatnonzero(solid[ends] > solid[starts])
+
+
+def passage_rows(min_lines: int = MIN_LINES):
+    """mapInArrow function over (id, text): (id, no, digest) of the passage of ``min_lines`` lines that aren't blank from each such line on, blank ones between included."""
+
+    def rows(batches):
+        for batch in batches:
+            at = 0
+            for data, offsets in tb.chunks(batch.column(1)):
+                starts, ends, first = split(data, offsets)
+                filled, row = filled_lines(data, starts, ends), tb.owner(first)
+                lo, hi = filled[:max(0, len(filled) - min_lines + 1)], filled[min_lines - 1:]
+                inside = row[lo] == row[hi]
+                lo, hi = lo[inside], hi[inside]
+                if len(lo):
+                    raw = data.tobytes()
+                    digests = [sha256(raw[a:b]).digest() for a, b in zip(starts[lo].tolist(), ends[hi].tolist())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row[lo])), pa.array((lo - first[row[lo]]).astype(np.int32)), pa.array(digests, pa.binary())], ["id", "no", "digest"])
+                at += len(offsets) - 1
+
+    return rows
+
+
+def without_passages(min_lines: int = MIN_LINES):
+    """UDF: the text without the listed passages (first line and digest), and how many lines went. A null text stays null."""
+
+    @F.arrow_udf("struct<text:string,removed:int>")
+    def rest(text: pa.Array, gone: pa.Array) -> pa.Array:
+        texts, removed = text.to_pylist(), [0] * len(text)
+        for i, listed in enumerate(gone.to_pylist()):
+            if not listed or not texts[i]:
+                continue
+            data, offsets = tb.flat(pa.array([texts[i]]))
+            starts, ends, _ = split(data, offsets)
+            filled, raw, stays = filled_lines(data, starts, ends), data.tobytes(), np.ones(len(starts), bool)
+            end = dict(zip(filled.tolist(), filled[min_lines - 1:].tolist()))
+            for g in listed:
+                last = end.get(g["no"])
+                if last is not None and sha256(raw[starts[g["no"]]:ends[last]]).digest() == g["digest"]:
+                    stays[g["no"]:last + 1] = False
+            if not stays[filled].any():  # blank lines don't stay alone
+                stays[:] = False
+            removed[i] = int((~stays).sum())
+            texts[i] = b"\n".join(raw[starts[k]:ends[k]] for k in np.flatnonzero(stays)).decode()
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["text", "removed"])
+
+    return rest
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, drop_emptied: bool = True) -> DataFrame:
+    """``docs`` without the lines of every run, of ``min_lines`` or more lines that aren't blank, whose bytes stand earlier: at a smaller id, or before in the same text.
+
+    A run begins and ends with a line that isn't blank, so blank lines around it stay, but not alone in a text. A removed
+    line stays where it stood first, also where runs overlap. Adds removed_lines (renamed on a clash). Bytes are compared
+    by SHA-256. Texts that had lines and lost all go, with ``drop_emptied``. Null and empty texts, and rows with a null
+    id, are returned as they are. Rows that repeat an id count as one document.
+    """
+    bounded_batches(docs)
+    narrow = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    spots = materialize(narrow.mapInArrow(passage_rows(min_lines), f"id {kind}, no int, digest binary"))
+    keep = spots.groupBy("digest").agg(F.min(F.struct("id", "no")).alias("keep"), F.count("*").alias("c")).where("c > 1").select("digest", "keep")
+    gone = spots.join(keep, "digest").where("struct(id, no) <> keep").select("id", "no", "digest").distinct()
+    key, made, count = fresh(docs, "gone_id"), fresh(docs, "made"), fresh(docs, "removed_lines")
+    gone = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("no", "digest")).alias(made))
+    joined = docs.join(gone, docs[id_col] == F.col(key), "left")
+    listed = F.coalesce(F.col(made), F.array().cast("array<struct<no:int,digest:binary>>"))
+    out = joined.withColumn(made, without_passages(min_lines).asNondeterministic()(docs[text_col], listed))
+    out = out.select(*[F.col(f"{made}.text").alias(c) if c == text_col else docs[c] for c in docs.columns], F.col(f"{made}.removed").alias(count))
+    return out.where(f"NOT (`{count}` > 0 AND `{text_col}` = '')") if drop_emptied else out

@@ -39,7 +39,7 @@ def op6(spark, sf_dir):
 
 @query("op10_line_dedup")
 def op10(spark, sf_dir):
-    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), drop_emptied=False)
+    out = line_dedup.dedup_runs(read(spark, sf_dir, "documents"), drop_emptied=False)
     return out.select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clipworks.llm import ann, components, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
+from clipworks.llm import ann, components, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, queries, secrets, toxicity
 from clipworks.llm import textbytes as tb
 from clipworks.llm.frames import read
 
@@ -151,6 +151,60 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def repeated_runs(texts):
+    """For each id the lines that a run of two or more lines that aren't blank covers and that stand alike earlier."""
+    lines = [(i, n, x) for i, t in sorted(texts.items()) for n, x in enumerate(t.split("\n"))]
+    gone = collections.defaultdict(set)
+    for shift in range(1, len(lines)):
+        run = []
+        for k in range(shift, len(lines) + 1):
+            if k < len(lines) and lines[k][2] == lines[k - shift][2] and (not run or (lines[k][0] == lines[k - 1][0] and lines[k - shift][0] == lines[k - 1 - shift][0])):
+                run.append(k)
+                continue
+            full = [j for j in run if lines[j][2].strip(" \t\r\x0b\x0c")]
+            if len(full) >= 2:
+                for j in range(full[0], full[-1] + 1):
+                    gone[lines[j][0]].add(lines[j][1])
+            run = [k] if k < len(lines) and lines[k][2] == lines[k - shift][2] else []
+    return gone
+
+
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(5)
+    pools = [[f"passage {p} line {k}" + (" " * (k % 3 == 2)) if k % 4 != 3 else " \t" * (p % 2) for k in range(n)] for p, n in enumerate([2, 3, 4, 5, 8, 12])]
+    texts = {}
+    for i in range(40):
+        parts = [[f"own {i} {j}" for j in range(rng.randrange(4))]]
+        for _ in range(rng.randrange(4)):
+            pool = rng.choice(pools)
+            lo = rng.randrange(len(pool))
+            parts += [pool[lo:rng.randrange(lo, len(pool)) + 1], [f"between {i} {rng.random()}"] * rng.randrange(3), [""] * rng.randrange(2)]
+        texts[i] = "\n".join(x for p in parts for x in p)
+    texts |= {50: "\n".join(pools[5]), 51: "\n\n" + "\n".join(pools[5]) + "\n \n", 52: "a\na\na\nb\na\nb", 53: "x\r\ny\r\n" * 40, 54: "\n\n"}
+    gone, want = repeated_runs(texts), {}
+    for i, t in texts.items():
+        kept = [x for n, x in enumerate(t.split("\n")) if n not in gone[i]]
+        want[i] = t if not gone[i] else "\n".join(kept if any(x.strip() for x in kept) else [])
+    rows = [(i, t, "a") for i, t in texts.items()] + [(60, None, "a"), (61, "", "a"), (None, texts[50], "a"), (50, texts[50], "a")]
+    out = line_dedup.dedup_runs(frame(spark, rows), drop_emptied=False).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.text for r in out if r.doc_id in want} == want
+    assert all(r.text == t for r in out for i, t in [(60, None), (61, ""), (None, texts[50])] if r.doc_id == i)
+    assert sum(bool(g) for g in gone.values()) > 10 and want[51] == "" and want[52] == "a\nb"
+    kept = {r.doc_id for r in line_dedup.dedup_runs(frame(spark, rows)).collect()}
+    assert kept == {None, 60, 61} | {i for i in texts if want[i] or not texts[i]}
+    assert line_dedup.dedup_runs(empty(spark)).count() == 0
+
+
+def test_query_and_stage_remove_whole_runs(spark, tmp_path):
+    passage = "\n".join(f"shared {k}" for k in range(4))
+    frame(spark, [(k, f"before {k}\n{passage}\nafter {k}", "a") for k in range(6)]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = read(spark, str(tmp_path), "documents")
+    want = {k: f"before {k}\n" + (f"{passage}\n" if k == 0 else "") + f"after {k}" for k in range(6)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == want
+    out = queries.op10(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.removed_lines, r.kept_chars) for r in out} == {k: (4 * (k > 0), len(t)) for k, t in want.items()}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def test_mixing_reaches_target_weights(spark):
     docs = frame(spark, [(k, f"t{k}", ["big", "small", None][(k % 10 > 6) + (k % 10 > 8)]) for k in range(3000)])
