@@ -2,8 +2,9 @@
 
 The graph starts from random hyperplane buckets. In each round of NN-descent every vector gathers its neighbours and the
 vectors it is a neighbour of by joins; these are neighbours of neighbours of each other, are compared with each other,
-and better ones replace worse. Inner products become distances by one more dimension that brings all norms to one size.
-A search keeps the best vectors found so far and opens the neighbours of the best ones not yet opened.
+and better ones replace worse. Graph and search both rank by inner product, whatever the norms.
+A search keeps the best vectors found so far and opens the neighbours of the best ones until all it keeps are opened. How
+many it keeps follows from the recall of some queries, measured against all vectors.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from clipworks.sources.tables import materialize
 
 #: Neighbours kept of a vector, reverse ones looked at, rounds of NN-descent, bucketings to start from and rows of a bucket.
 DEGREE, REVERSE, ROUNDS, BUCKETINGS, BUCKET = 40, 40, 4, 6, 512
-#: Candidates each comparison hands on per vector; vectors a search keeps, opens at a time, and its steps.
-HANDED, BEAM, OPENED, STEPS = 12, 224, 56, 4
+#: Candidates each comparison hands on per vector; vectors a search keeps at least, and the share of them it opens at a time.
+HANDED, BEAM, OPENED = 12, 224, 4
+#: Queries whose recall is measured, and the recall below which a search keeps twice as many.
+MEASURED, RECALL = 64, 0.95
 
 
 def usable(v: str) -> Column:
@@ -29,23 +32,19 @@ def usable(v: str) -> Column:
 
 
 def packed(dim: int):
-    """UDF (v, largest norm) to bytes: the vector with the dimension that completes its norm, as 8-bit numbers of a common scale."""
+    """UDF: the vector as bytes, a scale of its own and 8-bit numbers."""
 
     @F.arrow_udf("binary")
-    def pack(v: pa.Array, top: pa.Array) -> pa.Array:
-        x, top = matrix(v, dim), top.to_numpy(zero_copy_only=False)
-        rest = np.sqrt(np.maximum(0, top ** 2 - (x ** 2).sum(axis=1)))
-        code = np.rint(np.clip(np.concatenate([x, rest[:, None]], axis=1) / (top[:, None] * _peak(dim)), -1, 1) * 127).astype(np.int8)
-        return pa.array([c.tobytes() for c in code], pa.binary())
+    def pack(v: pa.Array) -> pa.Array:
+        x = matrix(v, dim)
+        scale = np.abs(x).max(axis=1) / 127 if len(x) else np.zeros(0)
+        scale[scale == 0] = np.finfo(float).tiny  # the quotient of a tiny number can be 0
+        code = np.rint(np.clip(x / scale[:, None], -127, 127)).astype(np.int8)
+        return pa.array([a.tobytes() + c.tobytes() for a, c in zip(scale, code)], pa.binary())
 
     return pack
 
 
-def _peak(dim: int) -> float:
-    """The component, as a share of the norm, that 8 bits reach: five standard deviations of an even spread, 1 at most; larger ones are clipped in the graph only."""
-    return min(1.0, 5 / np.sqrt(dim))
-
-
 def matrix(column, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -53,9 +52,13 @@ def matrix(column, dim: int) -> np.ndarray:
 
 
 def codes(column) -> np.ndarray:
+    """The vectors of packed codes, in double precision: norms may lie far apart."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32) if len(column) else np.zeros((0, 1), np.float32)
+    if not len(column):
+        return np.zeros((0, 1))
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return raw[:, 8:].view(np.int8) * np.ascontiguousarray(raw[:, :8]).view(np.float64)
 
 
 def best_pairs(ids: np.ndarray, x: np.ndarray, floor: np.ndarray | None, known: dict | None, k: int):
@@ -80,7 +83,7 @@ def start_graph(nodes: DataFrame, dim: int, n: int, degree: int) -> DataFrame:
 
     @F.arrow_udf("array<long>")
     def keys(code: pa.Array) -> pa.Array:
-        x = codes(code)[:, :dim]
+        x = codes(code)
         key = [((x @ p.T > 0) @ (1 << np.arange(len(p)))) if bits else np.zeros(len(x), int) for p in planes]
         return pa.array(list(np.stack(key, axis=1)), pa.list_(pa.int64())) if len(x) else pa.array([], pa.list_(pa.int64()))
 
@@ -136,14 +139,19 @@ def build_graph(nodes: DataFrame, dim: int, n: int, degree: int = DEGREE, rounds
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(query, id): the ``BEAM`` likest vectors that a greedy search from ``queries`` (query, code, start) finds.
+def neighbour_lists(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, m): the neighbours of each vector and some it is a neighbour of, with their codes."""
+    both = graph.select("u", "v").union(top_k(graph.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u"], [F.xxhash64("u", "v")], REVERSE)).distinct()
+    lists = both.join(nodes.select(F.col("id").alias("v"), "code"), "v").groupBy("u").agg(F.collect_list(F.struct(F.col("v").alias("id"), "code")).alias("m"))
+    return materialize(lists)
+
+
+def search(lists: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(query, id): the ``beam`` likest vectors that a greedy search from ``queries`` (query, code, start) finds.
 
     The opened vector's neighbours come with their codes, so a step is one join of opened vectors with neighbour lists.
+    It ends when all vectors kept are opened; a vector that fell out can't come back, so none is opened again and again.
     """
-    both = graph.select("u", "v").union(top_k(graph.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u"], [F.xxhash64("u", "v")], REVERSE)).distinct()
-    lists = both.join(nodes.select(F.col("id").alias("v"), "code"), "v").groupBy("u").agg(F.collect_list(F.struct(F.col("v").alias("id"), "code")).alias("m"))
-    lists = materialize(lists)
 
     @F.arrow_udf("array<struct<id:long,s:double>>")
     def near(code: pa.Array, floor: pa.Array, m: pa.Array) -> pa.Array:
@@ -157,18 +165,41 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, steps: int =
         return pa.ListArray.from_arrays(pa.array(n), rows)
 
     state = queries.select("query", F.col("start").alias("id"), F.lit(float("-inf")).alias("s"), F.lit(False).alias("opened"))
-    for step in range(steps):
-        floor = state.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("s")).otherwise(float("-inf")).alias("floor"))
-        front = top_k(state.where("NOT opened"), ["query"], [F.desc("s"), "id"], OPENED).select("query", "id")
+    while state.where("NOT opened").limit(1).count():
+        floor = state.groupBy("query").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(float("-inf")).alias("floor"))
+        front = top_k(state.where("NOT opened"), ["query"], [F.desc("s"), "id"], max(1, beam // OPENED)).select("query", "id")
         asked = front.join(queries.select("query", "code"), "query").join(floor, "query")
         found = asked.join(lists, asked["id"] == lists["u"]).select("query", F.explode(near("code", "floor", "m")).alias("e")).select("query", "e.id", "e.s", F.lit(False).alias("opened"))
         done = front.withColumn("now", F.lit(True))
         state = state.join(done, ["query", "id"], "left").select("query", "id", "s", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
         state = state.union(found).groupBy("query", "id").agg(F.max("s").alias("s"), F.max("opened").alias("opened"))
-        state = materialize(top_k(state, ["query"], [F.desc("s"), "id"], BEAM))
+        state = materialize(top_k(state, ["query"], [F.desc("s"), "id"], beam))
     return state.select("query", "id")
 
 
+def sure_beam(lists: DataFrame, queries: DataFrame, classes: DataFrame, dim: int, n: int, k: int, beam: int = BEAM) -> int:
+    """``beam``, doubled until ``MEASURED`` of the queries find ``RECALL`` of their ``k`` nearest, or all that can be reached."""
+    some = materialize(queries.orderBy(F.xxhash64("query"), "query").limit(MEASURED))
+    asked = some.join(classes.select(F.col("rep").alias("query"), "v"), "query").select("query", "v").collect()
+    ids, q = np.array([r["query"] for r in asked], np.int64), np.array([r["v"] for r in asked]).reshape(-1, dim)
+
+    def scores(batches):
+        for batch in batches:
+            s = q @ matrix(batch.column(1), dim).T
+            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            rep = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(rep[near].ravel()), pa.array(np.take_along_axis(s, near, axis=1).ravel())], ["query", "id", "s"])
+
+    true = materialize(top_k(classes.select("rep", "v").mapInArrow(scores, "query long, id long, s double"), ["query"], [F.desc("s"), "id"], k).select("query", "id"))
+    wanted = true.count()
+    while beam < n:
+        found = materialize(search(lists, some, beam))
+        if found.join(true, ["query", "id"]).count() >= RECALL * wanted or not found.groupBy("query").count().where(F.col("count") >= beam).count():
+            break
+        beam *= 2
+    return beam
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``is_query`` holds the ``k`` vectors of largest inner product found, itself left out.
 
@@ -188,15 +219,15 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     dim = shape["dim"]
     once = once.where(F.size("v") == dim)
     classes = materialize(once.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    n, top = classes.agg(F.count("*"), F.sqrt(F.max(square))).first()
-    nodes = materialize(classes.select(F.col("rep").alias("id"), packed(dim)("v", F.lit(float(top))).alias("code")))
+    n = classes.count()
+    nodes = materialize(classes.select(F.col("rep").alias("id"), packed(dim)("v").alias("code")))
     member = once.join(classes.select("v", "rep"), "v")  # equal vectors meet by value
     members = materialize(top_k(member.select("rep", "id"), ["rep"], ["id"], k + 1))
     asking = member.where("q").select(F.col("id").alias("query"), "rep", F.col("v").alias("qv"))
     asking = materialize(asking)
     starts = asking.select("rep").distinct().join(nodes, F.col("rep") == F.col("id")).select(F.col("rep").alias("query"), "code", F.col("rep").alias("start"))
-    found = search(build_graph(nodes, dim, n), nodes, materialize(starts)).union(starts.select("query", F.col("start").alias("id"))).distinct()
+    starts, lists = materialize(starts), neighbour_lists(build_graph(nodes, dim, n), nodes)
+    found = search(lists, starts, sure_beam(lists, starts, classes, dim, n, k + 1)).union(starts.select("query", F.col("start").alias("id"))).distinct()
 
     exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     scored = asking.join(found.withColumnRenamed("query", "rep"), "rep").join(classes.select(F.col("rep").alias("id"), "v"), "id")

@@ -420,6 +420,26 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("outlier", [1.0, 100.0])
+def test_nearest_neighbours_of_unequal_norms(spark, outlier):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 64))
+    x = centres[rng.integers(0, 60, 3000)] + 0.7 * rng.standard_normal((3000, 64))
+    x *= (np.exp(rng.uniform(np.log(0.5), np.log(2), 3000)) / np.linalg.norm(x, axis=1))[:, None]
+    x[7] *= outlier
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 60 == 0).collect():
+        got[r.query_id].add(r.id)
+    assert set(got) == set(range(0, 3000, 60))
+    recall = []
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(found & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.95
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, odd, tmp_path):
     columns = odd.columns
