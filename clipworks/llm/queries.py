@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
+from clipworks.llm import alignment, ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -80,3 +80,8 @@ def op2(spark, sf_dir):
 def op8(spark, sf_dir):
     out = ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return out.withColumnRenamed("id", "vec_id")
+
+
+@query("op12_cross_tokenizer")
+def op12(spark, sf_dir):
+    return alignment.link_statistics(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
