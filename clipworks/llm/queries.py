@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import alignment, ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, toxicity
+from clipworks.llm import alignment, ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, spelling, toxicity
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -85,3 +85,8 @@ def op8(spark, sf_dir):
 @query("op12_cross_tokenizer")
 def op12(spark, sf_dir):
     return alignment.link_statistics(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), every=199)
