@@ -35,3 +35,25 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
     size = int(df.sparkSession.conf.get(key))
     if size <= 0 or size > rows:
         df.sparkSession.conf.set(key, rows)
+
+
+#: A key is hot with at least so many rows and a thousandth of all rows; then there are at most a thousand such keys.
+HOT_ROWS, HOT_SHARE, SALTS = 10_000, 1000, 32
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The hot keys of ``counts`` (keys, n): at most ``HOT_SHARE`` rows, whatever the input."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) >= max(HOT_ROWS, -(-total // HOT_SHARE))).select(*keys, F.lit(True).alias("_hot"))
+
+
+def salted(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``_salt``: rows of a hot key are dealt over ``SALTS`` numbers by their hash, other rows have 0."""
+    deal = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), deal).otherwise(0)).drop("_hot")
+
+
+def replicated(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, one row per key, with ``_salt``: a hot key once for every number, other keys with 0."""
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.llm import alignment, ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, spelling, toxicity
+from clipworks.llm import alignment, ann, embedding_dedup, line_dedup, lm, minhash, mixing, pieces, quality, secrets, spelling, toxicity, url_filter
 from clipworks.llm.frames import read
 from clipworks.plans.registry import query
 
@@ -90,3 +90,25 @@ def op12(spark, sf_dir):
 @query("op13_spelling_variants")
 def op13(spark, sf_dir):
     return spelling.spelling_variants(read(spark, sf_dir, "documents"), every=199)
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op11_url_filter", r"""WITH RECURSIVE rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+urls AS (SELECT row_number() OVER () AS r, page_id, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+ruled AS (SELECT r, max_by({'rule': s.host || s.path, 'verdict': s.verdict}, length(s.host || s.path)) AS best FROM urls u JOIN rules s ON (u.host = s.host OR ends_with(u.host, '.' || s.host)) AND starts_with(u.path, s.path) GROUP BY r),
+judged AS (SELECT u.*, best.rule AS rule, best.verdict AS verdict FROM urls u LEFT JOIN ruled USING (r)),
+linked AS (SELECT DISTINCT r, host AS src, translate(unnest(regexp_extract_all(html, '\b(?:href|src|action|cite)\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^\s"''<>/?#\\]+)', 1, 'i')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM urls WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS n FROM linked WHERE src <> dst GROUP BY ALL),
+shares AS (SELECT 'trust' AS kind, src AS node, dst AS goal, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+seeds AS (SELECT host AS node, avg((verdict = 'allow')::INT) AS trust, avg((verdict = 'block')::INT) AS distrust FROM judged WHERE verdict IS NOT NULL AND host <> '' GROUP BY host),
+walk AS (SELECT 0 AS k, 'trust' AS kind, node, trust * 0.15::DOUBLE AS x FROM seeds WHERE trust > 0 UNION ALL SELECT 0, 'distrust', node, distrust * 0.15::DOUBLE FROM seeds WHERE distrust > 0
+  UNION ALL (SELECT k + 1, w.kind, goal, sum(x * share) * 0.85::DOUBLE FROM walk w JOIN shares s ON w.kind = s.kind AND w.node = s.node WHERE k < 40 AND x >= 1e-6 GROUP BY k, w.kind, goal)),
+scores AS (SELECT node, sum(x) FILTER (kind = 'trust') AS trust, sum(x) FILTER (kind = 'distrust') AS distrust FROM walk GROUP BY node)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN scores ON host = node""")
+def op11(spark, sf_dir):
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
