@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions import groups, terms
+from clipworks.functions import groups, sparse
 from clipworks.functions.text import let
+from clipworks.sources.tables import materialize
 
 MAX_SIGNALS = 80
 
@@ -23,12 +25,22 @@ def latest_question(turns: DataFrame, key="conv_id") -> DataFrame:
     return turns.filter("role = 'user'").groupBy(key).agg(F.max_by("text", "turn").alias("question"))
 
 
-def extract_signals(turns: DataFrame, k: int = MAX_SIGNALS, recent: int = 6, key="conv_id") -> DataFrame:
+def page_texts(contexts: DataFrame, key="conv_id") -> DataFrame:
+    """(key, position, text): what a page adds to a question, in this order: query, region, category, source."""
+    parts = F.array(*[F.struct(F.lit(i).alias("position"), F.trim(F.coalesce(c, F.lit(""))).alias("text")) for i, c in enumerate(["query", "region", "category", "source"], 1)])
+    return contexts.select(key, F.explode(parts).alias("p")).select(key, "p.position", "p.text").where("text <> ''")
+
+
+def extract_signals(turns: DataFrame, k: int = MAX_SIGNALS, recent: int = 6, key="conv_id", page: DataFrame | None = None) -> DataFrame:
     """``(key, value, weight, rank)``: whole texts, CJK runs and their 2- to 4-grams, Latin words; best ``k``.
 
-    Grams are made inside each turn and reduced to distinct values by partial sums before the shuffle.
+    ``page`` (key, position, text) follows the turns; the last text of a question weighs most. Grams are made inside
+    each text and reduced to distinct values by partial sums before the shuffle.
     """
-    rows = turns.filter(F.col("from_end") <= recent)
+    rows = turns.filter(F.col("from_end") <= recent).select(key, "text", (-F.col("from_end")).alias("place"))
+    if page is not None:
+        rows = rows.unionByName(page.select(key, "text", F.col("position").alias("place")))
+    rows = rows.withColumn("last", F.col("place") == F.max("place").over(W.partitionBy(key)))  # a handful of texts a key
     low = F.lower(F.trim("text"))
 
     def weigh(values, weight):
@@ -44,7 +56,7 @@ def extract_signals(turns: DataFrame, k: int = MAX_SIGNALS, recent: int = 6, key
 
     words = F.regexp_extract_all(low, F.lit("[a-z][a-z0-9-]{1,}"), F.lit(0))
     every = F.concat(
-        F.array(F.struct(low.alias("value"), F.when(F.col("from_end") == 1, 5).otherwise(3).alias("weight"))),
+        F.array(F.struct(low.alias("value"), F.when(F.col("last"), 5).otherwise(3).alias("weight"))),
         weigh(runs, lambda v: F.lit(4)),
         weigh(F.flatten(F.transform(runs, grams)), lambda v: F.when(F.length(v) == 4, 2).otherwise(3)),
         weigh(words, lambda v: F.when(F.length(v) >= 6, 4).otherwise(3)))
@@ -52,53 +64,130 @@ def extract_signals(turns: DataFrame, k: int = MAX_SIGNALS, recent: int = 6, key
     return groups.top_k(best, [key], [F.desc("weight"), F.desc(F.length("value")), F.asc("value")], k, rank="rank")
 
 
-def signal_list(signals: DataFrame, max_rows: int = MAX_SIGNALS) -> list:
-    """One question's signals on the driver: at most 80 by construction, and checked."""
-    rows = groups.bounded(signals.select("value", "weight"), max_rows)
-    if rows is None:
-        raise ValueError(f"more than {max_rows} signals: pass the signals of one question")
-    return sorted((r.value, r.weight) for r in rows)
-
-
-def score(field: Column, signals, multiplier: int) -> Column:
-    """Sum over the signals in a field of weight x (2 from six characters on) x multiplier."""
-    packed = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(w * (2 if len(v) >= 6 else 1)).alias("w")) for v, w in signals])
-    if not signals:
-        return F.lit(0)
-    low = F.lower(F.coalesce(field, F.lit("")))
-    return let(low, lambda t: F.aggregate(packed, F.lit(0), lambda a, s: a + F.when(F.contains(t, s["v"]), s["w"]).otherwise(0))) * multiplier
+ARTICLE_FIELDS = {"title": 6, "summary": 3, "keywords": 4, "region_tags": 3, "source": 2, "labels": 4}
+REGION_FIELDS = {"name": 6, "name_en": 4, "summary": 2, "summary_en": 2, "highlights": 4}
+ENTITY_FIELDS = {"name": 6, "aliases": 5, "intro": 2, "region": 3, "tags": 2}
+SOURCE_FIELDS = {"text": 4}
+FIELDS = {"article": ARTICLE_FIELDS, "region": REGION_FIELDS, "entity": ENTITY_FIELDS, "source": SOURCE_FIELDS}
+KIND_LIMITS = {"article": 6, "region": 3, "entity": 5, "source": 3}
 
 
-def score_fields(df: DataFrame, signals, multipliers: dict, out="base_score") -> DataFrame:
-    """Weighted field score of every row for one question; array fields are joined by spaces. No join, no shuffle."""
-    types = dict(df.dtypes)
-    total = F.lit(0)
-    for name, m in multipliers.items():
-        field = F.concat_ws(" ", name) if types[name].startswith("array") else F.col(name)
-        total = total + score(field, signals, m)
-    return df.withColumn(out, total)
+def item_texts(items: DataFrame, kind: str, fields: dict[str, int], id_col: str = "id") -> DataFrame:
+    """(kind, item, field, strength, text): the non-empty fields of items in lower case; array fields are joined by spaces."""
+    types = dict(items.dtypes)
+    text = lambda n: F.lower(F.concat_ws(" ", n) if types[n].startswith("array") else F.coalesce(F.col(n), F.lit("")))
+    parts = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(m).alias("strength"), text(n).alias("text")) for i, (n, m) in enumerate(fields.items())])
+    rows = items.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("item"), F.explode(parts).alias("p"))
+    return rows.select("kind", "item", "p.*").where("text <> ''")
 
 
-ARTICLE_FIELDS = {"title": 6, "summary": 3, "keywords": 4, "region_tags": 3, "source": 2, "category": 4}
-REGION_FIELDS = {"name": 6, "summary": 2, "highlights": 4}
-ENTITY_FIELDS = {"name": 6, "aliases": 5, "intro": 2, "region": 3, "tags": 2}
-SOURCE_FIELDS = {"text": 4}
-KIND_LIMITS = {"article": 6, "region": 3, "entity": 5, "source": 3}
+def _grams(text, size: int):
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def retrieve(df: DataFrame, signals, kind: str, fields: dict, page="home", boosts=(), k: int | None = None,
-             tie=("id",)) -> DataFrame:
-    """Best items of one kind: field score plus the page's bias (only when something matched), plus boosts.
+def postings(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(kind, item, value, strength): which of ``values`` (value) stand in which item, with the strengths of their fields summed.
 
-    ``boosts`` are ``(condition, points)``; points may be a Column. Each task keeps only its best ``k``.
+    Values of all questions meet the texts of all items once, by the rarest of their 3-grams (a value of two characters by
+    itself); a value with a gram that no text has meets nothing. Hits are verified in the text. Work follows the texts
+    and their hits, whatever the number of questions.
+    """
+    values = values.select("value").where(F.length("value") >= 2).distinct()
+    own = materialize(values.select("value", F.explode(F.when(F.length("value") > 2, _grams(F.col("value"), 3)).otherwise(F.array("value"))).alias("gram")))
+    known = groups.small_side(own.select("gram").distinct())
+    short = groups.small_side(own.where("length(gram) = 2").select("gram").distinct())
+    place = ["kind", "item", "field"]
+    spots = texts.select(*place, F.explode(_grams(F.col("text"), 3)).alias("gram")).join(known, "gram", "left_semi")
+    spots = materialize(spots.unionByName(texts.select(*place, F.explode(_grams(F.col("text"), 2)).alias("gram")).join(short, "gram", "left_semi")))
+    counts = spots.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("value", "g.gram")
+    met = spots.join(rarest, "gram").drop("gram").join(texts, place).where(F.contains("text", "value"))
+    return met.groupBy("kind", "item", "value").agg(F.sum("strength").alias("strength"))
+
+
+def constant_scores(signals: DataFrame, contexts: DataFrame, anchors: dict, key="conv_id") -> DataFrame:
+    """(key, kind, base, bias): what a question's signals score in the fixed words of each kind, and the page's bias for it."""
+    weight = _signal_weight()
+    hit = lambda kind: F.sum(F.when(F.contains(F.lit(anchors[kind][0].lower()), F.col("value")), weight * anchors[kind][1]).otherwise(0)).alias(kind)
+    sums = signals.groupBy(key).agg(*[hit(kind) for kind in anchors])
+    bias = F.create_map(*[x for page, kinds in config.PAGE_BIAS.items() for x in (F.lit(page), F.create_map(*[y for kind, b in kinds.items() for y in (F.lit(kind), F.lit(b))]))])
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.coalesce(kind, F.lit(0)).alias("base"), F.coalesce(bias[F.col("page")], bias["other"])[kind].alias("bias")) for kind in anchors])
+    return contexts.select(key, "page").join(sums, key, "left").select(key, F.explode(kinds).alias("k")).select(key, "k.*")
+
+
+def _signal_weight():
+    return F.col("weight") * F.when(F.length("value") >= 6, 2).otherwise(1)
+
+
+def wanted_features(signals: DataFrame, facets: DataFrame | None, kinds, key="conv_id") -> DataFrame:
+    """(key, kind, feature, main, weight): signals for every kind, and ``facets`` (key, kind, facet, weight) as boosts."""
+    every = F.explode(F.array(*[F.lit(kind) for kind in kinds])).alias("kind")
+    main = signals.select(key, every, F.concat(F.lit("t:"), "value").alias("feature"), F.lit(True).alias("main"), _signal_weight().alias("weight"))
+    if facets is None:
+        return main
+    return main.unionByName(facets.select(key, "kind", F.concat(F.lit("f:"), "facet").alias("feature"), F.lit(False).alias("main"), "weight"))
+
+
+def retrieve(signals: DataFrame, contexts: DataFrame, texts: DataFrame, facets: DataFrame | None = None, item_facets: DataFrame | None = None,
+             limits: dict | None = None, anchors: dict | None = None, key="conv_id", item_postings: DataFrame | None = None) -> DataFrame:
+    """(key, kind, item, base, boost, score, rank): the best items of each kind for every question at once.
+
+    signals(key, value, weight): of all questions; contexts(key, page): one row per question. ``texts`` as ``item_texts``
+    gives them. ``facets`` (key, kind, facet, weight) boost the items that have them in ``item_facets`` (kind, item, facet).
+    One question or a million: the same plan, in which only items that can be among the best are met.
+    """
+    limits, anchors = limits or KIND_LIMITS, config.ANCHORS if anchors is None else anchors
+    signals = materialize(signals.select(key, "value", "weight"))
+    found = postings(texts, signals) if item_postings is None else item_postings
+    offers = found.select("kind", "item", F.concat(F.lit("t:"), "value").alias("feature"), "strength")
+    if item_facets is not None:
+        offers = offers.unionByName(item_facets.select("kind", "item", F.concat(F.lit("f:"), "facet").alias("feature"), F.lit(1).cast("bigint").alias("strength")).distinct())
+    constants = constant_scores(signals, contexts, {kind: anchors.get(kind, ("", 0)) for kind in limits}, key)
+    first = groups.top_k(texts.select("kind", "item").distinct(), ["kind"], [F.asc("item")], max(limits.values()))
+    return sparse.best_matches(wanted_features(signals, facets, limits, key), materialize(offers), limits, constants, first, key)
+
+
+def page_facets(contexts: DataFrame, articles: DataFrame, key="conv_id") -> DataFrame:
+    """(key, kind, facet, weight): the boosts of a page's category, source, region and current article.
+
+    contexts(key, category, source, region, current_id). The current article's source counts as the page's when the page
+    names none. Its keywords boost other articles; for itself they are taken off again.
     """
-    base = score_fields(df, signals, fields)
-    bias = config.PAGE_BIAS.get(page, config.PAGE_BIAS["other"])[kind]
-    total = F.when(F.col("base_score") > 0, F.col("base_score") + bias).otherwise(0)
-    for cond, points in boosts:
-        total = total + F.when(cond, points).otherwise(0)
-    scored = groups.keep_computed(base, {"score": total}, lambda x: x["score"] > 0).drop("base_score")
-    return scored.orderBy(F.desc("score"), *[F.asc(c) for c in tie]).limit(k or KIND_LIMITS[kind])
+    now = articles.select(F.col("id").alias("current_id"), F.col("source").alias("current_source"), F.array_distinct("keywords").alias("words"))
+    seen = contexts.join(now, "current_id", "left")
+    text = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    named = lambda name, value: F.concat(F.lit(name + "="), value)
+    known, words = F.col("current_source").isNotNull(), F.coalesce("words", F.array().cast("array<string>"))
+    current = named("id", F.when(known, F.col("current_id").cast("string")))
+    source = F.coalesce(text("source"), F.col("current_source"))
+    boosts = [
+        ("article", named("category", text("category")), F.lit(20)), ("article", named("source", source), F.lit(20)), ("article", named("region", text("region")), F.lit(28)),
+        ("article", current, 240 - 5 * F.size(words)), ("region", named("id", text("region")), F.lit(240)), ("region", named("article", F.when(known, F.col("current_id").cast("string"))), F.lit(24)),
+        ("entity", named("region", text("region")), F.lit(22)), ("entity", named("article", F.when(known, F.col("current_id").cast("string"))), F.lit(18)),
+        ("source", named("name", source), F.lit(240)), ("source", named("current", F.col("current_source")), F.lit(30)),
+    ]
+    fixed = [F.struct(F.lit(kind).alias("kind"), facet.alias("facet"), weight.alias("weight")) for kind, facet, weight in boosts]
+    shared = F.transform(words, lambda w: F.struct(F.lit("article").alias("kind"), F.concat(F.lit("keyword="), w).alias("facet"), F.lit(5).alias("weight")))
+    return seen.select(key, F.explode(F.concat(F.array(*fixed), shared)).alias("b")).select(key, "b.*").where("facet IS NOT NULL")
+
+
+def with_current_source(contexts: DataFrame, articles: DataFrame) -> DataFrame:
+    """``contexts`` whose empty source is the current article's."""
+    now = articles.select(F.col("id").alias("current_id"), F.col("source").alias("_own"))
+    return contexts.join(now, "current_id", "left").withColumn("source", F.coalesce(F.nullif(F.trim("source"), F.lit("")), "_own")).drop("_own")
+
+
+def facets_of(items: DataFrame, kind: str, id_col: str, facets: dict) -> DataFrame:
+    """(kind, item, facet) of the named values of items; array values give one facet each."""
+    types = dict(items.dtypes)
+
+    def named(name, column):
+        values = F.col(column) if types[column].startswith("array") else F.array(column)
+        given = F.transform(F.array_compact(values), lambda v: F.concat(F.lit(name + "="), v.cast("string")))
+        return F.coalesce(given, F.array().cast("array<string>"))
+
+    listed = [named(name, column) for name, column in facets.items()]
+    return items.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("item"), F.explode(F.concat(*listed)).alias("facet"))
 
 
 def references(hits: DataFrame, k: int = 10) -> DataFrame:

@@ -132,7 +132,7 @@ def with_cleaned(body: str) -> str:
 
 
 CURRENT = f"""
-cur AS (SELECT id, source, language, published_at, url, {clean('title')} AS title, {clean('body')} AS summary,
+cur AS (SELECT id, source, language, published_at, url, {clean('title')} AS title, {natural('body', REQUIRED)} AS summary,
    {parts('lower(body)', DOMAIN)} AS keywords,
    CASE WHEN {any_of('body', REGIONS)} THEN list_slice({parts('body', REGIONS)}, 1, 3) ELSE ['none'] END AS region_tags,
    {any_of('body', REGIONS)} AS is_related,

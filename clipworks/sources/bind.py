@@ -160,7 +160,7 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("id") % 3
     return arts.select(
         "id", "source", "language", "published_at", "url", text.clean("title").alias("title"),
-        text.clean("body").alias("summary"),
+        terms.natural_summary("body", REQUIRED).alias("summary"),
         terms.matched(F.col("_low"), DOMAIN, word_boundary=False).alias("keywords"),
         tagging.region_list(F.col("body"), REGIONS, "none").alias("region_tags"),
         (F.size(terms.keep((t, F.contains(F.col("body"), F.lit(t))) for t in REGIONS)) > 0).alias("is_related"),
@@ -169,6 +169,53 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def regions(current: DataFrame) -> DataFrame:
+    """The regions of current articles: article ids, counts as summary, and their three commonest keywords."""
+    from clipworks.functions import groups
+
+    tagged = current.select("id", "keywords", F.explode("region_tags").alias("region"))
+    counts = tagged.groupBy("region").agg(F.count("*").alias("n"), F.collect_list(F.col("id").cast("string")).alias("articles"))
+    words = tagged.select("region", F.explode("keywords").alias("word")).groupBy("region", "word").agg(F.count("*").alias("k"))
+    best = groups.top_k(words, ["region"], [F.desc("k"), F.asc("word")], 3)
+    highlights = best.groupBy("region").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "word"))), lambda x: x["word"]).alias("highlights"))
+    return counts.join(highlights, "region", "left").select(
+        F.col("region").alias("id"), F.col("region").alias("name"), F.concat(F.lit("region of "), "region").alias("name_en"), F.lit("").alias("summary"),
+        F.concat(F.col("n").cast("string"), F.lit(" articles on para and pour")).alias("summary_en"), F.coalesce("highlights", F.array().cast("array<string>")).alias("highlights"), "articles")
+
+
+def entity_items(spark: SparkSession, current: DataFrame) -> DataFrame:
+    """The whitelist with texts, one region each and the ids of its articles."""
+    rows = [(i, name, aliases, f"known as {name} for the erin work", REGIONS[n % len(REGIONS)], [list(CATEGORIES)[n % 3]]) for n, (i, name, aliases) in enumerate(ENTITIES)]
+    known = spark.createDataFrame(rows, "id STRING, name STRING, aliases ARRAY<STRING>, intro STRING, region STRING, tags ARRAY<STRING>")
+    linked = current.select("id", F.explode("entity_ids").alias("entity")).groupBy("entity").agg(F.collect_list(F.col("id").cast("string")).alias("articles"))
+    return known.join(linked.withColumnRenamed("entity", "id"), "id", "left")
+
+
+def source_items(spark: SparkSession, folder: str) -> DataFrame:
+    from clipworks import config
+
+    known = sources(spark, folder)
+    return known.select(F.col("source_code").alias("id"), "name", F.concat_ws(" ", "name", "type", "site_url", F.lit(config.SOURCE_ANCHOR), "whitelist").alias("text"))
+
+
+PAGES_OF_SITE = ["home", "news", "news-detail", "map", "knowledge-graph", "sources", "about", "other"]
+
+
+def contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """The page of every conversation: kind, query, category, source, region and the article it shows."""
+    n = F.col("conv_id")
+    at = lambda values, i: F.get(terms_of(values), i.cast("int"))
+    page = at(PAGES_OF_SITE, n % 8)
+    return load_table(spark, folder, "conversations").select("conv_id").distinct().select(
+        "conv_id", page.alias("page"), F.when(n % 4 == 1, "erin").otherwise("").alias("query"), F.when(n % 16 == 1, "src5").otherwise("").alias("source"),
+        F.when(n % 8 == 1, at(list(CATEGORIES), n % 3)).otherwise("").alias("category"), F.when((n % 8).isin(3, 4), at(REGIONS, n % 7)).otherwise("").alias("region"),
+        F.when(n % 8 == 2, n * 7 % 97).alias("current_id"))
+
+
+def terms_of(values):
+    return F.array(*[F.lit(v) for v in values])
+
+
 def versions(spark: SparkSession, folder: str) -> DataFrame:
     """Clean documents as article versions: three to a head, with a constructed URL status."""
     labels = load_table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
