@@ -31,8 +31,8 @@ BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piec
 MARK = "▁"
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text in a block, words remembered by a worker, and the longest word that the quadratic merger gets.
-BLOCK, REMEMBERED, LONG_WORD = 1 << 22, 1 << 17, 1 << 11
+#: Bytes of text in a block, in a run of rows, and of distinct words solved at once; the longest word for the quadratic merger.
+BLOCK, ROWS, RUN, LONG_WORD = 1 << 22, 1 << 20, 1 << 14, 1 << 11
 #: An id pair as one number: a shifted by so many bits, plus b.
 SHIFT = 20
 
@@ -68,7 +68,8 @@ class Tokenizers:
     """A byte-level BPE (side A) and a SentencePiece model (side B), applied to text with one space before it, word by word.
 
     A word is its spaces and what follows, cut where a space follows a character that is no white space. The split
-    pattern of A never reaches over such a place and no piece of B does (checked), so words are solved once each.
+    pattern of A never reaches over such a place and no piece of B does (checked), so the distinct words of a run of rows
+    are solved once each.
     """
 
     def __init__(self, byte_bpe: bytes, piece_model: bytes):
@@ -98,32 +99,48 @@ class Tokenizers:
         if len(self.b.size) > 1 << SHIFT:
             raise ValueError("too many pieces for the numbering of pairs")
         self.mark = self.pieces.piece_to_id(MARK)
-        self.memory: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def solve(self, words: list[bytes]) -> None:
-        """Puts the ids of both sides of new ``words`` (each starts with a space) into the memory."""
-        texts = [w.decode() for w in words]
-        second = self.pieces.encode([t[1:] for t in texts], num_threads=1)
-        for word, text, b in zip(words, texts, second):
-            quick = self.fast is not None and len(word) <= LONG_WORD
-            a = self.fast.encode_ordinary(text) if quick else self.slow.encode(text, add_special_tokens=False).ids
-            self.memory[word] = np.array(a, np.int32).tobytes(), np.array(b or [self.mark], np.int32).tobytes()
+    def first_side(self, text: bytes) -> np.ndarray:
+        quick = self.fast is not None and (len(text) <= LONG_WORD or text.count(b" ", 1) > 0)
+        return np.array(self.fast.encode_ordinary(text.decode()) if quick else self.slow.encode(text.decode(), add_special_tokens=False).ids, np.int64)
+
+    def second_side(self, text: bytes) -> np.ndarray:
+        return np.array(self.pieces.encode(text[1:].decode()) or [self.mark], np.int64)
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each side: the ids of the words, one after the other, and how many each word has."""
+        """For each side: the ids of the words, one after the other, and how many each word has.
+
+        Distinct words are solved in runs of about ``RUN`` bytes; very long words, and those with a space at the end that
+        would join the next one's, by themselves. A run that isn't spelt as it stands is solved word by word.
+        """
         _, at, back = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[starts[i]:ends[i]] for i in at]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        self.solve([w for w in words if w not in self.memory])
+        size = (ends - starts)[at]
+        alone = (size > LONG_WORD) | (data[ends[at] - 1] == 0x20)
+        order = np.argsort(alone, kind="stable")
+        back, size, begin = np.argsort(order)[back], size[order], starts[at][order]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        joined = data[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)]
+        raw, plain = joined.tobytes(), int(len(size) - alone.sum())
+        runs = np.unique(np.concatenate([np.searchsorted(edge[:plain + 1], np.arange(0, edge[plain], RUN)), np.arange(plain, len(size) + 1)]))
         out = []
-        for side in (0, 1):
-            found = [self.memory[w][side] for w in words]
-            size = np.array([len(x) // 4 for x in found], np.int64)
-            pool, begin, n = np.frombuffer(b"".join(found), np.int32), np.cumsum(size) - size, size[back]
+        for solve, spelling in ((self.first_side, self.a), (self.second_side, self.b)):
+            pool, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for first, last in zip(runs[:-1], runs[1:]):
+                ids = solve(raw[edge[first]:edge[last]])
+                spelt, token_end = spelling.spell(ids)
+                before = np.searchsorted(token_end, edge[first:last + 1] - edge[first], "right")
+                whole = len(spelt) == edge[last] - edge[first] and np.array_equal(spelt, joined[edge[first]:edge[last]]) and (token_end[before[1:] - 1] == edge[first + 1:last + 1] - edge[first]).all()
+                if whole or last - first == 1:
+                    parts, n = [ids], np.diff(before) if whole else np.array([len(ids)])
+                else:
+                    parts = [solve(raw[s:e]) for s, e in zip(edge[first:last], edge[first + 1:last + 1])]
+                    n = np.array([len(p) for p in parts])
+                pool += parts
+                counts.append(n)
+            pool, count = np.concatenate(pool), np.concatenate(counts)
+            begun, n = np.cumsum(count) - count, count[back]
             before = np.cumsum(n) - n
-            out.append((pool[np.arange(n.sum()) - np.repeat(before, n) + np.repeat(begin[back], n)], n))
+            out.append((pool[np.arange(n.sum()) + np.repeat(begun[back] - before, n)], n))
         return out
 
 
@@ -210,7 +227,7 @@ def _decimals(most: int = 1 << 18) -> Spelling:
 
 def align(column, machine: Tokenizers) -> Iterator[Aligned]:
     """Runs of rows of a text column, aligned. A text that is null, empty, or not given back by both sides has no tokens."""
-    for data, offsets in tb.chunks(column):
+    for data, offsets in tb.chunks(column, ROWS):
         full = offsets[1:] > offsets[:-1]
         data = np.insert(data, offsets[:-1][full], 0x20)
         offsets = offsets + np.concatenate([[0], np.cumsum(full)])
