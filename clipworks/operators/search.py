@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions import groups, terms
+from clipworks.functions import groups, ordered, terms
 
 
-def matching(current: DataFrame, query="", category="", source="", region="", related_only=False) -> DataFrame:
-    """Rows that meet the filters that are set; unset filters add no predicate, so the rest reach the scan."""
+def visible(current: DataFrame, now, min_published_at=config.MIN_PUBLISHED_AT, required_terms=None) -> DataFrame:
+    """Rows that may be shown: of an active source bound to a whitelist entity, accessible, dated from ``min_published_at``
+    to ``now``, and with a required term in the summary, in any case.
+
+    Columns: active, whitelist_entity_id, url_status, published_at, summary. A null closes its gate.
+    """
+    wanted = config.REQUIRED_TERMS if required_terms is None else required_terms
+    dated = (F.col("published_at") >= F.lit(min_published_at).cast("timestamp_ntz")) & (F.col("published_at") <= F.lit(now).cast("timestamp_ntz"))
+    shown = F.col("active") & (F.col("whitelist_entity_id") != "") & (F.col("url_status") == "accessible") & dated
+    return current.filter(shown).filter(terms.any_term(F.lower("summary"), [t.lower() for t in wanted]))
+
+
+def matching(current: DataFrame, query="", category="", source="", region="", related_only=False, region_codes=None) -> DataFrame:
+    """Rows that meet the filters that are set; unset filters add no predicate, so the rest reach the scan.
+
+    A region is a tag or one of ``region_codes`` (code -> tag), in any case.
+    """
     out = current
     if category and category != "all":
         out = out.filter(F.col("category") == category)
     if source and source != "all":
         out = out.filter(F.col("source") == source)
     if region and region != "all":
-        out = out.filter(F.array_contains("region_tags", region))
+        codes = config.REGION_CODES if region_codes is None else region_codes
+        out = out.filter(F.array_contains("region_tags", codes.get(region.strip().lower(), region)))
     if related_only:
         out = out.filter("is_related")
     needle = query.strip().lower()
@@ -31,28 +47,39 @@ def _order(oldest: bool):
     return [F.asc("published_at"), F.asc("id")] if oldest else [F.desc("published_at"), F.desc("id")]
 
 
-def search_articles(current: DataFrame, limit: int = config.LIST_LIMIT_MAX, oldest: bool = False, **filters) -> DataFrame:
-    """Matching articles, newest (or oldest) first, at most 2000."""
-    size = max(1, min(limit, config.LIST_LIMIT_MAX))
-    return matching(current, **filters).orderBy(*_order(oldest)).limit(size)
+def search_articles(current: DataFrame, limit: int = config.LIST_LIMIT, oldest: bool = False, **filters) -> DataFrame:
+    """The ``limit`` newest (or oldest) matching articles."""
+    return matching(current, **filters).orderBy(*_order(oldest)).limit(max(1, limit))
 
 
-def page_articles(current: DataFrame, page: int = 1, size: int = 24, oldest: bool = False, **filters) -> DataFrame:
-    """One page of matching articles with its position: page, totals, has_previous, has_next.
+def page_index(current: DataFrame, oldest: bool = False, **filters) -> ordered.PageIndex:
+    """Matching articles laid out for paging, newest (or oldest) first."""
+    return ordered.PageIndex(matching(current, **filters), _order(oldest))
 
-    The total is one count; the rows are a bounded sort, so no more than the page leaves each task.
-    """
-    rows = matching(current, **filters)
-    safe = max(1, min(size, config.PAGE_SIZE_MAX))
-    total = rows.count()
-    pages = -(-total // safe)
+
+def page_articles(index: ordered.PageIndex, page: int = 1, size: int = 24) -> DataFrame:
+    """One page with its position: page, totals, has_previous, has_next. Only the partitions the page lies in are read, and
+    totals come from the index; page and size are raised to 1, a page past the end is the last."""
+    size, total = max(1, size), index.total
+    pages = -(-total // size)
     at = min(max(1, page), pages) if pages else 1
-    out = rows.orderBy(*_order(oldest)).offset((at - 1) * safe).limit(safe)
-    return out.withColumns({
-        "page": F.lit(at), "page_size": F.lit(safe), "total_elements": F.lit(total).cast("bigint"), "total_pages": F.lit(pages).cast("bigint"),
+    return index.rows((at - 1) * size, size).drop("position").withColumns({
+        "page": F.lit(at), "page_size": F.lit(size), "total_elements": F.lit(total).cast("bigint"), "total_pages": F.lit(pages).cast("bigint"),
         "has_previous": F.lit(at > 1 and pages > 0), "has_next": F.lit(pages > 0 and at < pages)})
 
 
+def next_articles(current: DataFrame, after=None, size: int = 24, oldest: bool = False, **filters) -> DataFrame:
+    """The ``size`` matching articles that follow the cursor ``after`` (published_at, id); from the start without one.
+
+    No index: each task keeps its best ``size`` rows behind the cursor.
+    """
+    rows = matching(current, **filters)
+    if after is not None:
+        place, cursor = F.struct("published_at", "id"), F.struct(F.lit(after[0]).cast("timestamp_ntz").alias("published_at"), F.lit(after[1]).alias("id"))
+        rows = rows.where(place > cursor if oldest else place < cursor)
+    return rows.orderBy(*_order(oldest)).limit(size)
+
+
 def page_numbers(totals: DataFrame, page: str = "page", pages: str = "total_pages") -> DataFrame:
     """Page buttons per row: first, last and two on either side of the current one, with gap marks."""
     every = F.sequence(F.lit(1), F.greatest(F.col(pages), F.lit(1)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipworks.operators import derive, search
+from clipworks.functions import groups, terms
+from clipworks.operators import derive, related, search
 from clipworks.plans import sqlkit as k
 from clipworks.plans.derive_queries import CLOUD, NATION_COUNTS, RUNS, nation_counts, run_sources
 from clipworks.plans.registry import query
@@ -14,17 +15,55 @@ from clipworks.sources.tables import load_table
 HAY = "lower(array_to_string([title, summary, source, array_to_string(keywords, ' '), array_to_string(region_tags, ' ')], ' '))"
 
 
-@query("ql1_search_articles", k.with_current(f"SELECT id, title FROM cur WHERE category = 'technology' AND is_related AND list_contains(region_tags, 'onon') AND contains({HAY}, 'the') ORDER BY published_at DESC, id DESC LIMIT 2000"))
+SHOWN = f"""{k.CURRENT}, src AS ({bind.SOURCES}), shown AS (SELECT cur.*, 'story-' || id AS slug, s.active AS a, s.whitelist_entity_id AS w, coalesce(l.toxic, 0) = 0 AS ok,
+  published_at BETWEEN TIMESTAMP '{bind.SINCE}' AND TIMESTAMP '{bind.NOW}' AS dated, {k.any_of("lower(summary)", bind.REQUIRED)} AS named FROM cur JOIN src s ON cur.source = s.source_code LEFT JOIN labels l ON l.doc_id = cur.id),
+vis AS (SELECT * FROM shown WHERE a AND w <> '' AND ok AND dated AND named)"""
+
+
+@query("ql1_search_articles", f"WITH {SHOWN} SELECT id, title FROM vis WHERE category = 'technology' AND is_related AND list_contains(region_tags, 'onon') AND contains({HAY}, 'the') ORDER BY published_at DESC, id DESC LIMIT 50")
 def search_articles(spark, d):
-    return search.search_articles(bind.current(spark, d), query=" THE ", category="technology", region="onon", related_only=True).select("id", "title")
+    return search.search_articles(bind.shown(spark, d), limit=50, query=" THE ", category="technology", region=" Town ", related_only=True, region_codes={"town": "onon"}).select("id", "title")
+
+
+@query("ql1_gates", f"""WITH {SHOWN} SELECT count(*) AS n, count(*) FILTER (a AND w <> '' AND ok AND dated AND named) AS kept, count(*) FILTER (NOT a) AS inactive, count(*) FILTER (a AND w = '') AS unbound,
+ count(*) FILTER (NOT ok) AS inaccessible, count(*) FILTER (NOT dated) AS out_of_dates, count(*) FILTER (NOT named) AS unnamed FROM shown""")
+def gates(spark, d):
+    """How many rows each gate of lists and lookups closes on."""
+    every, kept = bind.flagged(spark, d), bind.shown(spark, d)
+    dated = F.col("published_at").between(F.lit(bind.SINCE).cast("timestamp_ntz"), F.lit(bind.NOW).cast("timestamp_ntz"))
+    named = terms.any_term(F.lower("summary"), bind.REQUIRED)
+    counts = every.agg(F.count("*").alias("n"), F.count_if(~F.col("active")).alias("inactive"), F.count_if(F.col("active") & (F.col("whitelist_entity_id") == "")).alias("unbound"),
+                       F.count_if(F.col("url_status") != "accessible").alias("inaccessible"), F.count_if(~dated).alias("out_of_dates"), F.count_if(~named).alias("unnamed"))
+    return groups.one_row(counts, kept.agg(F.count("*").alias("kept")))
 
 
-@query("ql2_page_articles", """SELECT o_orderkey AS id, 3 AS page, 60 AS page_size, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total_elements,
- (SELECT (count(*) + 59) // 60 FROM orders WHERE o_orderstatus = 'F') AS total_pages, TRUE AS has_previous, TRUE AS has_next
-FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 60 OFFSET 120""")
+@query("ql2_page_articles", f"""WITH {SHOWN}, hits AS (SELECT * FROM vis WHERE category = 'technology') SELECT id, 2 AS page, 10 AS page_size, (SELECT count(*) FROM hits) AS total_elements,
+ (SELECT (count(*) + 9) // 10 FROM hits) AS total_pages, TRUE AS has_previous, (SELECT count(*) FROM hits) > 20 AS has_next FROM hits ORDER BY published_at DESC, id DESC LIMIT 10 OFFSET 10""")
 def page_articles(spark, d):
-    orders = load_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("published_at"), F.col("o_orderstatus").alias("category"))
-    return search.page_articles(orders, page=3, size=100, category="F").drop("published_at", "category")
+    index = search.page_index(bind.shown(spark, d).select("id", "published_at", "category"), category="technology")
+    return search.page_articles(index, page=2, size=10).drop("published_at", "category")
+
+
+ORDERS = "(SELECT o_orderkey AS id, o_orderdate AS published_at FROM orders WHERE o_orderstatus = 'F')"
+
+
+def orders(spark, d):
+    return load_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("published_at"), F.col("o_orderstatus").alias("category"))
+
+
+@query("ql2_deep_page", f"""WITH t AS (SELECT *, (SELECT count(*) FROM {ORDERS}) AS n FROM {ORDERS}), p AS (SELECT *, (n + 59) // 60 AS pages FROM t)
+SELECT id, pages AS page, 60 AS page_size, n AS total_elements, pages AS total_pages, TRUE AS has_previous, FALSE AS has_next FROM (SELECT *, row_number() OVER (ORDER BY published_at DESC, id DESC) AS r FROM p) WHERE r > (pages - 1) * 60""")
+def deep_page(spark, d):
+    """The last page: one or two partitions of the index are read for it."""
+    index = search.page_index(orders(spark, d), category="F")
+    return search.page_articles(index, page=10**9, size=60).drop("published_at", "category")
+
+
+@query("ql2_next_articles", f"WITH c AS (SELECT * FROM {ORDERS} ORDER BY published_at, id LIMIT 1 OFFSET 500) SELECT id FROM {ORDERS} WHERE (published_at, id) > (SELECT (published_at, id) FROM c) ORDER BY published_at, id LIMIT 40")
+def next_articles(spark, d):
+    rows = orders(spark, d)
+    last = search.page_index(rows, oldest=True, category="F").rows(500, 1).first()
+    return search.next_articles(rows, (last.published_at, last.id), 40, oldest=True, category="F").select("id")
 
 
 @query("ql3_page_numbers", """WITH t AS (SELECT o_custkey, count(*) AS total_pages, o_custkey % 7 + 1 AS p0 FROM orders GROUP BY 1), c AS (SELECT o_custkey, total_pages, least(p0, total_pages) AS page FROM t),
@@ -36,10 +75,14 @@ def page_numbers(spark, d):
     return search.page_numbers(totals).select("o_custkey", "number", "gap_before")
 
 
-@query("ql4_find_article", k.with_articles("SELECT id, source FROM articles WHERE id = 17"))
+@query("ql4_find_article", f"""WITH {SHOWN}, asked AS (SELECT max(id) || '-story-old' AS v FROM vis UNION ALL SELECT 'story-' || min(id) FROM vis UNION ALL SELECT min(id)::VARCHAR FROM shown WHERE NOT a)
+SELECT v AS asked, id, source FROM vis JOIN asked ON id::VARCHAR = v OR slug = v OR id || '-' || slug = v OR starts_with(v, id || '-')""")
 def find_article(spark, d):
-    arts = bind.articles(spark, d).withColumn("slug", F.concat(F.lit("story-"), "id"))
-    return search.find_article(arts, "17-story-old").select("id", "source")
+    """By id prefix, by slug, and an id whose gate is closed, which finds nothing."""
+    rows = bind.shown(spark, d)
+    ends = groups.one_row(rows.agg(F.max("id").alias("high"), F.min("id").alias("low")), bind.flagged(spark, d).where("NOT active").agg(F.min("id").alias("hidden"))).first()
+    found = [search.find_article(rows, v).select(F.lit(v).alias("asked"), "id", "source") for v in (f"{ends.high}-story-old", f"story-{ends.low}", str(ends.hidden))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("ql5_latest_per_category", k.with_current("""SELECT category, id, rank FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY published_at DESC, id DESC) AS rank FROM cur) WHERE rank <= 4
@@ -64,6 +107,13 @@ def related_articles(spark, d):
     return search.related_articles(bind.current(spark, d), 30).select("id", "score")
 
 
+@query("ql7_related_to_all", k.with_current("""SELECT id, related_id, score, rank FROM (SELECT a.id, b.id AS related_id, p / 3888000000000 AS score, row_number() OVER (PARTITION BY a.id ORDER BY p DESC, b.published_at DESC, b.id) AS rank
+ FROM cur a JOIN cur b ON a.id <> b.id, LATERAL (SELECT (len(list_intersect(a.keywords, b.keywords)) * 24 + len(list_intersect(a.entity_ids, b.entity_ids)) * 30 + CASE WHEN a.category = b.category THEN 15 ELSE 0 END
+  + CASE WHEN a.is_related AND b.is_related THEN 12 ELSE 0 END + CASE WHEN a.language = b.language THEN 5 ELSE 0 END) * 388800000000 + greatest(0, 7776000000000 - abs(date_diff('microsecond', a.published_at, b.published_at))) AS p) WHERE p > 0) WHERE rank <= 3"""))
+def related_to_all(spark, d):
+    return related.related_articles(bind.current(spark, d))
+
+
 @query("ql8_rank_regions", f"WITH {NATION_COUNTS} SELECT region_id FROM nc JOIN nation ON n_nationkey = region_id ORDER BY region_id % 9 = 0 DESC, v DESC, n_name LIMIT 5")
 def rank_regions(spark, d):
     metrics = nation_counts(spark, d).withColumns({"is_priority": F.col("region_id") % 9 == 0, "article_count": F.col("v")})

@@ -169,6 +169,23 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+NOW, SINCE = "2024-12-20 00:00:00", "2024-01-10 00:00:00"
+
+
+def flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Current articles with what the gates of lists and lookups read: flags from their sources and labels; and a slug."""
+    names = sources(spark, folder).select(F.col("source_code").alias("source"), "active", "whitelist_entity_id")
+    toxic = load_table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    status = F.when(F.coalesce("toxic", F.lit(0)) == 0, "accessible").otherwise("inaccessible")
+    return current(spark, folder).join(names, "source").join(toxic, "id", "left").withColumns({"url_status": status, "slug": F.concat(F.lit("story-"), "id")})
+
+
+def shown(spark: SparkSession, folder: str) -> DataFrame:
+    from clipworks.operators import search
+
+    return search.visible(flagged(spark, folder), NOW, SINCE, REQUIRED)
+
+
 def regions(current: DataFrame) -> DataFrame:
     """The regions of current articles: article ids, counts as summary, and their three commonest keywords."""
     from clipworks.functions import groups
