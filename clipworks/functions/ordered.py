@@ -6,7 +6,9 @@ partition totals turns places inside a partition into places in the whole order.
 
 from __future__ import annotations
 
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -50,13 +52,41 @@ class PageIndex:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def rows(self, start: int, count: int, position: str = "position") -> DataFrame:
-        """The rows from place ``start`` (0 is the first) on, with their places; at most ``count``."""
-        wanted, offset, before = [], None, 0
+        """The rows from place ``start`` (0 is the first) on, with their places; at most ``count``. Each task numbers one partition."""
+        before, wanted = 0, {}
         for part, n in self.counts:
             if before < start + count and before + n > start:
-                wanted.append(part)
-                offset = before if offset is None else offset
+                wanted[part] = before
             before += n
-        rows = self._read().where(F.col("_part").isin(wanted)).drop("_part").orderBy(*self.order).offset(max(0, start - (offset or 0))).limit(count if wanted else 0)
-        place = F.row_number().over(W.orderBy(*self.order)) + start - 1  # at most ``count`` rows
-        return rows.withColumn(position, place.cast("bigint"))
+        if not wanted:
+            return self._read().limit(0).drop("_part").withColumn(position, F.lit(0).cast("bigint"))
+        offset = F.create_map(*[F.lit(x).cast("bigint") for pair in wanted.items() for x in pair])
+        rows = self._read().where(F.col("_part").isin(list(wanted)))
+        place = F.row_number().over(W.partitionBy("_part").orderBy(*self.order)) + offset[F.col("_part").cast("bigint")] - 1
+        return rows.withColumn(position, place).where(F.col(position).between(start, start + count - 1)).drop("_part")
+
+
+def first_passing(df: DataFrame, order: list, judge, need: int, first: int | None = None) -> tuple[DataFrame, int]:
+    """(rows, judged): the first ``need`` rows in ``order`` that pass, and how many rows were judged for them.
+
+    ``judge(rows)`` keeps the rows that pass (with the column ``position``) and may be costly: join pages, read texts. It
+    gets ranges of the order, each as long as the share that passed so far lets expect to need, so that it sees little
+    more than it must when many pass, and everything when few do. The cut is exact at any share. Keep ``df`` narrow.
+    """
+    index, parts, found, start = PageIndex(df, order), [], 0, 0
+    size = max(1, first or need)
+    while found < need and start < index.total:
+        passed = materialize(judge(index.rows(start, size)))
+        parts.append(passed)
+        found += passed.count()
+        start = min(start + size, index.total)
+        rate = max(found / start, 1 / (4 * start))  # no more than four times as far in one step
+        size = max(1, math.ceil(1.05 * (need - found) / rate))
+    if not parts:
+        return judge(index.rows(0, 0)), 0
+    rows = reduce(DataFrame.unionByName, parts)
+    if found > need:
+        counted = running_sum(rows.select("position", F.lit(1).cast("bigint").alias("one")), [], ["position"], "one", "nth")
+        last = counted.where(F.col("nth") == need).first()["position"] if need > 0 else -1
+        rows = rows.where(F.col("position") <= last)
+    return rows, start

@@ -39,11 +39,21 @@ def plan_noncompliant_cleanup(heads: DataFrame, versions: DataFrame, ok="qualifi
 
 
 def body_backfill(heads: DataFrame, versions: DataFrame, fetches: DataFrame, url="original_url") -> DataFrame:
-    """``(version_id, body)`` for current versions without a body whose page was fetched."""
-    empty = versions.filter(F.coalesce("body", F.lit("")) == "").join(
+    """``(version_id, body)`` for current versions without a body whose page was fetched: the text of the latest fetch.
+
+    fetches(url, page_text, fetch_id).
+    """
+    empty = versions.filter(F.coalesce("body", F.lit("")) == "").select("version_id", url).join(
         heads.select(F.col("current_version_id").alias("version_id")), "version_id", "left_semi")
-    pages = fetches.groupBy(url).agg(F.max("page_text").alias("_page"))
-    return empty.join(pages, url).filter("_page <> ''").select("version_id", F.col("_page").alias("body"))
+    some = fetches.filter("page_text <> ''")
+    latest = some.groupBy(url).agg(F.max("fetch_id").alias("fetch_id")).join(empty, url)
+    return latest.join(some, [url, "fetch_id"]).groupBy("version_id").agg(F.max("page_text").alias("body"))
+
+
+def fill_bodies(versions: DataFrame, found: DataFrame) -> DataFrame:
+    """``versions`` with the bodies of ``found`` (version_id, body) in the place of missing ones."""
+    made = F.when(F.coalesce("body", F.lit("")) == "", F.coalesce("_found", "body")).otherwise(F.col("body"))
+    return versions.join(found.select("version_id", F.col("body").alias("_found")), "version_id", "left").withColumn("body", made).drop("_found")
 
 
 def plan_date_cleanup(heads: DataFrame, versions: DataFrame, lo: str, hi: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions import groups, text, urls
-from clipworks.operators import extract, review, versions
+from clipworks.functions import groups, ordered, text, urls
+from clipworks.operators import extract, review, urlset, versions
 
 
 def replay(assessed: DataFrame, reason: str, rule: config.ReviewRule, start: str, end: str, min_title: int = 6) -> DataFrame:
@@ -34,19 +34,42 @@ def replay_counts(replayed: DataFrame, heads: DataFrame, vers: DataFrame, now: s
     return groups.one_row(total, stats)
 
 
-def replay_strict(cands: DataFrame, reasons, order, languages=None, with_accepted=False, scan_limit: int | None = None,
-                  passed="relevant", need: int | None = None) -> DataFrame:
-    """Candidates of many reasons in priority order that pass now; at most ``scan_limit`` looked at, ``need`` taken.
+def replay_strict(cands: DataFrame, reasons, order, judge, need: int, languages=None, codes=None, without_codes=(), with_accepted=False,
+                  scan_limit: int | None = None) -> tuple[DataFrame, int]:
+    """(rows, judged): candidates of many reasons in priority order that comply when read again, until ``need`` are found.
 
-    Both limits are bounded sorts: each task forwards no more rows than the limit.
+    cands(id, source_code, language, review_status, reject_reason and what ``order`` names). ``judge`` rebuilds the given
+    candidates from their pages and keeps those that comply, see ``rebuild``; it sees no more of them than it must.
+    ``scan_limit`` bounds how many are looked at.
     """
-    rows = cands.filter(F.col("reject_reason").isin(list(reasons)) | (F.lit(with_accepted) & (F.col("review_status") == "accepted")))
+    status = (F.col("review_status") == "rejected") & F.col("reject_reason").isin(list(reasons)) | (F.lit(with_accepted) & (F.col("review_status") == "accepted"))
+    rows = cands.filter(status & ~F.col("source_code").isin(list(without_codes)))
     if languages:
         rows = rows.filter(F.col("language").isin(list(languages)))
+    if codes:
+        rows = rows.filter(F.col("source_code").isin(list(codes)))
     if scan_limit is not None:
-        rows = rows.orderBy(*order).limit(scan_limit)
-    rows = rows.filter(F.col(passed))
-    return rows.orderBy(*order).limit(need) if need is not None else rows
+        rows = ordered.PageIndex(rows, order).rows(0, scan_limit).drop("position")
+    return ordered.first_passing(rows, order, judge, need)
+
+
+def rebuild(cands: DataFrame, pages: DataFrame, sources: DataFrame, required=config.REQUIRED_TERMS) -> DataFrame:
+    """Candidates (id, source_id, url, ...) made anew from their fetched pages (url, html, final_url if there is one), with
+    their sources' fields: detail pages of an allowed domain only, before and after a redirect.
+
+    The candidate's own date, if any, wins over the page's. Cheap tests come before the page is joined and read.
+    """
+    own = cands.drop(*[c for c in sources.columns if c != "source_id"])
+    given = own.withColumn("canonical_url", urls.canonical("url")).filter(urls.is_detail("canonical_url")).join(sources, "source_id")
+    allowed = lambda url: urlset.domain_allowed(F.col(url), F.col("site_url"), F.col("allowed_hosts"), F.col("allowed_host_patterns"))
+    fetched = pages.select(urls.canonical("url").alias("canonical_url"), "html", (F.col("final_url") if "final_url" in pages.columns else F.lit(None).cast("string")).alias("_final"))
+    met = given.filter(allowed("canonical_url")).drop("url").join(fetched, "canonical_url")
+    met = met.withColumn("original_url", F.coalesce(F.nullif(urls.canonical("_final"), F.lit("")), "canonical_url")).filter(allowed("original_url")).withColumn("url", F.col("original_url"))
+    known = F.col("published_at") if "published_at" in cands.columns else None
+    if known is not None:
+        met = met.withColumnRenamed("published_at", "_given")
+    rebuilt = extract.pages_to_candidates(met, required, F.col("_given") if known is not None else None)
+    return rebuilt.filter((F.length("title") >= 6) & (F.length("summary") >= 12)).drop("_given", "_final")
 
 
 def restore_from_audit(audit: DataFrame, pages: DataFrame, heads: DataFrame, required=config.REQUIRED_TERMS, judge=None) -> DataFrame:
@@ -69,10 +92,9 @@ def restore_from_audit(audit: DataFrame, pages: DataFrame, heads: DataFrame, req
     return versions.insert_new(heads, rows)
 
 
-def backfill_to_target(qualified: DataFrame, cands: DataFrame, target: int, order) -> DataFrame:
-    """As many best candidates as are missing to the target: one count, then one bounded sort."""
-    need = max(0, target - qualified.count())
-    return cands.orderBy(*order).limit(need)
+def backfill_to_target(n_qualified: int, cands: DataFrame, target: int, order, judge) -> tuple[DataFrame, int]:
+    """(rows, judged): the first candidates that qualify by ``judge``, as many as are missing to the target."""
+    return ordered.first_passing(cands, order, judge, max(0, target - n_qualified))
 
 
 def month_windows(df: DataFrame, start: str, end: str, months: int, max_windows: int | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def page_articles(index: ordered.PageIndex, page: int = 1, size: int = 24) -> Da
     size, total = max(1, size), index.total
     pages = -(-total // size)
     at = min(max(1, page), pages) if pages else 1
-    return index.rows((at - 1) * size, size).drop("position").withColumns({
+    return index.rows((at - 1) * size, size).orderBy("position").drop("position").withColumns({
         "page": F.lit(at), "page_size": F.lit(size), "total_elements": F.lit(total).cast("bigint"), "total_pages": F.lit(pages).cast("bigint"),
         "has_previous": F.lit(at > 1 and pages > 0), "has_next": F.lit(pages > 0 and at < pages)})
 

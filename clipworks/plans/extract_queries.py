@@ -28,7 +28,10 @@ def html_to_text(spark, d):
 PARAS20 = PARAS.replace("length(p) >= 40", "length(p) >= 20").replace("paras AS (SELECT page_id,", "p20 AS (SELECT page_id, html,")
 
 
-@query("ex2_body", f"WITH {PARAS20} SELECT page_id, CASE WHEN len(ps) > 0 THEN array_to_string(list_reduce(list_prepend([], list_transform(ps, lambda p: [p])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ' ') ELSE {page_text('html')} END AS body FROM p20")
+BODIES = f"""{PARAS20}, bodies AS (SELECT page_id, html, CASE WHEN len(ps) > 0 THEN array_to_string(list_reduce(list_prepend([], list_transform(ps, lambda p: [p])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ' ') ELSE {page_text('html')} END AS body FROM p20)"""
+
+
+@query("ex2_body", f"WITH {BODIES} SELECT page_id, body FROM bodies")
 def body(spark, d):
     return extract.extract_body(bind.pages(spark, d)).select("page_id", "body")
 

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipworks.operators import replay
+from clipworks.operators import replay, review, versions
 from clipworks.plans import sqlkit as k
+from clipworks.plans.extract_queries import BODIES, DATED, LEAD, TITLE
 from clipworks.plans.registry import query
-from clipworks.plans.review_queries import ASSESSED, GATE, REASON, WINDOW, assessed
+from clipworks.plans.review_queries import ASSESSED, CHECKED, GATE, REASON, WINDOW, assessed
 from clipworks.plans.version_queries import _empty
 from clipworks.session import checkpoint_dir
 from clipworks.sources import bind, files
@@ -103,29 +104,76 @@ def replay_counts(spark, d):
     return replay.replay_counts(rows, heads, vers, "2024-01-01")
 
 
-@query("rp2_replay_strict", f"""WITH {ASSESSED}, c AS (SELECT id, relevant, published_at, source_id FROM chk WHERE id % 3 <> 2 AND language IN ('en', 'fr')),
-s AS (SELECT * FROM c ORDER BY source_id = 7 DESC, published_at DESC, id LIMIT 300) SELECT id FROM (SELECT * FROM s WHERE relevant ORDER BY source_id = 7 DESC, published_at DESC, id LIMIT 50)""")
+def page_judge(spark, d):
+    """Rebuilds page candidates from what was fetched and keeps those that comply (QA2)."""
+    pages, sources = bind.page_fetches(spark, d), bind.page_sources(spark)
+
+    def judge(rows):
+        made = replay.rebuild(rows, pages.select("url", "html", "final_url"), sources, bind.REQUIRED)
+        return review.compliance(review.assess(made, bind.entities(spark), GATE, k.ENTITY_TERMS)).filter("qualified").drop("qualified")
+
+    return judge
+
+
+# Page candidates rebuilt from their pages, and which of the rules of QA2 they fail.
+REBUILT = f"""{BODIES}, known AS ({k.ENTITY_TABLE}), pc AS (SELECT page_id AS id, page_id % 7 AS sid, html, {TITLE} AS title, CASE WHEN page_id % 6 = 0 THEN '2024-05-01 10:00:00' ELSE {DATED} END AS dated,
+   body, {LEAD} AS summary FROM bodies WHERE page_id % 11 <> 0 AND page_id % 13 <> 0 AND (page_id % 10 <> 2 OR page_id % 7 = 2) AND page_id % 17 <> 0 AND page_id % 19 <> 0),
+pf AS (SELECT pc.*, lower(body) AS ev, coalesce(known.terms, []) AS own FROM pc LEFT JOIN known ON known.entity_id = CASE WHEN sid <> 5 THEN 'entity-' || sid END WHERE dated IS NOT NULL AND length(title) >= 6),
+ph AS (SELECT *, len({k.words('ev', bind.CORE)}) AS n_core, len(list_concat({k.words('ev', k.ENTITY_TERMS)}, own)) AS n_ent FROM pf),
+pq AS (SELECT *, sid < 5 AND dated::TIMESTAMP BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-12-20 00:01:00' AND {k.any_of('summary', bind.REQUIRED)} AND title <> summary AND contains(ev, lower(summary))
+   AND (n_core >= 2 OR (n_core = 1 AND n_ent >= 1 AND NOT {k.any_of('body', bind.LOW)})) AS ok FROM ph)"""
+
+
+@query("rp2_replay_strict", f"""WITH {REBUILT} SELECT id, title, dated AS published_at FROM pq WHERE ok AND id % 4 IN (0, 1, 2) AND id % 3 <> 0 AND sid <> 3
+ORDER BY sid = 2 DESC, id LIMIT 40""")
 def replay_strict(spark, d):
-    rows = assessed(spark, d).withColumns({
-        "review_status": F.lit("rejected"), "reject_reason": F.when(F.col("id") % 3 == 0, "not_detail_url").when(F.col("id") % 3 == 1, "title_too_short").otherwise("other")})
-    order = [F.desc(F.col("source_id") == 7), F.desc("published_at"), F.asc("id")]
-    return replay.replay_strict(rows, ["not_detail_url", "title_too_short"], order, ["en", "fr"], scan_limit=300, need=50).select("id")
+    cands = bind.page_candidates(spark, d)
+    order = [F.desc(F.col("source_code") == "p2"), F.asc("id")]
+    rows, _ = replay.replay_strict(cands, ["not_detail_url", "title_too_short", "missing_published_at"], order, page_judge(spark, d), 40, ["en"], without_codes=["p3"])
+    return rows.select("id", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
 
+@query("rp2_inserted", f"""WITH {REBUILT}, 
+s AS (SELECT page_id AS id FROM pages WHERE page_id % 4 <> 3 ORDER BY page_id % 7 = 2 DESC, page_id LIMIT 120) SELECT count(*) AS inserted, 0 AS duplicates FROM pq WHERE ok AND id IN (SELECT id FROM s)""")
+def replay_inserted(spark, d):
+    """Of the first 120 candidates, how many comply and become new articles."""
+    order = [F.desc(F.col("source_code") == "p2"), F.asc("id")]
+    rows, _ = replay.replay_strict(bind.page_candidates(spark, d), ["not_detail_url", "title_too_short", "missing_published_at"], order, page_judge(spark, d), 10**9, scan_limit=120)
+    taken = rows.select(F.col("id").alias("seq"), "source_id", "canonical_url", F.lit("").alias("slug"), F.sha2(F.concat_ws("\n", "title", "summary", "canonical_url"), 256).alias("content_hash"))
+    heads, vers = _empty(taken)
+    return versions.upsert_versions(heads, vers, taken, "2024-01-01")[2].select("inserted", "duplicates")
 
-@query("rp3_restore_from_audit")
+
+@query("rp3_restore_from_audit", f"""WITH {REBUILT} SELECT id AS page_id, title, summary FROM pq WHERE ok AND id % 2 = 0""")
 def restore_from_audit(spark, d):
-    n = F.col("page_id")
-    own = F.concat(F.lit("https://a.example.com/news/"), n, F.lit(".html"))
-    pages = bind.pages(spark, d).withColumn("url", own)
-    audit = load_table(spark, d, "pages").select((n % 7).alias("source_id"), F.concat(own, F.lit("#x")).alias("original_url"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("published_at"), F.when(n % 2 == 0, "will_delete").otherwise("keep").alias("action"))
+    cands = bind.page_candidates(spark, d)
+    audit = cands.select("source_id", F.col("url").alias("original_url"), "published_at", F.when(F.col("id") % 2 == 0, "will_delete").otherwise("keep").alias("action"))
+    fetched = bind.page_fetches(spark, d)
+    moved = fetched.where("final_url IS NULL").drop("final_url")
+
+    def judge(rows):
+        joined = rows.join(bind.page_sources(spark), "source_id").withColumn("original_url", F.col("canonical_url"))
+        return review.compliance(review.assess(joined, bind.entities(spark), GATE, k.ENTITY_TERMS, "page_id"))
+
     heads = load_table(spark, d, "pages").limit(0).select(F.lit("").alias("news_id"))
-    return replay.restore_from_audit(audit, pages, heads, bind.REQUIRED).select("page_id", "canonical_url", "title", "summary")
+    return replay.restore_from_audit(audit, moved, heads, bind.REQUIRED, judge).select("page_id", "title", "summary")
+
+
+def article_judge(spark, d):
+    """Reads the texts of the given articles only and keeps those that comply (QA2)."""
+    def judge(rows):
+        read = review.assess(bind.versions(spark, d, rows), bind.entities(spark), GATE, k.ENTITY_TERMS)
+        return rows.join(review.compliance(read).filter("qualified").select("id"), "id", "left_semi")
+
+    return judge
 
 
-@query("rp4_backfill", k.with_articles("SELECT id FROM (SELECT id FROM articles WHERE id % 7 <> 0 ORDER BY published_at DESC, id LIMIT (SELECT greatest(0, 400 - count(*)) FROM articles WHERE id % 7 = 0))"))
+@query("rp4_backfill", f"""WITH {CHECKED} SELECT id FROM (SELECT id FROM qual WHERE id % 7 <> 0 AND len(reasons) = 0 ORDER BY published_at DESC, id LIMIT 25)""")
 def backfill(spark, d):
-    arts = bind.articles(spark, d).select("id", "published_at")
-    return replay.backfill_to_target(arts.filter("id % 7 = 0"), arts.filter("id % 7 <> 0"), 400, [F.desc("published_at"), F.asc("id")]).select("id")
+    """Twenty-five more articles than qualify now."""
+    arts, judge = bind.articles(spark, d).select("id", "published_at"), article_judge(spark, d)
+    have = judge(arts.filter("id % 7 = 0")).count()
+    return replay.backfill_to_target(have, arts.filter("id % 7 <> 0"), have + 25, [F.desc("published_at"), F.asc("id")], judge)[0].select("id")
 
 
 @query("rp5_month_windows", f"""WITH b AS (SELECT o_custkey, date_trunc('month', min(o_orderdate))::TIMESTAMP AS s, max(o_orderdate) AS e FROM orders GROUP BY 1),

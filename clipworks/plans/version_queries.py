@@ -184,12 +184,27 @@ def relevance_cleanup(spark, d):
     return cleanup.plan_relevance_cleanup(heads_of(vers), vers)
 
 
-OKQ = "v.n_reasons <= 1"
+OKQ = "v.n_reasons = 0"
 
 
-@query("cu2_noncompliant_cleanup", f"WITH {CHECKED}, {HEADS}, flag AS (SELECT news_id, version_id, len(reasons) AS n_reasons, published_at FROM qual), {_plan_sql(OKQ, 'v.published_at DESC, v.version_id')}")
+# Articles whose body is missing on a quarter of the rows, as the backfill leaves them.
+FILLED = """
+hd AS (SELECT id // 3 AS news_id, max(id) AS version_id FROM cleaned GROUP BY 1),
+fet AS (SELECT original_url, arg_max(body, id) AS page FROM cleaned WHERE id % 8 <> 1 AND body <> '' GROUP BY 1),
+filled AS (SELECT c.* REPLACE (CASE WHEN c.id % 4 <> 1 THEN body WHEN hd.version_id IS NULL THEN '' ELSE coalesce(fet.page, '') END AS body) FROM cleaned c LEFT JOIN hd ON hd.version_id = c.id LEFT JOIN fet ON fet.original_url = c.original_url),
+m AS (SELECT *,"""
+CHECKED_FILLED = CHECKED.replace("FROM cleaned)", "FROM filled)").replace("\nm AS (SELECT *,", FILLED)
+
+
+@query("cu2_noncompliant_cleanup", f"WITH {CHECKED_FILLED}, {HEADS}, flag AS (SELECT news_id, version_id, len(reasons) AS n_reasons, published_at FROM qual), {_plan_sql(OKQ, 'v.published_at DESC, v.version_id')}")
 def noncompliant_cleanup(spark, d):
-    vers = checked(spark, d).select("news_id", "version_id", "source", "published_at", (F.size("reasons") <= 1).alias("qualified"))
+    """Bodies that are missing are filled from the fetched pages first; then every version is checked (QA2)."""
+    rows = bind.versions(spark, d).withColumn("body", F.when(F.col("id") % 4 == 1, "").otherwise(F.col("body")))
+    heads = heads_of(rows.select("news_id", "version_id", "source"))
+    fetched = bind.versions(spark, d).filter("id % 8 <> 1").select("original_url", F.col("body").alias("page_text"), F.col("version_id").alias("fetch_id"))
+    filled = cleanup.fill_bodies(rows, cleanup.body_backfill(heads, rows, fetched))
+    flags = review_ops.compliance(review_ops.assess(filled, bind.entities(spark), GATE, k.ENTITY_TERMS))
+    vers = flags.select("news_id", "version_id", "source", "published_at", "qualified")
     return cleanup.plan_noncompliant_cleanup(heads_of(vers), vers)
 
 

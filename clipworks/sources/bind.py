@@ -31,8 +31,8 @@ ENTITIES = [
 ]
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as article candidates: first line as title, constructed date and URL."""
+def articles(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """Documents as article candidates: first line as title, constructed date and URL. ``only`` (id) restricts the rows read on."""
     n = F.col("doc_id")
     own = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com"))
     url = (
@@ -41,7 +41,10 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         .when(n % 10 == 2, F.concat(F.lit("https://www.news.example.com/news/"), n - n % 40, F.lit(".html#top")))
         .otherwise(F.concat(own, F.lit("/news/"), n, F.lit(".html")))
     )
-    return load_table(spark, folder, "documents").select(
+    docs = load_table(spark, folder, "documents")
+    if only is not None:
+        docs = docs.join(only.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return docs.select(
         n.alias("id"),
         "source",
         F.col("lang").alias("language"),
@@ -136,18 +139,43 @@ FROM pages
 """
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
+def page_sources(spark: SparkSession) -> DataFrame:
+    """Seven sources of fetched pages, with flags and allowed hosts."""
+    rows = [(n, f"p{n}", f"https://www.p{n}.example.com/", n != 6, "" if n == 5 else f"entity-{n}", ["mirror.example.org"] if n == 2 else [], []) for n in range(7)]
+    return spark.createDataFrame(rows, "source_id BIGINT, source_code STRING, site_url STRING, active BOOLEAN, whitelist_entity_id STRING, allowed_hosts ARRAY<STRING>, allowed_host_patterns ARRAY<STRING>")
+
+
+def page_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """A rejected candidate for every fetched page: its source, a constructed URL, a date on some, and the reason."""
+    n = F.col("page_id")
+    host = F.concat(F.lit("https://www.p"), (n % 7).cast("string"), F.lit(".example.com"))
+    url = (F.when(n % 11 == 0, F.concat(F.lit("https://outside.example.net/news/"), n, F.lit(".html"))).when(n % 13 == 0, F.concat(host, F.lit("/list/"), n, F.lit("/")))
+           .when(n % 10 == 2, F.concat(F.lit("https://mirror.example.org/news/"), n, F.lit(".html"))).otherwise(F.concat(host, F.lit("/news/"), n, F.lit(".html#top"))))
+    return load_table(spark, folder, "pages").select(
+        n.alias("id"), (n % 7).alias("source_id"), F.concat(F.lit("p"), (n % 7).cast("string")).alias("source_code"), url.alias("url"), F.when(n % 3 == 0, "fr").otherwise("en").alias("language"),
+        F.lit("rejected").alias("review_status"), F.when(n % 4 == 0, "not_detail_url").when(n % 4 == 1, "title_too_short").when(n % 4 == 2, "missing_published_at").otherwise("other").alias("reject_reason"),
+        F.when(n % 6 == 0, F.lit("2024-05-01 10:00:00").cast("timestamp_ntz")).alias("published_at"))
+
+
+def page_fetches(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of those candidates that could be fetched; some were moved to another host."""
+    n = F.col("page_id")
+    made = pages(spark, folder).drop("url").join(page_candidates(spark, folder).select(F.col("id").alias("page_id"), "url"), "page_id")
+    return made.filter(n % 17 != 0).withColumn("final_url", F.when(n % 19 == 0, F.concat(F.lit("https://moved.example.net/news/"), n, F.lit(".html"))))
+
+
+def candidates(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
     """Articles with given summaries on a third of the rows: the title, or text that is not in the body."""
     n = F.col("id") % 6
     given = F.when(n == 0, F.col("title")).when(n == 1, "eren pour nothing of this is in the body").otherwise("")
-    return articles(spark, folder).withColumn("summary", given)
+    return articles(spark, folder, only).withColumn("summary", given)
 
 
-def cleaned(spark: SparkSession, folder: str, with_slug: bool = False) -> DataFrame:
+def cleaned(spark: SparkSession, folder: str, with_slug: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Clean articles of the driver's documents under the Latin term lists."""
     from clipworks.operators.cleaning import clean_candidates
 
-    return clean_candidates(candidates(spark, folder), sources(spark, folder), REQUIRED, DOMAIN, REGIONS, CATEGORIES,
+    return clean_candidates(candidates(spark, folder, only), sources(spark, folder), REQUIRED, DOMAIN, REGIONS, CATEGORIES,
                             default_tag="none", with_slug=with_slug)
 
 
@@ -233,10 +261,10 @@ def terms_of(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def versions(spark: SparkSession, folder: str) -> DataFrame:
+def versions(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
     """Clean documents as article versions: three to a head, with a constructed URL status."""
     labels = load_table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
-    out = cleaned(spark, folder).join(labels, "id", "left")
+    out = cleaned(spark, folder, only=only).join(labels, "id", "left")
     return out.withColumns({
         "version_id": F.col("id"), "news_id": F.floor(F.col("id") / 3),
         "url_status": F.when(F.coalesce("toxic", F.lit(0)) == 0, "accessible").otherwise("inaccessible"),

@@ -88,3 +88,16 @@ def test_pages_join_to_the_whole_order(spark):
         cursor = part[-1].published_at, part[-1].id
     assert seen == want[:300]
     assert search.page_index(rows.where("false")).total == 0 and search.page_articles(search.page_index(rows.where("false"))).isEmpty()
+
+
+@pytest.mark.parametrize("share, need", [(1.0, 50), (0.9, 50), (0.02, 30), (0.0, 10), (0.3, 0), (0.5, 10**6)])
+def test_first_passing_rows_are_exact_and_few_are_judged(spark, share, need):
+    rng = random.Random(7)
+    good = {i for i in range(3000) if rng.random() < share}
+    rows = spark.range(3000).select("id", ((F.col("id") * 1237) % 3000).alias("rank")).repartition(4)
+    passing = spark.createDataFrame([(i,) for i in good] or [(-1,)], "id long")
+    got, judged = ordered.first_passing(rows, [F.asc("rank")], lambda r: r.join(passing, "id", "left_semi"), need)
+    want = [i for i in sorted(range(3000), key=lambda i: i * 1237 % 3000) if i in good][:need]
+    assert sorted((r.id for r in got.collect()), key=lambda i: i * 1237 % 3000) == want
+    if share >= 0.9:
+        assert judged < 2 * need
