@@ -181,8 +181,8 @@ def _xml(item: Column, tag: str) -> Column:
     return F.nullif(html.to_text(F.regexp_replace(raw, r"<!\[CDATA\[|\]\]>", "")), F.lit(""))
 
 
-def explode_feed(payloads: DataFrame, id_col="feed_id", col="payload", base="url", max_categories=10) -> DataFrame:
-    """One row per RSS item or Atom entry: title, link, date, content, categories."""
+def explode_feed(payloads: DataFrame, id_col="feed_id", col="payload", base="url", max_categories: int | None = None) -> DataFrame:
+    """One row per RSS item or Atom entry: title, link, date, content, categories (all, or the first ``max_categories``)."""
     items = payloads.select(id_col, F.col(base).alias("feed_url"), F.posexplode(
         F.regexp_extract_all(col, F.lit(r"(?is)<(item|entry)\b.*?</\1>"), F.lit(0))).alias("position", "_item"))
     item = F.col("_item")
@@ -192,7 +192,7 @@ def explode_feed(payloads: DataFrame, id_col="feed_id", col="payload", base="url
     content = F.coalesce(*[_xml(item, t) for t in ("content:encoded", "content", "description", "summary")], F.lit(""))
     cats = F.filter(F.transform(F.regexp_extract_all(item, F.lit(r"(?is)<category\b[^>]*>(.*?)</category>"), F.lit(1)), html.to_text), lambda c: c != "")
     rows = items.select(id_col, "feed_url", "position", F.coalesce(_xml(item, "title"), F.lit("")).alias("title"), link.alias("_link"),
-                        when.alias("_when"), content.alias("content"), F.slice(cats, 1, max_categories).alias("categories"))
+                        when.alias("_when"), content.alias("content"), (F.slice(cats, 1, max_categories) if max_categories else cats).alias("categories"))
     return rows.withColumns({"link": F.when(F.col("_link") == "", "").otherwise(resolve_url(F.col("_link"), F.col("feed_url"))),
                              "published_at": dates.parse_feed("_when")}).drop("_link", "_when")
 

@@ -119,7 +119,7 @@ def rank_candidates(spark, d):
     return out.select("id", "score", "rank")
 
 
-@query("ex11_feed", f"""SELECT doc_id AS feed_id, {k.clean("substr(t, 1, 60)")} AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://' || source || '.example.com/news/' || doc_id || '.html' ELSE 'https://' || source || '.example.com/e/' || doc_id END AS link,
+@query("ex11_feed", f"""SELECT doc_id AS feed_id, {k.clean("t")} AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://' || source || '.example.com/news/' || doc_id || '.html' ELSE 'https://' || source || '.example.com/e/' || doc_id END AS link,
  printf('2024-02-%02d 10:00:00', doc_id % 28 + 1) AS published_at, {k.clean('t')} AS content, lang || '|' || source AS categories FROM (SELECT *, regexp_replace(text, '[<>&]', ' ', 'g') AS t FROM documents)""")
 def feed(spark, d):
     n = F.col("doc_id")
@@ -127,9 +127,9 @@ def feed(spark, d):
     site = F.concat(F.lit("https://"), "source", F.lit(".example.com"))
     day = F.lpad((n % 28 + 1).cast("string"), 2, "0")
     cats = F.concat(F.lit("<category>"), "lang", F.lit("</category><category>"), "source", F.lit("</category>"))
-    rss = F.concat(F.lit("<rss><channel><title>c</title><item><title><![CDATA["), F.substring(t, 1, 60), F.lit("]]></title><link>/news/"), n, F.lit(".html</link><pubDate>Mon, "), day,
+    rss = F.concat(F.lit("<rss><channel><title>c</title><item><title><![CDATA["), t, F.lit("]]></title><link>/news/"), n, F.lit(".html</link><pubDate>Mon, "), day,
                    F.lit(" Feb 2024 10:00:00 GMT</pubDate><description>"), t, F.lit("</description>"), cats, F.lit("</item></channel></rss>"))
-    atom = F.concat(F.lit("<feed><entry><title>"), F.substring(t, 1, 60), F.lit("</title><link rel='alternate' href='"), site, F.lit("/e/"), n, F.lit("'/><updated>2024-02-"), day,
+    atom = F.concat(F.lit("<feed><entry><title>"), t, F.lit("</title><link rel='alternate' href='"), site, F.lit("/e/"), n, F.lit("'/><updated>2024-02-"), day,
                     F.lit("T10:00:00Z</updated><content type='html'>"), t, F.lit("</content>"), cats, F.lit("</entry></feed>"))
     payloads = load_table(spark, d, "documents").select(n.alias("feed_id"), F.concat(site, F.lit("/feed.xml")).alias("url"), F.when(n % 2 == 0, rss).otherwise(atom).alias("payload"))
     out = extract.explode_feed(payloads)

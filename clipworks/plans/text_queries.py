@@ -34,14 +34,14 @@ def template_artifacts(spark, d):
     return ops.strip_artifacts(ops.flag_artifacts(docs, "text"), "text").select("doc_id", "is_artifact", "is_template", "text")
 
 
-SITE_TITLE = "substr(title, 1, 40) || CASE id % 3 WHEN 0 THEN ' - ' || source || ' site' WHEN 1 THEN ' | more' ELSE '' END"
+SITE_TITLE = "title || CASE id % 3 WHEN 0 THEN ' - ' || source || ' site' WHEN 1 THEN ' | more' ELSE '' END"
 
 
 @query("tx3_clean_title", k.with_articles(f"SELECT id, {k.title('t')} AS title FROM (SELECT id, {SITE_TITLE} AS t FROM articles)"))
 def clean_title(spark, d):
     n = F.col("id") % 3
     tail = F.when(n == 0, F.concat(F.lit(" - "), "source", F.lit(" site"))).when(n == 1, " | more").otherwise("")
-    arts = bind.articles(spark, d).select("id", F.concat(F.substring("title", 1, 40), tail).alias("title"))
+    arts = bind.articles(spark, d).select("id", F.concat("title", tail).alias("title"))
     return ops.clean_title(arts)
 
 
@@ -93,11 +93,13 @@ ROUTE = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(s
 
 
 @query("tx7_duplicate_routes", f"""
-WITH r AS (SELECT doc_id % 500 AS id, substr(text, 1, 6) AS s FROM documents),
+WITH r AS (SELECT doc_id // 2 % 100 AS id, text AS s FROM documents UNION ALL SELECT doc_id // 2 % 100, text FROM documents WHERE doc_id % 5 = 0),
      t AS (SELECT CASE WHEN substr({ROUTE}, 1, 80) <> '' THEN id || '-' || substr({ROUTE}, 1, 80) ELSE CAST(id AS VARCHAR) END AS route FROM r)
 SELECT route, count(*) AS n FROM t GROUP BY route HAVING count(*) > 1""")
 def duplicate_routes(spark, d):
-    docs = load_table(spark, d, "documents").select((F.col("doc_id") % 500).alias("id"), F.substring("text", 1, 6).alias("slug"))
+    """A fifth of the documents are listed twice, so that their routes repeat."""
+    docs = load_table(spark, d, "documents").select(F.floor(F.col("doc_id") / 2 % 100).alias("id"), F.col("text").alias("slug"), "doc_id")
+    docs = docs.unionByName(docs.filter("doc_id % 5 = 0")).drop("doc_id")
     return ops.duplicate_routes(ops.route_segments(docs))
 
 
@@ -201,12 +203,12 @@ def strip_term_suffix(spark, d):
 
 
 @query("tx18_recover_title", """
-WITH t AS (SELECT doc_id, substr(replace(replace(split_part(text, chr(10), 1), '-', ''), '|', ''), 1, 30) AS w, source FROM documents),
+WITH t AS (SELECT doc_id, replace(replace(split_part(text, chr(10), 1), '-', ''), '|', '') AS w, source FROM documents),
  r AS (SELECT doc_id, trim(w) AS w, source FROM t)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN w WHEN doc_id % 3 = 1 THEN trim('ab | ' || w) ELSE w || ' - ' || source END AS title FROM r""")
 def recover_title(spark, d):
     n = F.col("doc_id") % 3
-    w = F.trim(F.substring(F.regexp_replace(F.substring_index("text", "\n", 1), "[-|]", ""), 1, 30))
+    w = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), "[-|]", ""))
     docs = load_table(spark, d, "documents").select("doc_id", "source", w.alias("w"))
     docs = docs.withColumn("raw", F.when(n == 0, F.col("w")).when(n == 1, F.concat(F.lit("ab | "), "w")).otherwise(F.concat("w", F.lit(" - "), "source")))
     docs = docs.withColumn("cleaned", F.when(n == 1, "ab").otherwise(F.lit(None).cast("string")))

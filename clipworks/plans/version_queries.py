@@ -14,6 +14,9 @@ from clipworks.operators import joins
 from clipworks.sources import bind
 from clipworks.sources.tables import load_table
 
+# The marks that title keys leave out.
+KEY_MARKS = r"[\s:：,，。、“”\"'‘’()（）\[\]【】·•—-]+"
+
 HEAD_COLS = ["news_id", "source_id", "canonical_url", "slug", "current_version_id", "first_seen_at", "last_seen_at"]
 
 
@@ -99,13 +102,12 @@ def quality_score(spark, d):
 
 
 @query("pv5_dedupe_articles", k.with_current(f"""SELECT id FROM (
- SELECT id, row_number() OVER (PARTITION BY src2, substr(title, 1, 6) ORDER BY q DESC, published_at DESC, id) AS r2 FROM (
+ SELECT id, row_number() OVER (PARTITION BY src2, tk ORDER BY q DESC, published_at DESC, id) AS r2 FROM (
   SELECT *, row_number() OVER (PARTITION BY src2, u ORDER BY q DESC, published_at DESC, id) AS r1 FROM (
-   SELECT id, published_at, substr(title, 1, 6) AS title, 'm' || (id % 3) AS src2, CASE WHEN id % 7 = 0 THEN 'same' ELSE url END AS u, {QUALITY} AS q FROM cur)) WHERE r1 = 1) WHERE r2 = 1""".replace("substr(title, 1, 6) ORDER", "tk ORDER").replace("substr(title, 1, 6) AS title", "regexp_replace(lower(substr(title, 1, 6)), '[\\s:,.]', '', 'g') AS tk")))
+   SELECT id, published_at, regexp_replace(lower(title), {k.q(KEY_MARKS)}, '', 'g') AS tk, 'm' || (id % 3) AS src2, CASE WHEN id % 7 = 0 THEN 'same' ELSE url END AS u, {QUALITY} AS q FROM cur)) WHERE r1 = 1) WHERE r2 = 1"""))
 def dedupe_articles(spark, d):
     rows = _scored(spark, d).withColumns({
-        "source": F.concat(F.lit("m"), F.col("id") % 3), "url": F.when(F.col("id") % 7 == 0, "same").otherwise(F.col("url")),
-        "title": F.regexp_replace(F.substring("title", 1, 6), r"\.", "")})
+        "source": F.concat(F.lit("m"), F.col("id") % 3), "url": F.when(F.col("id") % 7 == 0, "same").otherwise(F.col("url"))})
     return versions.dedupe_articles(rows).select("id")
 
 
