@@ -14,6 +14,7 @@ NBSP = "\u00a0"
 # Blanks other than the plain space.
 BLANKS = [NBSP, "\n", "\r", "\t", "\x0b", "\f"]
 
+# Leftovers of page templates, here and in ``strip_template``.
 TEMPLATE_PATTERN = (
     r"(?i)(?:title|content|time)_(?:value|vaule)"
     r"|['\"`]\s*\+\s*[a-z_]{2,}\s*\+\s*['\"`]?"
@@ -129,6 +130,7 @@ def route_segment(id_col, slug_col) -> Column:
 
 def title_key(c) -> Column:
     """Key under which near-equal titles meet."""
+    # The marks that are left out.
     return F.regexp_replace(
         F.lower(clean(c)), r"[\s:：,，。、“”\"'‘’()（）\[\]【】·•—-]+", ""
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipworks import config
-from clipworks.functions import dates, groups, html, terms, text, urls
+from clipworks.functions import dates, dom, groups, html, terms, text, urls
 from clipworks.functions.text import let
 
 
@@ -31,9 +31,14 @@ def extract_meta(pages: DataFrame, names, out: str, col="html") -> DataFrame:
     return pages.withColumn(out, html.first_meta(col, names))
 
 
-def page_title(metas=config.TITLE_METAS, col="html", link_text: str | None = None) -> Column:
-    """Cleaned title from metas, the first heading, the document title or the link that led here."""
-    tries = [F.nullif(html.first_meta(col, metas), F.lit("")), F.nullif(html.tag_text(col, "h1"), F.lit("")),
+def _selected(found: str | None) -> list[Column]:
+    """The text of what a selector found, if it found any."""
+    return [F.nullif(html.to_text(found), F.lit(""))] if found else []
+
+
+def page_title(metas=config.TITLE_METAS, col="html", link_text: str | None = None, selected: str | None = None) -> Column:
+    """Cleaned title from what a selector found, metas, the first heading, the document title or the link that led here."""
+    tries = [*_selected(selected), F.nullif(html.first_meta(col, metas), F.lit("")), F.nullif(html.tag_text(col, "h1"), F.lit("")),
              F.nullif(html.tag_text(col, "title"), F.lit(""))]
     if link_text:
         tries.append(F.nullif(text.clean(link_text), F.lit("")))
@@ -48,15 +53,15 @@ def _attr(col, pattern) -> Column:
     return F.nullif(text.clean(F.regexp_extract(col, pattern, 1)), F.lit(""))
 
 
-def page_date(metas=config.DATE_METAS, col="html", url="url", link_hint: str | None = None, zone=config.LOCAL_ZONE) -> Column:
-    """Publish time from the first ranked place that says anything: metas, ``<time>``, any datetime attribute,
+def page_date(metas=config.DATE_METAS, col="html", url="url", link_hint: str | None = None, zone=config.LOCAL_ZONE, selected: str | None = None) -> Column:
+    """Publish time from the first ranked place that says anything: what a selector found, metas, ``<time>``, any datetime attribute,
     linked data, date-like elements, then free text. The URL and the link's hint stand in for an unreadable one."""
     raw = F.coalesce(F.col(col), F.lit(""))
     linked = F.regexp_extract(raw, r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>", 1)
     element = F.regexp_extract(
         raw, r"(?is)<[a-z0-9]+[^>]*\b(?:class|id)=[\"'][^\"']*(?:date|time|publish|posted)[^\"']*[\"'][^>]*>(.*?)</", 1)
     said = F.coalesce(
-        F.nullif(html.first_meta(raw, metas), F.lit("")),
+        *_selected(selected), F.nullif(html.first_meta(raw, metas), F.lit("")),
         _attr(raw, r"(?i)<time[^>]+datetime=[\"']([^\"']+)[\"']"), _attr(raw, r"(?i)<[a-z0-9]+[^>]+datetime=[\"']([^\"']+)[\"']"),
         F.nullif(dates.hint(linked), F.lit("")), F.nullif(dates.hint(html.strip_tags(element)), F.lit("")),
         F.nullif(dates.hint(html.strip_tags(raw)), F.lit("")))
@@ -72,15 +77,39 @@ def extract_published_at(pages: DataFrame, metas=config.DATE_METAS, col="html",
 def pages_to_candidates(pages: DataFrame, required=config.REQUIRED_TERMS, known_date: Column | None = None) -> DataFrame:
     """Article candidates: title, body, natural summary, cover, date; pages without title or date are dropped.
 
-    A ``known_date`` wins over what the page says.
+    A ``known_date`` wins over what the page says. Columns of the page's source are used where there are any:
+    ``title_selectors`` and ``date_selectors`` (array<string>), tried before everything else; ``link_text`` and
+    ``link_date`` from the link that led here, tried last.
 
     Every stage is a projection of the page row: one scan, no shuffle.
     """
-    made = {"title": page_title(), "published_at": page_date() if known_date is None else F.coalesce(known_date, page_date())}
+    have = set(pages.columns)
+    chosen = {name: f"_{name}" if f"{name}_selectors" in have else None for name in ("title", "date")}
+    for name, column in chosen.items():
+        if column:
+            pages = pages.withColumn(column, dom.select_first("html", f"{name}_selectors"))
+    said = page_date(selected=chosen["date"], link_hint="link_date" if "link_date" in have else None)
+    made = {"title": page_title(selected=chosen["title"], link_text="link_text" if "link_text" in have else None), "published_at": said if known_date is None else F.coalesce(known_date, said)}
     out = groups.keep_computed(pages, made, lambda x: (x["title"] != "") & x["published_at"].isNotNull())
     out = extract_body(out)
     out = out.withColumn("summary", terms.natural_summary("body", required))
-    return extract_meta(out, config.COVER_METAS, "cover").drop("html")
+    return extract_meta(out, config.COVER_METAS, "cover").drop("html", *[c for c in chosen.values() if c])
+
+
+def source_candidates(pages: DataFrame, sources: DataFrame, required=config.REQUIRED_TERMS) -> DataFrame:
+    """Candidates of fetched pages under the rules of their sources, with ``language`` and the raw ``payload`` as JSON.
+
+    pages(source_id, url, html; optional final_url, link_text, link_date); sources(source_id, source_code, site_url,
+    language, title_selectors, date_selectors). Pages of unknown sources give no candidates.
+    """
+    rules = sources.select("source_id", "source_code", "site_url", "language", "title_selectors", "date_selectors")
+    met = pages.drop(*[c for c in rules.columns if c != "source_id"]).join(groups.small_side(rules), "source_id")
+    met = met.withColumn("_asked", F.col("url"))
+    if "final_url" in pages.columns:
+        met = met.withColumn("url", F.coalesce("final_url", "_asked"))
+    out = pages_to_candidates(met, required)
+    payload = F.struct(F.col("source_code").alias("source"), F.col("_asked").alias("requestedUrl"), F.col("url").alias("finalUrl"), "title", "summary", F.col("body").alias("bodyText"), F.lit("body").alias("summarySource"))
+    return out.withColumn("payload", F.to_json(payload)).drop("_asked", "title_selectors", "date_selectors")
 
 
 def resolve_url(href: Column, base: Column) -> Column:

@@ -73,6 +73,25 @@ def published_at(spark, d):
 LEAD = "'Café 中文 & <b> item ' || page_id || ' of the constructed lead text, eren.'"
 
 
+# The pages are well formed, so what each selector finds can be cut out plainly. A chosen element without a date leaves none.
+CUT = lambda pattern: para_text(f"regexp_extract(html, '(?is){pattern}', 1)")
+CHOSEN = f"""CASE page_id % 7 WHEN 0 THEN {CUT('<div class="ad">(.*?)</div>')} WHEN 1 THEN {CUT('<article><h1>(.*?)</h1>')} WHEN 2 THEN {CUT('<nav><ul><li><a[^>]*>(.*?)</a>')}
+ WHEN 3 THEN {CUT('<footer>(.*?)</footer>')} WHEN 5 THEN {CUT('<div class="ad">(.*?)</div>')} ELSE '' END"""
+RULED_TITLE = f"CASE WHEN ({CHOSEN}) <> '' THEN {k.title(f'({CHOSEN})')} ELSE {TITLE} END"
+
+
+@query("ex7_source_rules", f"""WITH {BODIES} SELECT page_id, {RULED_TITLE} AS title, {DATED} AS published_at, {LEAD} AS summary, CASE WHEN page_id % 7 % 2 = 1 THEN 'fr' ELSE 'en' END AS language,
+ 'p' || (page_id % 7) AS code, 'https://www.p' || (page_id % 7) || '.example.com/news/' || page_id || '.html' AS asked, body = p_body AS same_body FROM (SELECT *, body AS p_body FROM bodies) WHERE page_id % 5 <> 4 AND NOT (page_id % 7 = 1 AND page_id % 5 = 2) AND {RULED_TITLE} <> ''""")
+def source_rules(spark, d):
+    n = F.col("page_id")
+    own = F.concat(F.lit("https://www.p"), (n % 7).cast("string"), F.lit(".example.com/news/"), n, F.lit(".html"))
+    pages = bind.pages(spark, d).withColumns({"source_id": n % 7, "url": own})
+    out = extract.source_candidates(pages, bind.selecting_sources(spark), bind.REQUIRED)
+    said = lambda name: F.get_json_object("payload", f"$.{name}")
+    return out.select("page_id", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "summary", "language", said("source").alias("code"),
+                      said("requestedUrl").alias("asked"), (said("bodyText") == F.col("body")).alias("same_body"))
+
+
 @query("ex7_candidates", f"WITH {PG} SELECT page_id, {TITLE} AS title, {DATED} AS published_at, {LEAD} AS summary FROM pg WHERE page_id % 5 <> 4 AND {TITLE} <> ''")
 def candidates(spark, d):
     out = extract.pages_to_candidates(bind.pages(spark, d), bind.REQUIRED)

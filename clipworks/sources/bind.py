@@ -145,6 +145,15 @@ def page_sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "source_id BIGINT, source_code STRING, site_url STRING, active BOOLEAN, whitelist_entity_id STRING, allowed_hosts ARRAY<STRING>, allowed_host_patterns ARRAY<STRING>")
 
 
+SELECTORS = [(["#none", "div.ad"], []), (["article > h1"], [".post-date, time[datetime]"]), (["nav li a"], ["span[class*=date]"]), (["body div > h1", "footer"], [".missing"]), ([], ["article time"]), (["[class^=a]"], []), (None, None)]
+
+
+def selecting_sources(spark: SparkSession) -> DataFrame:
+    """The sources of fetched pages with selectors of all kinds."""
+    rows = [(n, titles, dates, "fr" if n % 2 else "en") for n, (titles, dates) in enumerate(SELECTORS)]
+    return page_sources(spark).join(spark.createDataFrame(rows, "source_id BIGINT, title_selectors ARRAY<STRING>, date_selectors ARRAY<STRING>, language STRING"), "source_id")
+
+
 def page_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """A rejected candidate for every fetched page: its source, a constructed URL, a date on some, and the reason."""
     n = F.col("page_id")
