@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipworks.functions.groups import small_side
 from clipworks.llm.components import components
@@ -66,6 +67,11 @@ def candidates(q_planes, low, step, total, codes: np.ndarray, factors: np.ndarra
     return (near + slack) / factors[None, :] >= threshold - 1e-9
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is between a half and 1: no square is lost or too large."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def compare(ids: np.ndarray, vectors: np.ndarray, side: np.ndarray | None, threshold: float):
     """Links within one block (``side`` None) or between the two sides: per linked vector its id, number of links, and the smallest id it reaches here."""
     dim = vectors.shape[1]
@@ -104,17 +110,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component_id, kept), one row per id; cosine >= ``threshold`` links vectors of equal label and length.
 
     Null, empty and zero vectors, vectors with null or non-finite components and vectors without a label link with
-    nothing. A null id gets a row of its own without component and is kept. Of rows that repeat an id the one with the
+    nothing; cosines are those of doubles of any size. A null id gets a row of its own without component and is kept. Of rows that repeat an id the one with the
     smallest label and vector counts. Ties don't arise: links depend on the pair alone. Other columns are not read.
 
     The vectors of a label are dealt into blocks by hashed id, so that a label of any size is many tasks of at most two
     blocks; each emits counts and the smallest id reached, never the pairs themselves.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).alias("label"))
+    kind = vectors.schema[vector_col].dataType
+    as_given = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # floats stay short until they are compared
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if as_given else "array<double>").alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     once = materialize(rows.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.*"))
-    usable = once.where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False))).where(square > 0).withColumn("dim", F.size("v"))
+    usable = once.where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False))).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
     sizes = usable.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = usable.join(small_side(sizes), ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -122,7 +129,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         flat = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)
-        ids, links, root = compare(table.column("id").to_numpy(), flat.reshape(table.num_rows, -1), None if key[2].as_py() == key[3].as_py() else table.column("side").to_numpy(), threshold)
+        ids, links, root = compare(table.column("id").to_numpy(), scaled(flat.reshape(table.num_rows, -1)), None if key[2].as_py() == key[3].as_py() else table.column("side").to_numpy(), threshold)
         return pa.table({"id": ids, "links": links, "root": root})
 
     found = materialize(dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(pair, "id long, links long, root long"))

@@ -361,6 +361,13 @@ def vectors(spark, extra=()):
 BAD = [(900, None, 1), (901, [0.0] * 16, 1), (902, [1.0, None] + [0.0] * 14, 1), (903, [float("nan")] * 16, 1), (904, [float("inf")] + [1.0] * 15, 1), (905, [1.0] * 16, None), (906, [], 0), (None, [1.0] * 16, 1)]
 
 
+def test_embedding_dedup_of_doubles_of_any_size(spark):
+    rows = [(1, [1e-60, 0.0]), (2, [2e-60, 0.0]), (3, [0.0, 1e200]), (4, [1e150, 2e200]), (5, [5e-324, -1e-323]), (6, [float("inf"), 1.0]), (7, [0.0, 0.0]), (8, [1.0, -2.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (0, 6), 7: (0, 7), 8: (1, 5)}
+
+
 def test_embedding_dedup_equals_brute_force(spark):
     df, rows = vectors(spark, BAD + [(0, [1.0] * 16, 1), (0, [1.0] * 16, 1)])
     first = {}
@@ -472,3 +479,17 @@ def test_words_and_hashes():
     assert [len(g) for g in got] == [4, 0, 0, 1, 2] and got[0][0] != got[0][1] and got[4][0] != got[4][1]
     again = [h for hashes, _ in tb.word_hashes(pa.array(["zz x", "bb"])) for h in hashes.tolist()]
     assert again[1] == got[3][0] and again[2] == got[0][1]
+
+
+def test_the_rest_imports_without_the_corpus_package(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    for name, left_out in (("a", ("llm",)), ("b", ("llm", "corpus_pipeline.py"))):
+        copy = shutil.copytree(root, tmp_path / name, ignore=shutil.ignore_patterns(".git", "__pycache__", *left_out))
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
