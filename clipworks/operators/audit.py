@@ -112,22 +112,47 @@ def out_of_range(df: DataFrame, col: str, lo: str, hi: str) -> DataFrame:
     return df.filter((F.col(col) < F.lit(lo).cast("timestamp_ntz")) | (F.col(col) > F.lit(hi).cast("timestamp_ntz")))
 
 
+def hash_sample(df: DataFrame, key: str, k: int, strata=(), seed: int = 7) -> DataFrame:
+    """The ``k`` rows of each stratum whose hashed keys are smallest: the same rows however the table is partitioned.
+
+    Samples of parts merge: the sample of a union is the sample of the parts' samples. Each task forwards at most ``k``
+    rows of a stratum. ``key`` is unique; without strata the whole table is one.
+    """
+    order = [F.asc(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))), F.asc(key)]
+    return groups.top_k(df, list(strata), order, k) if strata else df.orderBy(*order).limit(k)
+
+
 def update_url_status(versions: DataFrame, fetches: DataFrame, url="url") -> DataFrame:
-    """URL status from a fetch-result table; rows that were not fetched keep theirs."""
-    checked = fetches.groupBy(url).agg(F.max(F.col("status_code").between(200, 399)).alias("_ok"))
+    """URL status and final URL from a fetch-result table (url, status_code; optional final_url); rows not fetched keep theirs.
+
+    A URL that was reached at least once is accessible. Of several final URLs of reached fetches the last in order of
+    text is taken.
+    """
+    ok = F.col("status_code").between(200, 399)
+    final = F.max(F.when(ok, F.nullif("final_url", F.lit("")))) if "final_url" in fetches.columns else F.lit(None).cast("string")
+    checked = fetches.groupBy(url).agg(F.max(ok).alias("_ok"), final.alias("_final"))
     status = F.when(F.col("_ok"), "accessible").when(~F.col("_ok"), "inaccessible").otherwise(F.col("url_status"))
-    return versions.join(checked, url, "left").withColumn("url_status", status).withColumn("checked", F.col("_ok").isNotNull()).drop("_ok")
+    out = versions.join(checked, url, "left").withColumn("url_status", status).withColumn("checked", F.col("_ok").isNotNull())
+    kept = F.col("final_url") if "final_url" in versions.columns else F.lit(None).cast("string")
+    return out.withColumn("final_url", F.coalesce("_final", kept)).drop("_ok", "_final")
 
 
-def accessibility_report(versions: DataFrame, fetches: DataFrame, url="url") -> DataFrame:
+def accessibility_report(versions: DataFrame, fetches: DataFrame, url="url", strata=()) -> DataFrame:
+    """Totals and the share of checked URLs that are accessible, for each stratum. Pass a ``hash_sample`` to check a sample."""
     updated = update_url_status(versions, fetches, url)
-    out = updated.agg(
+    out = updated.groupBy(*strata).agg(
         F.count("*").alias("total"), F.count_if("checked").alias("checked"),
         F.count_if(F.col("checked") & (F.col("url_status") == "accessible")).alias("accessible"),
         F.count_if(F.col("checked") & (F.col("url_status") != "accessible")).alias("inaccessible"))
     return out.withColumn("rate", rate(F.col("accessible"), F.col("checked")))
 
 
+def invalid_summaries(verified: DataFrame, versions: DataFrame) -> DataFrame:
+    """(news_id, version_id): what a clean-up after ``verify_summaries`` deletes, all versions of each invalid current article."""
+    bad = verified.filter(~F.col("valid")).select("news_id").distinct()
+    return versions.select("news_id", "version_id").join(bad, "news_id", "left_semi")
+
+
 def verify_summaries(current: DataFrame, fetches: DataFrame, url="url", body="body", summary="summary") -> DataFrame:
     """Bodies filled from the fetch table where missing, then each summary judged: ``valid`` and ``verdict``."""
     pages = fetches.groupBy(url).agg(F.max("page_text").alias("_page"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipworks.functions import groups, terms, text
+from clipworks.functions import groups, ordered, terms, text
 
 CATEGORIES = ["enterprise", "technology", "policy"]
 
@@ -62,11 +62,28 @@ def region_metrics(article_regions: DataFrame, latest: int = 5) -> DataFrame:
     return counts.join(lists, "region_id")
 
 
-def region_entities(article_entities: DataFrame, graph_entities: DataFrame) -> DataFrame:
-    """``(region_id, entity_count, subject_count)`` over entities of the graph and of the region's articles."""
+def region_lists(members: DataFrame, order, page_size: int = 1000, id_col: str = "id") -> DataFrame:
+    """(region_id, page, first, ids): all ids of each region in ``order``, ``page_size`` to a row; ``first`` is the place of the first, from 0.
+
+    members(region_id, id, ...), one row per id and region: articles or entities. A region of any size is spread over range
+    partitions, and no list is longer than a page.
+    """
+    placed = ordered.running_sum(members.withColumn("_one", F.lit(1).cast("bigint")), ["region_id"], order, "_one", "_nth").withColumn("_nth", F.col("_nth") - 1)
+    pages = placed.groupBy("region_id", F.floor(F.col("_nth") / page_size).alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("_nth", F.col(id_col).alias("id")))).alias("_l"))
+    return pages.select("region_id", "page", (F.col("page") * page_size).alias("first"), F.transform("_l", lambda x: x["id"]).alias("ids"))
+
+
+def region_members(article_entities: DataFrame, graph_entities: DataFrame) -> DataFrame:
+    """(region_id, entity_id, element_class): entities of the graph and of the region's articles, once each."""
     known = graph_entities.select("entity_id", "element_class").distinct()
     listed = graph_entities.select(F.explode("region_ids").alias("region_id"), "entity_id")
-    both = listed.unionByName(article_entities.select("region_id", "entity_id")).distinct().join(known, "entity_id")
+    return listed.unionByName(article_entities.select("region_id", "entity_id")).distinct().join(known, "entity_id")
+
+
+def region_entities(article_entities: DataFrame, graph_entities: DataFrame) -> DataFrame:
+    """``(region_id, entity_count, subject_count)`` over entities of the graph and of the region's articles."""
+    both = region_members(article_entities, graph_entities)
     return both.groupBy("region_id").agg(
         F.count("*").alias("entity_count"), F.count_if(F.col("element_class") == "subject").alias("subject_count"))
 

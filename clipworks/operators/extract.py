@@ -226,16 +226,32 @@ def explode_feed(payloads: DataFrame, id_col="feed_id", col="payload", base="url
                              "published_at": dates.parse_feed("_when")}).drop("_link", "_when")
 
 
-POST = "array<struct<date:string,date_gmt:string,link:string,title:struct<rendered:string>,content:struct<rendered:string>>>"
+def explode_posts(payloads: DataFrame, start: str, end: str, id_col="feed_id", col="payload", required=config.REQUIRED_TERMS, item_limit: int | None = None) -> DataFrame:
+    """One row per post of a posts-API answer, with ``outcome``: kept, missing_date, out_of_window, non_detail or malformed.
 
-
-def explode_posts(payloads: DataFrame, start: str, end: str, id_col="feed_id", col="payload") -> DataFrame:
-    """One row per post of a posts-API answer, with ``outcome``: kept, missing_date, out_of_window or non_detail."""
-    rows = payloads.select(id_col, F.explode(F.from_json(col, POST)).alias("p")).select(
-        id_col, F.coalesce("p.link", F.lit("")).alias("link"), html.to_text("p.title.rendered").alias("title"),
-        html.to_text("p.content.rendered").alias("body"), F.coalesce(F.nullif("p.date_gmt", F.lit("")), "p.date").alias("_d"))
-    rows = rows.withColumn("published_at", dates.parse_feed("_d")).drop("_d")
-    return rows.withColumn("outcome", outcome("published_at", "link", start, end))
+    Posts are variants, so their fields may change shape: title, content and excerpt are text or hold ``rendered`` text. The
+    body follows the paragraph rule, the summary comes from it, and ``post`` is the whole post as JSON. An answer that is
+    no JSON array is one row, malformed. With ``item_limit`` only so many posts are kept for each answer, in its order.
+    """
+    parsed = payloads.select(id_col, F.try_parse_json(col).alias("_v"))
+    listed = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY")), F.lit(False))
+    posts = parsed.filter(listed).lateralJoin(payloads.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(id_col, F.col("pos").alias("position"), F.col("value").alias("_p"))
+
+    def said(*names):
+        tries = []
+        for name in names:
+            plain = F.when(F.schema_of_variant(F.try_variant_get("_p", f"$.{name}", "variant")) == "STRING", F.try_variant_get("_p", f"$.{name}", "string"))
+            tries += [F.nullif(F.try_variant_get("_p", f"$.{name}.rendered", "string"), F.lit("")), F.nullif(plain, F.lit(""))]
+        return F.coalesce(*tries, F.lit(""))
+
+    rows = posts.select(id_col, "position", said("link").alias("link"), html.to_text(said("title")).alias("title"), said("content").alias("_html"), html.to_text(said("excerpt")).alias("excerpt"),
+                        dates.parse_feed(said("date_gmt", "date")).alias("published_at"), F.to_json("_p").alias("post"))
+    rows = extract_body(rows, col="_html").withColumn("summary", terms.natural_summary("body", required)).drop("_html").withColumn("outcome", outcome("published_at", "link", start, end))
+    if item_limit is not None:
+        kept = groups.top_k(rows.filter("outcome = 'kept'"), [id_col], [F.asc("position")], item_limit)
+        rows = kept.unionByName(rows.filter("outcome <> 'kept'"))
+    broken = parsed.filter(~listed).select(id_col, F.lit("malformed").alias("outcome"))
+    return rows.unionByName(broken, allowMissingColumns=True)
 
 
 def outcome(at: str, url: str, start: str, end: str, grace_seconds: int = 60) -> Column:

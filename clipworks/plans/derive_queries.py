@@ -56,14 +56,33 @@ def region_metrics(spark, d):
     return out.withColumn("latest_ids", F.array_join(F.col("latest_ids").cast("array<string>"), "|"))
 
 
+@query("ag4_region_article_ids", f"""WITH {NATION_ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY published_at DESC, id) - 1 AS r FROM ob)
+SELECT region_id, r // 100 AS page, r // 100 * 100 AS first, string_agg(CAST(id AS VARCHAR), '|' ORDER BY r) AS ids FROM r GROUP BY ALL""")
+def region_article_ids(spark, d):
+    out = derive.region_lists(orders_by_nation(spark, d), [F.desc("published_at"), F.asc("id")], 100)
+    return out.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), "|"))
+
+
+@query("ag4_region_entity_ids", """WITH g AS (SELECT 's' || s_suppkey AS e, CASE WHEN s_suppkey % 3 = 0 THEN 'subject' ELSE 'content' END AS c, s_nationkey AS r FROM supplier),
+m AS (SELECT r, e FROM g UNION SELECT o_custkey % 25, 's' || (o_orderkey % 150) FROM orders WHERE 's' || (o_orderkey % 150) IN (SELECT e FROM g)),
+n AS (SELECT r, e, row_number() OVER (PARTITION BY r ORDER BY e) - 1 AS i FROM m) SELECT r AS region_id, i // 20 AS page, i // 20 * 20 AS first, string_agg(e, '|' ORDER BY i) AS ids FROM n GROUP BY ALL""")
+def region_entity_ids(spark, d):
+    out = derive.region_lists(derive.region_members(*entity_parts(spark, d)), [F.asc("entity_id")], 20, "entity_id")
+    return out.withColumn("ids", F.array_join("ids", "|"))
+
+
 @query("ag4_region_entities", """WITH g AS (SELECT 's' || s_suppkey AS e, CASE WHEN s_suppkey % 3 = 0 THEN 'subject' ELSE 'content' END AS c, s_nationkey AS r FROM supplier),
 m AS (SELECT r, e FROM g UNION SELECT o_custkey % 25, 's' || (o_orderkey % 150) FROM orders WHERE 's' || (o_orderkey % 150) IN (SELECT e FROM g))
 SELECT m.r AS region_id, count(*) AS entity_count, count(*) FILTER (c = 'subject') AS subject_count FROM m JOIN g USING (e) GROUP BY 1""")
 def region_entities(spark, d):
+    return derive.region_entities(*entity_parts(spark, d))
+
+
+def entity_parts(spark, d):
     s = F.col("s_suppkey")
     ents = load_table(spark, d, "supplier").select(F.concat(F.lit("s"), s).alias("entity_id"), F.when(s % 3 == 0, "subject").otherwise("content").alias("element_class"), F.array(F.col("s_nationkey").cast("bigint")).alias("region_ids"))
     linked = load_table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("region_id"), F.concat(F.lit("s"), F.col("o_orderkey") % 150).alias("entity_id"))
-    return derive.region_entities(linked, ents)
+    return linked, ents
 
 
 @query("ag5_region_keywords", k.with_current("""SELECT region_id, term, weight, rank FROM (

@@ -155,18 +155,26 @@ def feed(spark, d):
     return out.select("feed_id", "title", "link", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "content", F.concat_ws("|", "categories").alias("categories"))
 
 
-@query("ex12_posts", f"""SELECT doc_id AS feed_id, {k.clean("'T ' || doc_id || ' & co'")} AS title, {k.clean('t')} AS body,
- CASE WHEN doc_id % 10 = 0 THEN 'missing_date' WHEN doc_id % 28 + 1 < 5 THEN 'out_of_window' WHEN doc_id % 10 = 1 THEN 'non_detail' ELSE 'kept' END AS outcome FROM (SELECT *, regexp_replace(text, '[<>&]', ' ', 'g') AS t FROM documents)""")
+@query("ex12_posts", f"""WITH t AS (SELECT *, regexp_replace(text, '[<>&]', ' ', 'g') AS t FROM documents), u AS (SELECT *, {k.clean("t || '.'")} AS long FROM t)
+SELECT doc_id AS feed_id, CASE WHEN doc_id % 9 <> 8 THEN {k.clean("'T ' || doc_id || ' & co'")} END AS title, CASE WHEN doc_id % 9 <> 8 THEN CASE WHEN length(long) >= 20 THEN long ELSE trim(long || ' short') END END AS body,
+ CASE WHEN doc_id % 9 <> 8 THEN CASE WHEN doc_id % 3 = 2 THEN 'ex ' || doc_id ELSE '' END END AS excerpt,
+ CASE WHEN doc_id % 9 = 8 THEN 'malformed' WHEN doc_id % 10 = 0 THEN 'missing_date' WHEN doc_id % 28 + 1 < 5 THEN 'out_of_window' WHEN doc_id % 10 = 1 THEN 'non_detail' ELSE 'kept' END AS outcome FROM u""")
 def posts(spark, d):
+    """Three shapes of posts (rendered fields, plain fields, an excerpt and a number as date_gmt), and answers that are no array."""
     n = F.col("doc_id")
-    t = F.regexp_replace("text", "[<>&]", " ")
-    day = F.concat(F.lit("2024-02-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00"))
-    post = F.struct(
-        F.when(n % 10 == 0, "").otherwise(day).alias("date"), F.lit("").alias("date_gmt"),
-        F.when(n % 10 == 1, "https://a.example.com/list").otherwise(F.concat(F.lit("https://a.example.com/news/"), n)).alias("link"),
-        F.struct(F.concat(F.lit("<b>T</b> "), n, F.lit(" &amp; co")).alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>"), t, F.lit("</p>")).alias("rendered")).alias("content"))
-    payloads = load_table(spark, d, "documents").select(n.alias("feed_id"), F.to_json(F.array(post)).alias("payload"))
-    return extract.explode_posts(payloads, "2024-02-05", "2024-12-31").select("feed_id", "title", "body", "outcome")
+    t = F.concat(F.regexp_replace("text", "[<>&]", " "), F.lit("."))
+    day = F.when(n % 10 == 0, "").otherwise(F.concat(F.lit("2024-02-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00")))
+    link = F.when(n % 10 == 1, "https://a.example.com/list").otherwise(F.concat(F.lit("https://a.example.com/news/"), n))
+    title, content = F.concat(F.lit("<b>T</b> "), n, F.lit(" &amp; co")), F.concat(F.lit("<p>"), t, F.lit("</p><p>short</p>"))
+    one = lambda *fields: F.to_json(F.array(F.struct(*fields)))
+    rendered = one(day.alias("date"), F.lit("").alias("date_gmt"), link.alias("link"), F.struct(title.alias("rendered")).alias("title"), F.struct(content.alias("rendered")).alias("content"))
+    plain = one(day.alias("date"), link.alias("link"), title.alias("title"), content.alias("content"), F.lit(7).alias("extra"))
+    mixed = one(n.alias("date_gmt"), day.alias("date"), link.alias("link"), title.alias("title"), F.struct(content.alias("rendered"), F.lit(True).alias("protected")).alias("content"),
+                F.struct(F.concat(F.lit("<p>ex "), n, F.lit("</p>")).alias("rendered")).alias("excerpt"))
+    broken = F.when(n % 2 == 0, F.lit('{"code":"no_posts"}')).otherwise(F.lit("<html>not found"))
+    payload = F.when(n % 9 == 8, broken).when(n % 3 == 0, rendered).when(n % 3 == 1, plain).otherwise(mixed)
+    payloads = load_table(spark, d, "documents").select(n.alias("feed_id"), payload.alias("payload"))
+    return extract.explode_posts(payloads, "2024-02-05", "2024-12-31", required=bind.REQUIRED).select("feed_id", "title", "body", "excerpt", "outcome")
 
 
 @query("ex13_sitemap", """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site FROM pages),

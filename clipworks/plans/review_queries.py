@@ -145,6 +145,38 @@ def accessibility(spark, d):
     return audit.accessibility_report(vers, _fetches(spark, d))
 
 
+SAMPLED = """WITH h AS (SELECT page_id, url, regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY md5('7:' || page_id), page_id) AS r FROM h) WHERE r <= 5)"""
+
+
+def host_sample(spark, d):
+    rows = load_table(spark, d, "pages").select("page_id", "url", F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)).alias("host"), F.lit("unknown").alias("url_status"))
+    return audit.hash_sample(rows, "page_id", 5, ["host"])
+
+
+@query("qa9_sample", f"""{SAMPLED} SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'unknown' WHEN page_id % 7 = 0 THEN 'inaccessible' ELSE 'accessible' END AS url_status,
+ CASE WHEN page_id % 4 <> 3 AND page_id % 7 = 1 THEN url || '?moved' END AS final_url FROM s""")
+def sample(spark, d):
+    """Five pages of each host, checked: status and where a redirect led."""
+    fetched = _fetches(spark, d).withColumn("final_url", F.when(F.col("status_code") == 301, F.concat("url", F.lit("?moved"))))
+    return audit.update_url_status(host_sample(spark, d), fetched).select("page_id", "url_status", "final_url")
+
+
+@query("qa9_sample_report", f"""{SAMPLED} SELECT host, count(*) AS total, count(*) FILTER (page_id % 4 <> 3) AS checked, count(*) FILTER (page_id % 4 <> 3 AND page_id % 7 <> 0) AS accessible FROM s GROUP BY 1""")
+def sample_report(spark, d):
+    return audit.accessibility_report(host_sample(spark, d), _fetches(spark, d), strata=["host"]).select("host", "total", "checked", "accessible")
+
+
+@query("qa10_delete_set", f"""WITH t AS (SELECT id, id // 3 AS news_id, {k.clean('body')} AS b, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'not there zz' ELSE {k.clean('title')} END AS s FROM ({bind.ARTICLES})),
+c AS (SELECT news_id FROM t WHERE id % 3 = 2 AND (b = '' OR s = '' OR NOT contains(lower(b), lower(s)))) SELECT news_id, id AS version_id FROM t WHERE news_id IN (SELECT news_id FROM c)""")
+def delete_set(spark, d):
+    """All versions of the articles whose current version has no summary from its body."""
+    n = F.col("id")
+    vers = bind.articles(spark, d).select(F.floor(n / 3).alias("news_id"), n.alias("version_id"), "url", "body", F.when(n % 4 == 0, "").when(n % 4 == 1, "not there zz").otherwise(F.col("title")).alias("summary"))
+    none = vers.limit(0).select("url", F.lit("").alias("page_text"))
+    return audit.invalid_summaries(audit.verify_summaries(vers.filter("version_id % 3 = 2"), none), vers)
+
+
 @query("qa10_verify_summaries", f"""WITH t AS (SELECT id, {k.clean('body')} AS b, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'not there zz' ELSE {k.clean('title')} END AS s FROM ({bind.ARTICLES})),
 u AS (SELECT id, s, CASE WHEN id % 8 = 3 THEN '' ELSE b END AS b FROM t)
 SELECT id, CASE WHEN b = '' THEN 'body_missing' WHEN s = '' THEN 'summary_missing' WHEN contains(lower(b), lower(s)) THEN 'ok' ELSE 'summary_not_from_body' END AS verdict FROM u""")
