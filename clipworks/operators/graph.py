@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from clipworks.functions import groups, terms, text
+from clipworks.functions import groups, ordered, terms, text
 from clipworks.operators import tagging
 from clipworks.sources.tables import materialize
 
 EDGE = ["source_id", "target_id"]
+#: Articles of a bitmap.
+BUCKET = 32768
 
 
 def node_tokens(nodes: DataFrame) -> DataFrame:
@@ -18,26 +23,43 @@ def node_tokens(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("node_id"), F.explode(names).alias("_t")).filter("_t <> ''").select("node_id", F.lower("_t").alias("term"))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _agreed(source: pa.Array, target: pa.Array, words: pa.Array, k: pa.Array) -> pa.Array:
+    """The first ``k`` bits that at least two of three bitmaps hold; a null bitmap holds none."""
+    out = []
+    for s, t, w, n in zip(source, target, words, k):
+        a, b, c = (np.frombuffer(x.as_py(), np.uint8) if x.is_valid else np.zeros(BUCKET // 8, np.uint8) for x in (s, t, w))
+        out.append(np.flatnonzero(np.unpackbits(a & b | a & c | b & c, bitorder="little"))[:n.as_py()].astype(np.int32))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def edge_evidence(edges: DataFrame, nodes: DataFrame, articles: DataFrame, k: int = 6) -> DataFrame:
     """``(source_id, target_id, id, rank)``: newest ``k`` articles that name both ends, or one end and an edge keyword.
 
-    The three-way OR becomes a union of three equi-joins: every hit is tagged with the side it speaks for, sides
-    are counted per edge and article (a well-spread key), and two different sides make evidence. The text hits are
-    found once and written as a narrow table, since every branch reads them.
+    Articles are numbered from the newest on; who names a node or a word is a bitmap for each run of 32768 articles. An
+    edge meets the bitmaps of its ends and words, not their articles, so a hub costs its edges times its runs, and only
+    the first ``k`` articles that two of the three bitmaps share leave a run. Ids are unique.
     """
     docs = articles.select("id", "published_at", F.lower(tagging.matching_text()).alias("_text"))
     tokens = node_tokens(nodes)
-    words = edges.select(*EDGE, F.explode("keywords").alias("_w")).select(*EDGE, F.lower("_w").alias("term")).filter("term <> ''")
+    words = edges.select(*EDGE, F.explode("keywords").alias("_w")).select(*EDGE, F.lower("_w").alias("term")).filter("term <> ''").distinct()
     wanted = tokens.select("term").unionByName(words.select("term")).distinct()
-    said = materialize(tagging.match_terms(docs, wanted, "id", "_text"))
-    hits = said.join(tokens, "term").select("id", "node_id").distinct()
+    order = [F.desc_nulls_last("published_at"), F.asc("id")]
+    numbered = ordered.running_sum(articles.select("id", "published_at").withColumn("_one", F.lit(1).cast("bigint")), [], order, "_one", "_nth")
+    numbered = materialize(numbered.select("id", (F.col("_nth") - 1).alias("_nth")))
+    said = materialize(tagging.match_terms(docs, wanted, "id", "_text").select("id", "term").join(numbered, "id").select("term", "_nth"))
+    run, bit = F.floor(F.col("_nth") / BUCKET).alias("run"), F.bitmap_construct_agg(F.col("_nth") % BUCKET).alias("bits")
+    named = materialize(said.join(tokens, "term").groupBy("node_id", run).agg(bit))
+    spoken = said.join(words.select("term").distinct(), "term").groupBy("term", run).agg(bit)
     pairs = edges.select(*EDGE).distinct()
-    by_source = hits.withColumnRenamed("node_id", "source_id").join(pairs, "source_id").select(*EDGE, "id", F.lit(1).alias("side"))
-    by_target = hits.withColumnRenamed("node_id", "target_id").join(pairs, "target_id").select(*EDGE, "id", F.lit(2).alias("side"))
-    by_word = said.join(words, "term").select(*EDGE, "id", F.lit(4).alias("side"))
-    sides = by_source.unionByName(by_target).unionByName(by_word).groupBy(*EDGE, "id").agg(F.bit_or("side").alias("sides"))
-    both = sides.filter(F.bit_count("sides") >= 2).drop("sides").join(articles.select("id", "published_at"), "id")
-    return groups.top_k(both, EDGE, [F.desc("published_at"), F.asc("id")], k, rank="rank").select(*EDGE, "id", "rank")
+    side = lambda df, n: df.select(*EDGE, "run", F.lit(n).alias("side"), "bits")
+    met = side(pairs.join(named.withColumnRenamed("node_id", "source_id"), "source_id"), 0).unionByName(side(pairs.join(named.withColumnRenamed("node_id", "target_id"), "target_id"), 1))
+    met = met.unionByName(words.join(spoken, "term").groupBy(*EDGE, "run").agg(F.bitmap_or_agg("bits").alias("bits")).select(*EDGE, "run", F.lit(2).alias("side"), "bits"))
+    three = [F.first(F.when(F.col("side") == n, F.col("bits")), ignorenulls=True).alias(f"_{n}") for n in range(3)]
+    sides = met.groupBy(*EDGE, "run").agg(F.count("*").alias("_sides"), *three).filter("_sides > 1")
+    found = sides.select(*EDGE, "run", F.explode(_agreed("_0", "_1", "_2", F.lit(k))).alias("_bit")).select(*EDGE, (F.col("run") * BUCKET + F.col("_bit")).alias("_nth"))
+    best = groups.top_k(found, EDGE, [F.asc("_nth")], k, rank="rank")
+    return best.join(numbered, "_nth").select(*EDGE, "id", "rank")
 
 
 def edge_refs(evidence: DataFrame, research: DataFrame, articles: DataFrame, k: int = 8):

@@ -58,15 +58,32 @@ def edge_weights(spark, d):
     return graph.edge_refs(graph.edge_evidence(edges, nodes, arts), research, arts)[1].select("source_id", "target_id", "weight")
 
 
-@query("kg3_build_graph", f"""WITH {REFS}, ok AS (SELECT source_id, target_id FROM ke WHERE source_id IN (SELECT id FROM kn) AND target_id IN (SELECT id FROM kn)),
-kept AS (SELECT DISTINCT source_id, target_id FROM allr JOIN ok USING (source_id, target_id)),
-lk AS (SELECT unnest([source_id, target_id]) AS n, id FROM ev JOIN ok USING (source_id, target_id) UNION SELECT unnest(['k' || (id % 7)]), id FROM cur), cn AS (SELECT n, count(DISTINCT id) AS c FROM lk GROUP BY 1)
+GRAPH = f"""{REFS}, ok AS (SELECT source_id, target_id FROM ke WHERE source_id IN (SELECT id FROM kn) AND target_id IN (SELECT id FROM kn)),
+kept AS (SELECT source_id, target_id, CAST(sum(w) AS BIGINT) AS weight FROM allr JOIN ok USING (source_id, target_id) GROUP BY 1, 2),
+lk AS (SELECT unnest([source_id, target_id]) AS n, id FROM ev JOIN ok USING (source_id, target_id) UNION SELECT unnest(['k' || (id % 7)]), id FROM cur), cn AS (SELECT n, count(DISTINCT id) AS c FROM lk GROUP BY 1)"""
+
+
+def built(spark, d):
+    nodes, edges, research, arts = parts(spark, d)
+    arts = arts.withColumn("entity_ids", F.array(F.concat(F.lit("k"), F.col("id") % 7)))
+    return graph.build_graph(arts, nodes, edges, research, "root", bind.CLASSES)
+
+
+@query("kg3_build_graph", f"""WITH {GRAPH}
 SELECT kn.id AS node_id, coalesce(c, 0) AS n_articles, list_position(['subject', 'goal', 'content', 'activity', 'evaluation'], cls) AS layer FROM kn LEFT JOIN cn ON cn.n = kn.id
 WHERE c IS NOT NULL OR kn.id = 'root' OR kn.id IN (SELECT unnest([source_id, target_id]) FROM kept)""")
 def build_graph(spark, d):
-    nodes, edges, research, arts = parts(spark, d)
-    arts = arts.withColumn("entity_ids", F.array(F.concat(F.lit("k"), F.col("id") % 7)))
-    return graph.build_graph(arts, nodes, edges, research, "root", bind.CLASSES)[0].select("node_id", "n_articles", "layer")
+    return built(spark, d)[0].select("node_id", "n_articles", "layer")
+
+
+@query("kg3_edges", f"WITH {GRAPH} SELECT source_id, target_id, weight FROM kept")
+def graph_edges(spark, d):
+    return built(spark, d)[1].select("source_id", "target_id", "weight")
+
+
+@query("kg3_links", f"WITH {GRAPH} SELECT n AS node_id, id AS article_id FROM lk WHERE n IN (SELECT id FROM kn)")
+def graph_links(spark, d):
+    return built(spark, d)[2]
 
 
 @query("kg4_scope_nodes", f"WITH {bind.GRAPH} SELECT id, name, 'city' AS view FROM nodes WHERE id = 'r2' OR parent_id = 'r2' OR region_id = 'r2' UNION ALL SELECT id, name, 'overview' FROM nodes WHERE id IN ('r0', 'r1', 'r3')")
