@@ -47,27 +47,32 @@ def late_report(df: DataFrame, col: str, start: str, end: str, keys=(), grace_se
     return df.withColumn("arrival", arrival).groupBy(*keys, "arrival").agg(F.count("*").alias("n"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _start(stream: DataFrame, write, checkpoint: str):
+    """Starts the query with its keys in RocksDB: hash partitions with Bloom filters, kept by the checkpoint folder."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, ROCKSDB)
+    try:
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
+
+
 def ingest_stream(source: DataFrame, store: str, checkpoint: str, key: str, time_col: str):
     """Start an ingest that stores each key once although windows overlap and batches may be retried.
 
-    Rows may come at any time and in any order: nothing is dropped as late. Each micro-batch writes its own folder,
-    named by the batch id and overwritten on retry, by day of ``time_col``, after an anti-join with the keys that
-    earlier batches stored for the days it touches: exactly once, and no more of the store is read than those days.
-    A key keeps its time; rows without one share a day of their own. Store and state lie in shared folders.
+    Rows may come at any time and in any order: nothing is dropped as late, and a key whose time has changed is still
+    the same key. Known keys are state of the query, looked up by hash, so a batch costs what it brings, however much is
+    stored. Each micro-batch writes its own folder, named by the batch id and overwritten on retry, by day of
+    ``time_col`` (rows without a time share a day of their own): exactly once. Store and state lie in shared folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        day = F.coalesce(F.date_format(time_col, "yyyy-MM-dd"), F.lit("none"))
-        fresh = batch.dropDuplicates([key]).withColumn("day", day)
-        if batch_id > 0:
-            schema = f"{batch.select(key).schema.toDDL()}, batch BIGINT, day STRING"
-            earlier = spark.read.schema(schema).option("basePath", store).parquet(f"{store}/batch=*").filter(F.col("batch") != batch_id)
-            days = batch.select(day.alias("day")).distinct()
-            fresh = fresh.join(earlier.join(F.broadcast(days), "day", "left_semi").select(key), key, "left_anti")  # one row a day
-        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={batch_id}")
+        batch.withColumn("day", F.coalesce(F.date_format(time_col, "yyyy-MM-dd"), F.lit("none"))).write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={batch_id}")
 
-    stamped = source.withColumn(time_col, F.col(time_col).cast("timestamp"))
-    return stamped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(source.withColumn(time_col, F.col(time_col).cast("timestamp")).dropDuplicates([key]), write, checkpoint)
 
 
 def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
@@ -77,18 +82,15 @@ def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
 def ingest_versions(source: DataFrame, store: str, checkpoint: str):
     """Streamed upsert of accepted articles: every batch adds the versions that no earlier batch has.
 
-    Version ids are hashes of source, URL and content, so a replayed window adds nothing. Heads are a view over
-    the stored versions (``heads_of_store``), which keeps each batch an append.
+    Version ids are hashes of source, URL and content, and known ones are state of the query, so a replayed window adds
+    nothing and no batch reads the store. Of equal versions in one batch any may be kept; they differ in ``seq`` at most
+    in what the ids don't cover. Heads are a view over the stored versions (``heads_of_store``); each batch is an append.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        keyed = versions.keyed(batch).withColumn("batch", F.lit(batch_id))
-        if batch_id > 0:
-            old = spark.read.parquet(f"{store}/b=*").filter(F.col("batch") != batch_id).select("version_id")
-            keyed = keyed.join(old, "version_id", "left_anti")
-        keyed.write.mode("overwrite").parquet(f"{store}/b={batch_id}")
-
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{store}/b={batch_id}")
+
+    named = source.withColumn("news_id", versions.news_id()).withColumn("version_id", versions.version_id())
+    return _start(named.dropDuplicates(["version_id"]), write, checkpoint)
 
 
 def heads_of_store(stored: DataFrame) -> DataFrame:

@@ -79,3 +79,24 @@ def test_page_texts_follow_the_turns(spark):
     contexts = spark.createDataFrame([(1, "", "anan", None, "src5"), (2, None, "", "", ""), (3, "erin", "", "", "")], "conv_id long, query string, region string, category string, source string")
     got = {(r.conv_id, r.value): r.weight for r in retrieval.extract_signals(turns, page=retrieval.page_texts(contexts)).collect()}
     assert got[1, "src5"] == 5 and got[1, "newest"] == 4 and got[1, "anan"] == 3 and got[2, "only"] == 5 and got[3, "erin"] == 5
+
+
+def test_edge_evidence_by_bitmaps_equals_loops(spark, monkeypatch):
+    import datetime
+
+    from clipworks.operators import graph
+
+    monkeypatch.setattr(graph, "BUCKET", 8)  # many runs of articles
+    rng = random.Random(8)
+    names = ["hub", "alpha", "beta", "gamma", "delta"]
+    arts = [(i, " ".join(rng.sample([*names, "glue", "tie", "other"], rng.randrange(5))), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=rng.randrange(20))) for i in range(150)]
+    edges = [("hub", n, ["glue", "tie"] if n != "beta" else []) for n in names[1:]] + [("alpha", "beta", ["glue"])]
+    empty = "array<string>"
+    articles = spark.createDataFrame([(i, t, "", [], "s", [], d) for i, t, d in arts], f"id long, title string, summary string, keywords {empty}, source string, region_tags {empty}, published_at timestamp_ntz")
+    nodes = spark.createDataFrame([(n, n, []) for n in names], f"id string, name string, aliases {empty}")
+    got = {tuple(r) for r in graph.edge_evidence(spark.createDataFrame(edges, f"source_id string, target_id string, keywords {empty}"), nodes, articles, 6).collect()}
+    want = set()
+    for s, t, words in edges:
+        hits = [(-d.timestamp(), i) for i, text, d in arts if ((s in text.split()) + (t in text.split()) + any(w in text.split() for w in words)) >= 2]
+        want |= {(s, t, i, r) for r, (_, i) in enumerate(sorted(hits)[:6], 1)}
+    assert got == want and len(want) > 20
