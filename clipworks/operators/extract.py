@@ -302,6 +302,71 @@ def expand_seed_urls(sources: DataFrame, max_pages: int, key="source_code") -> D
     return rows.select(key, F.posexplode(every).alias("position", "url"))
 
 
+def _rule(rule_col: str):
+    """Readers of a source's rule, a variant: text of a field ('' without one), and list of a field's texts."""
+    def said(path):
+        return F.trim(F.coalesce(F.try_variant_get(rule_col, f"$.{path}", "string"), F.lit("")))
+
+    def texts(path):
+        return F.coalesce(F.try_variant_get(rule_col, f"$.{path}", "array<string>"), terms.strings([]))
+
+    def is_list(path):
+        return F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(rule_col, f"$.{path}", "variant")), F.lit("ARRAY")), F.lit(False))
+
+    return said, texts, is_list
+
+
+def rule_modes(sources: DataFrame, rule="crawl_rule") -> DataFrame:
+    """``mode`` (feed, api, sitemap or html) and ``coverage`` of each source from its rule in JSON.
+
+    Coverage is best_effort when the rule names more than one page (templates, an API, feeds, a sitemap), else partial. A
+    missing or broken rule is an empty one.
+    """
+    rows = sources.withColumn("_r", F.coalesce(F.try_parse_json(rule), F.parse_json(F.lit("{}"))))
+    said, _, is_list = _rule("_r")
+    parser = said("parser")
+    mode = (F.when(parser.isin("rss", "atom"), "feed").when(is_list("feedUrls"), "feed")
+            .when((said("mode") == "api") | (parser == "wp-json"), "api").when(parser == "sitemap", "sitemap").otherwise("html"))
+    deep = (said("paginationTemplate") != "") | is_list("paginationTemplates") | (said("apiUrl") != "") | is_list("feedUrls") | (parser == "sitemap")
+    return rows.withColumns({"mode": mode, "coverage": F.when(deep, "best_effort").otherwise("partial")}).drop("_r")
+
+
+def rule_seed_urls(sources: DataFrame, rule="crawl_rule", key="source_code", max_pages: int = 10) -> DataFrame:
+    """(key, mode, position, url): the distinct URLs that each source's rule starts from.
+
+    html: templates with their start and end page, else one template, else the entry and fallback URLs, else the site; feed:
+    feed URLs, else those; api: the API's pages; sitemap: feed, entry and fallback URLs, else the two usual sitemaps. The
+    rule's ``maxPages`` bounds pages, ``max_pages`` where it has none.
+    """
+    rows = rule_modes(sources, rule).withColumn("_r", F.coalesce(F.try_parse_json(rule), F.parse_json(F.lit("{}"))))
+    said, texts, is_list = _rule("_r")
+    rows = rows.withColumn("_max", F.greatest(F.coalesce(F.try_variant_get("_r", "$.maxPages", "int"), F.lit(max_pages)), F.lit(0)))
+
+    def paged(template, first, last):
+        numbers = F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda n: F.replace(F.replace(template, F.lit("{page}"), n.cast("string")), F.lit("%d"), n.cast("string")))
+
+    def of_entry(e):
+        plain = F.schema_of_variant(e) == "STRING"
+        number = lambda name, spare: F.coalesce(F.when(~plain, F.try_variant_get(e, f"$.{name}", "int")), spare)
+        template = F.coalesce(F.when(plain, e.cast("string")).otherwise(F.try_variant_get(e, "$.template", "string")), F.lit(""))
+        first = F.greatest(number("start", F.lit(1)), F.lit(1))
+        last = F.least(F.greatest(first, number("end", number("maxPages", F.col("_max")))), F.col("_max"))
+        return F.when(F.trim(template) != "", paged(template, first, last)).otherwise(terms.strings([]))
+
+    many = F.flatten(F.transform(F.coalesce(F.try_variant_get("_r", "$.paginationTemplates", "array<variant>"), F.array().cast("array<variant>")), of_entry))
+    entry = F.concat(F.array(said("entryUrl")), texts("fallbackEntryUrls"))
+    named = lambda c: F.filter(c, lambda u: F.coalesce(F.trim(u), F.lit("")) != "")
+    first_of = lambda *lists: F.coalesce(*[F.when(F.size(named(x)) > 0, named(x)) for x in lists], terms.strings([]))
+    site = F.regexp_replace("site_url", "/+$", "")
+    api = said("apiUrl")
+    numbered = paged(F.when(api.rlike(r"[?&]page=\d+"), F.regexp_replace(api, r"([?&]page=)\d+", "$1{page}")).when(F.contains(api, F.lit("?")), F.concat(api, F.lit("&page={page}"))).otherwise(F.concat(api, F.lit("?page={page}"))), F.lit(1), F.col("_max"))
+    html_pages = first_of(many, F.when(said("paginationTemplate") != "", paged(said("paginationTemplate"), F.lit(1), F.col("_max"))).otherwise(terms.strings([])), entry, F.array("site_url"))
+    urls_of = (F.when(F.col("mode") == "feed", first_of(texts("feedUrls"), entry, F.array("site_url"))).when(F.col("mode") == "api", F.when(api != "", numbered).otherwise(terms.strings([])))
+               .when(F.col("mode") == "sitemap", first_of(F.concat(texts("feedUrls"), entry), F.array(F.concat(site, F.lit("/sitemap.xml")), F.concat(site, F.lit("/sitemap_index.xml"))))).otherwise(html_pages))
+    return rows.withColumn("_u", F.array_distinct(urls_of)).select(key, "mode", F.posexplode("_u").alias("position", "url"))
+
+
 def extraction_stats(cands: DataFrame, start: str, end: str, key="source", url="url", item_limit: int | None = None) -> DataFrame:
     """Outcome counts and date range per source; ``partial`` coverage when nothing was kept or the limit was hit."""
     rows = cands.withColumn("outcome", outcome("published_at", url, start, end))

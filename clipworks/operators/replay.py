@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from clipworks import config
 from clipworks.functions import groups, ordered, text, urls
-from clipworks.operators import extract, review, urlset, versions
+from clipworks.operators import extract, normalize, review, urlset, versions
 
 
-def replay(assessed: DataFrame, reason: str, rule: config.ReviewRule, start: str, end: str, min_title: int = 6) -> DataFrame:
-    """Candidates rejected for one reason, reviewed again: ``outcome`` skipped or accepted, with the new status.
+def retitled(cands: DataFrame, raw="raw_title", cleaned="cleaned_title", source="source_name", min_title: int = 6) -> DataFrame:
+    """Candidates with the ``title`` that a replay judges: the cleaned one if long enough, else what the raw one still holds."""
+    return normalize.recover_title(cands, raw, cleaned, source, min_title)
 
-    Expects assessed candidates with ``review_status`` and ``reject_reason``.
+
+def replay(assessed: DataFrame, reasons, rule: config.ReviewRule, start: str, end: str, min_title: int = 6) -> DataFrame:
+    """Candidates rejected for one of ``reasons``, reviewed again: ``outcome`` skipped or accepted, with the new status.
+
+    Expects assessed candidates with ``review_status`` and ``reject_reason``; ``retitled`` ones for titles that were too short.
     """
-    rows = assessed.filter((F.col("review_status") == "rejected") & (F.col("reject_reason") == reason))
+    wanted = [reasons] if isinstance(reasons, str) else list(reasons)
+    rows = assessed.filter((F.col("review_status") == "rejected") & F.col("reject_reason").isin(wanted))
     judged = review.review(rows, rule, start, end)
     ok = F.col("accepted") & F.col("detail_url") & (F.length("title") >= min_title)
     return judged.withColumns({
         "outcome": F.when(ok, "accepted").otherwise("skipped"),
         "review_status": F.when(ok, "accepted").otherwise(F.col("review_status")),
-        "reject_reason": F.when(ok, f"replayed_from_{reason}").otherwise(F.col("reject_reason")),
+        "reject_reason": F.when(ok, F.concat(F.lit("replayed_from_"), "reject_reason")).otherwise(F.col("reject_reason")),
     })
 
 

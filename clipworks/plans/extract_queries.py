@@ -203,6 +203,33 @@ def seed_urls(spark, d):
     return extract.expand_seed_urls(rows, 3, "s_suppkey").select("s_suppkey", "url")
 
 
+RULES = """r AS (SELECT s_suppkey AS s, 'https://s' || s_suppkey || '.test' AS site FROM supplier),
+m AS (SELECT *, s % 8 AS k, CASE s % 8 WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'html' WHEN 3 THEN 'feed' WHEN 4 THEN 'api' WHEN 5 THEN 'sitemap' WHEN 6 THEN 'feed' ELSE 'html' END AS mode FROM r)"""
+
+
+def ruled_sources(spark, d):
+    """Suppliers with rules of all kinds; one kind is broken."""
+    s = F.col("s_suppkey")
+    site = F.concat(F.lit("https://s"), s, F.lit(".test"))
+    rules = ['{"parser":"html-list","maxPages":4,"paginationTemplates":[{"template":"@/a/{page}","start":2,"end":9},"@/b/%d",{"template":" "}]}', '{"paginationTemplate":"@/c{page}.html","maxPages":2}',
+             '{"entryUrl":"@/in","fallbackEntryUrls":["@/in","@/more",""]}', '{"parser":"rss","feedUrls":["@/f1","@/f2","@/f1"]}', '{"mode":"api","apiUrl":"@/api?x=1&page=7","maxPages":3}',
+             '{"parser":"sitemap"}', '{"parser":"atom","entryUrl":"@/atom"}', '{"parser": broken']
+    rule = F.get(F.array(*[F.lit(r) for r in rules]), (s % 8).cast("int"))
+    return load_table(spark, d, "supplier").select("s_suppkey", F.concat(site, F.lit("/")).alias("site_url"), F.replace(rule, F.lit("@"), site).alias("crawl_rule"))
+
+
+@query("ex14_rule_seeds", f"""WITH {RULES}, u AS (SELECT s, mode, unnest(CASE k WHEN 0 THEN [site || '/a/2', site || '/a/3', site || '/a/4', site || '/b/1', site || '/b/2', site || '/b/3', site || '/b/4'] WHEN 1 THEN [site || '/c1.html', site || '/c2.html']
+  WHEN 2 THEN [site || '/in', site || '/more'] WHEN 3 THEN [site || '/f1', site || '/f2'] WHEN 4 THEN [site || '/api?x=1&page=1', site || '/api?x=1&page=2', site || '/api?x=1&page=3'] WHEN 5 THEN [site || '/sitemap.xml', site || '/sitemap_index.xml']
+  WHEN 6 THEN [site || '/atom'] ELSE [site || '/'] END) AS url FROM m) SELECT s AS s_suppkey, mode, url FROM u""")
+def rule_seeds(spark, d):
+    return extract.rule_seed_urls(ruled_sources(spark, d), key="s_suppkey").select("s_suppkey", "mode", "url")
+
+
+@query("ex15_rule_modes", f"WITH {RULES} SELECT s AS s_suppkey, mode, CASE WHEN k IN (0, 1, 3, 4, 5) THEN 'best_effort' ELSE 'partial' END AS coverage FROM m")
+def rule_modes(spark, d):
+    return extract.rule_modes(ruled_sources(spark, d)).select("s_suppkey", "mode", "coverage")
+
+
 OUTCOME = "CASE WHEN page_id % 5 = 4 THEN 'missing_date' WHEN d < TIMESTAMP '2024-03-01' OR d > TIMESTAMP '2024-10-01 00:01:00' THEN 'out_of_window' WHEN page_id % 3 = 0 THEN 'non_detail' ELSE 'kept' END"
 
 

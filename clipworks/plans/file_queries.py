@@ -31,6 +31,11 @@ def import_sources(spark, d):
     return files.resolve_sources(bind.articles(spark, d), known).select("id", "source_active", "is_stub")
 
 
+@query("io3_stub_sources", "SELECT DISTINCT source AS name, FALSE AS active FROM documents WHERE CAST(substr(source, 4) AS INT) % 4 = 3")
+def stub_sources(spark, d):
+    return files.stub_sources(bind.articles(spark, d), bind.sources(spark, d).filter("source_id % 4 <> 3")).select("name", "active")
+
+
 @query("io3_import_articles", """WITH b AS (SELECT source, 'u' || (doc_id % 200) AS u, sha256(text) AS h FROM documents)
 SELECT (SELECT count(*) FROM b) AS accepted, (SELECT count(*) FROM (SELECT DISTINCT source, u, h FROM b)) AS inserted, (SELECT count(*) FROM b) - (SELECT count(*) FROM (SELECT DISTINCT source, u, h FROM b)) AS duplicates""")
 def import_articles(spark, d):
@@ -95,6 +100,20 @@ def replay_rows(spark, d):
     return replay.replay(rejected(spark, d), "not_detail_url", GATE, *WINDOW).select("id", "outcome", "review_status", "reject_reason")
 
 
+@query("rp1_title_replay", f"""WITH {ASSESSED}, again AS (SELECT * REPLACE (title_only AND (id % 3 = 0 OR length(title) < 6) AS title_only) FROM chk), r AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'not_detail_url' ELSE 'title_too_short' END AS why, {REASON} AS reason FROM again)
+SELECT id, CASE WHEN reason = '' THEN 'accepted' ELSE 'skipped' END AS outcome, CASE WHEN reason = '' THEN 'replayed_from_' ELSE '' END || why AS reject_reason FROM r""")
+def title_replay(spark, d):
+    """Two reasons at once; a cleaned title that is too short gives way to the raw one, which names the site before a bar."""
+    n = F.col("id")
+    rows = bind.versions(spark, d).withColumns({"cleaned_title": F.when(n % 3 == 0, F.col("title")).otherwise("ab"), "source_name": F.lit("site"),
+                                                "raw_title": F.when(n % 3 == 0, F.col("title")).otherwise(F.when(F.length("title") > 2, F.concat(F.lit("ab | "), "title")).otherwise(F.col("title")))})
+    rows = rows.withColumn("cleaned_title", F.when(F.length("title") < 6, F.col("title")).otherwise(F.col("cleaned_title")))
+    rows = rows.withColumn("raw_title", F.when(F.length("title") < 6, F.col("title")).otherwise(F.col("raw_title")))
+    judged = review.assess(replay.retitled(rows), bind.entities(spark), GATE, k.ENTITY_TERMS)
+    judged = judged.withColumns({"review_status": F.lit("rejected"), "reject_reason": F.when(n % 3 == 0, "not_detail_url").otherwise("title_too_short")})
+    return replay.replay(judged, ["not_detail_url", "title_too_short"], GATE, *WINDOW).select("id", "outcome", "reject_reason")
+
+
 @query("rp1_replay_counts", f"""WITH {ASSESSED}, r AS (SELECT id, original_url, {REASON} AS reason FROM chk WHERE id % 3 = 0) SELECT count(*) AS scanned, count(*) FILTER (reason <> '') AS skipped, count(*) FILTER (reason = '') AS accepted,
  count(*) FILTER (reason = '') AS inserted, 0 AS duplicates FROM r""")
 def replay_counts(spark, d):

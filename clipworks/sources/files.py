@@ -75,6 +75,13 @@ def resolve_sources(articles: DataFrame, sources: DataFrame) -> DataFrame:
         "source_id": F.coalesce("source_id", stub), "source_active": F.coalesce("source_active", F.lit(False))})
 
 
+def stub_sources(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, name, active): an inactive source for every name of the articles that no source has."""
+    known = sources.select(F.col("name").alias("source"))
+    names = articles.select("source").distinct().join(known, "source", "left_anti")
+    return names.select((-F.abs(F.xxhash64("source"))).alias("source_id"), F.col("source").alias("name"), F.lit(False).alias("active"))
+
+
 def import_articles(articles: DataFrame, sources: DataFrame, heads: DataFrame, vers: DataFrame, now: str):
     """``(heads, versions, stats)`` after importing articles(seq, source, canonical_url, slug, content_hash, ...)."""
     return versions.upsert_versions(heads, vers, resolve_sources(articles, sources).drop("source", "is_stub", "source_active"), now)
