@@ -2,7 +2,8 @@
 
 Text is bytes, with the space in the place of the vocabulary's word mark. The automaton reads each byte once; at every
 place the output links lead through all pieces that end there, and each relaxes the best score of that place. No piece
-holds a word mark after another character, so a text falls apart into words that are solved once each and remembered.
+holds a word mark after another character, so a text falls apart into words; the distinct ones of a run of rows are
+solved together, all a byte at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ MARK = "▁"
 FRACTION = 1 << 20
 #: A byte that no piece covers costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10 * FRACTION
-#: Words remembered by a task; when full, the memory starts anew.
-REMEMBERED = 1 << 17
+#: Spans of more bytes are solved one by one; cells of the table in which the others are solved together.
+LONG_SPAN, TABLE = 512, 1 << 19
 
 
 @dataclass
@@ -94,6 +95,84 @@ class Automaton:
             link[s] = fail[s] if own[fail[s]] else link[fail[s]]
         self.step, self.fail, self.own, self.link = step, fail, own, link
         self.worst = min(own_[1] for own_ in own if own_) - UNKNOWN_PENALTY
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """The automaton as flat arrays: where each byte leads from each state, and the output links with their pieces."""
+        edges = np.array([(s, b, t) for s, d in enumerate(self.step) for b, t in d.items()] or [(0, 0, 0)], np.int64)
+        used = np.unique(edges[:, 1])
+        self.kind = np.full(256, len(used), np.int64)  # bytes of no piece lead to the start
+        self.kind[used] = np.arange(len(used))
+        states, fail = len(self.step), np.array(self.fail)
+        self.goto = np.zeros((states, len(used) + 1), np.uint16 if states <= 1 << 16 else np.uint32)
+        level = np.zeros(1, np.int64)
+        while len(level):
+            if level[0]:
+                self.goto[level] = self.goto[fail[level]]
+            lead = edges[np.isin(edges[:, 0], level) & (edges[:, 2] > 0)]
+            self.goto[lead[:, 0], self.kind[lead[:, 1]]] = lead[:, 2]
+            level = lead[:, 2]
+        self.next_out = np.array(self.link)
+        self.first_out = np.where([o is not None for o in self.own], np.arange(states), self.next_out)
+        self.out_size, self.out_score, self.out_id = (np.array([o[k] if o else 0 for o in self.own], np.int64) for k in range(3))
+        self.byte_ids = np.array(self.vocabulary.byte_ids, np.int64)
+
+    def encode_many(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many spans, one after the other, and how many each has: as ``encode`` gives them, all spans a byte at a time."""
+        size = ends - starts
+        order = np.argsort(-size, kind="stable")
+        ids, count = [np.zeros(0, np.int32)] * len(order), np.zeros(len(order), np.int64)
+        first = int((size > LONG_SPAN).sum())
+        raw = data.tobytes() if first else b""
+        for i in order[:first]:
+            ids[i] = np.array(self.encode(raw[starts[i]:ends[i]]), np.int32)
+            count[i] = len(ids[i])
+        flat, owner, rank = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while first < len(order) and size[order[first]]:
+            last = first + max(1, TABLE // (int(size[order[first]]) + 1))
+            some = order[first:last]
+            first = last
+            for k, (at, piece) in enumerate(self._solve(data, starts[some], size[some])):
+                flat.append(piece)
+                owner.append(some[at])
+                rank.append(np.full(len(at), k))
+        flat, owner, rank = np.concatenate(flat), np.concatenate(owner), np.concatenate(rank)
+        count += np.bincount(owner, minlength=len(order))
+        before = np.cumsum(count) - count
+        out = np.empty(count.sum(), np.int32)
+        out[before[owner] + count[owner] - 1 - rank] = flat
+        for i in np.flatnonzero(size > LONG_SPAN):
+            out[before[i]:before[i] + count[i]] = ids[i]
+        return out, count
+
+    def _solve(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray):
+        """Spans of falling length in lockstep; then (spans, their last piece), (spans, the piece before) and so on."""
+        n, longest = len(starts), int(size[0])
+        best, piece, step = np.zeros((longest + 1, n), np.int64), np.zeros((longest + 1, n), np.int32), np.zeros((longest + 1, n), np.int32)
+        state = np.zeros(n, np.int64)
+        active = np.searchsorted(-size, -np.arange(longest), "left")  # spans longer than p
+        for p in range(longest):
+            m = int(active[p])
+            b = data[starts[:m] + p]
+            state = self.goto[state[:m], self.kind[b]].astype(np.int64)
+            top, chosen, length = best[p, :m] + self.worst, self.byte_ids[b], np.ones(m, np.int64)
+            at = np.flatnonzero(self.first_out[state])
+            out = self.first_out[state[at]]
+            while len(at):
+                score = best[p + 1 - self.out_size[out], at] + self.out_score[out]
+                better = score > top[at]
+                won, by = at[better], out[better]
+                top[won], chosen[won], length[won] = score[better], self.out_id[by], self.out_size[by]
+                out = self.next_out[out]
+                left = out > 0
+                at, out = at[left], out[left]
+            best[p + 1, :m], piece[p + 1, :m], step[p + 1, :m] = top, chosen, length
+        at, end = np.flatnonzero(size), size.copy()
+        while len(at):
+            here = end[at]
+            yield at, piece[here, at].astype(np.int64)
+            end[at] -= step[here, at]
+            at = at[end[at] > 0]
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of the segmentation with the largest sum of scores; of equal sums, the one whose last piece is longest, and so on to the left."""
@@ -136,22 +215,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of spans of bytes, one after the other, and how many each has. Every distinct span is solved once and remembered."""
-    machine, memory = automaton(path), _memory(path)
+    """The ids of spans of bytes, one after the other, and how many each has. Every distinct span is solved once."""
+    machine = automaton(path)
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     _, at, back = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-    raw, found = data.tobytes(), []
-    for i in at:
-        word = raw[starts[i]:ends[i]]
-        ids = memory.get(word)
-        if ids is None:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            ids = memory[word] = np.array(machine.encode(word), np.int32).tobytes()
-        found.append(ids)
-    size = np.array([len(x) // 4 for x in found], np.int64)
-    pool, begin, n = np.frombuffer(b"".join(found), np.int32), np.cumsum(size) - size, size[back]
+    pool, size = machine.encode_many(data, starts[at], ends[at])
+    begin, n = np.cumsum(size) - size, size[back]
     before = np.cumsum(n) - n
     return pool[np.arange(n.sum()) - np.repeat(before, n) + np.repeat(begin[back], n)], n
 
@@ -170,11 +240,6 @@ def encode(column, path: str = MODEL) -> pa.ListArray:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
-@lru_cache(maxsize=2)
-def _memory(path: str) -> dict:
-    return {}
-
-
 def decode(column, path: str = MODEL) -> pa.Array:
     """The text of each list of ids: pieces and bytes joined, without the first word mark. Unknown and control ids give nothing."""
     if isinstance(column, pa.ChunkedArray):
