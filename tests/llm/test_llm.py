@@ -493,3 +493,35 @@ def test_the_rest_imports_without_the_corpus_package(tmp_path):
         copy = shutil.copytree(root, tmp_path / name, ignore=shutil.ignore_patterns(".git", "__pycache__", *left_out))
         done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
         assert done.returncode == 0, done.stderr
+
+
+def test_scores_without_fresh_memory_are_those_of_the_layers():
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.4, 5000) % 700
+    first = np.array([0, 1, 1, 30, 62, 63, 900, 5000])
+    model = lm.Attention(np.bincount(ids, minlength=700).astype(float)).train(ids, first, steps=15)
+    got = model.token_logs(ids, first, batch=7)
+    start, end, scored, row_start = lm.windows(first)
+    for w in range(len(start)):
+        at, there, before = model.padded(ids, start[w:w + 1], end[w:w + 1], row_start[w:w + 1])
+        size = end[w] - start[w]
+        before, here = before[:, :size], ids[at[:, :size]]
+        logits, sums, (x, *_, y, _, _) = model.forward(before)
+        found, gate, _ = model.point(x, y, here)
+        own = np.exp(logits[np.arange(size), model.slot[here[0]]] - sums + model.rest[here[0]])
+        want = np.log(np.maximum((1 - gate[0]) * own + gate[0] * found[0], 1e-30))
+        new = slice(scored[w] - start[w], size)
+        assert np.allclose(got[scored[w]:end[w]], want[new], atol=1e-4)
+
+
+def test_words_solved_together_are_those_solved_alone():
+    machine, rng = pieces.automaton(), random.Random(9)
+    words = [(" " * rng.randrange(3) + "".join(rng.choice("etaoin srhlé中\U0001F600xyz") for _ in range(rng.randrange(30)))).encode() for _ in range(3000)]
+    words += [b"", b"a" * 511, b"a" * 512, b"a" * 513, b"the" * 400, b" " * 70, bytes(range(1, 128))]
+    rng.shuffle(words)
+    size = np.array([len(w) for w in words])
+    ids, n = machine.encode_many(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, np.cumsum(size))
+    want = [machine.encode(w) for w in words]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in machine.encode_many(np.zeros(0, np.uint8), none, none)] == [0, 0]
