@@ -182,9 +182,22 @@ def finalize_logs(sources: DataFrame, results: DataFrame, articles: DataFrame, s
         F.when(live > 0, F.greatest(live - pub, F.lit(0))).when(fall > 0, F.greatest(fall - pub, F.lit(0))).otherwise(F.lit(0)).alias("duplicate_count"))
 
 
-def candidate_pool(cands: DataFrame, k: int = 50) -> DataFrame:
-    """Largest groups of rejected candidates by source and reason."""
-    counts = cands.filter("review_status = 'rejected'").groupBy("source_id", "reject_reason").agg(F.count("*").alias("n"))
+# What the address of an article page looks like.
+ARTICLE_SHAPES = ["/(news|content|detail|info|article|post|story|blog|press|events?)/", "20[0-9]{2}[-/][0-9]{2}", "t20[0-9]{6}", "20[0-9]{6}"]
+
+
+def candidate_pool(cands: DataFrame, k: int = 50, sources: DataFrame | None = None, url_col: str | None = None) -> DataFrame:
+    """Largest groups of rejected candidates by source and reason.
+
+    With ``sources`` only those of active sources that are bound to an entity count; with ``url_col`` only those whose
+    address has the shape of an article page.
+    """
+    rows = cands.filter("review_status = 'rejected'")
+    if url_col:
+        rows = rows.filter(F.lower(url_col).rlike("|".join(f"(?:{shape})" for shape in ARTICLE_SHAPES)))
+    if sources is not None:
+        rows = rows.join(sources.filter(F.col("active") & (F.col("whitelist_entity_id") != "")).select("source_id"), "source_id", "left_semi")
+    counts = rows.groupBy("source_id", "reject_reason").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "source_id", "reject_reason").limit(k)
 
 

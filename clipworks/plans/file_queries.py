@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipworks.operators import replay, review, versions
+from clipworks.operators import derive, replay, review, versions
 from clipworks.plans import sqlkit as k
 from clipworks.plans.extract_queries import BODIES, DATED, LEAD, TITLE
 from clipworks.plans.registry import query
@@ -143,6 +143,13 @@ pq AS (SELECT *, sid < 5 AND dated::TIMESTAMP BETWEEN TIMESTAMP '2024-01-10' AND
    AND (n_core >= 2 OR (n_core = 1 AND n_ent >= 1 AND NOT {k.any_of('body', bind.LOW)})) AS ok FROM ph)"""
 
 
+@query("ag12_url_shaped_pool", """SELECT page_id % 7 AS source_id, CASE page_id % 4 WHEN 0 THEN 'not_detail_url' WHEN 1 THEN 'title_too_short' WHEN 2 THEN 'missing_published_at' ELSE 'other' END AS reject_reason, count(*) AS n
+FROM pages WHERE page_id % 7 < 5 AND (page_id % 11 = 0 OR page_id % 13 <> 0) GROUP BY ALL ORDER BY n DESC, source_id, reject_reason LIMIT 15""")
+def url_shaped_pool(spark, d):
+    cands = bind.page_candidates(spark, d).withColumn("url", F.regexp_replace("url", "/list/[0-9]+/", "/list/x/"))
+    return derive.candidate_pool(cands, 15, bind.page_sources(spark), "url")
+
+
 @query("rp2_replay_strict", f"""WITH {REBUILT} SELECT id, title, dated AS published_at FROM pq WHERE ok AND id % 4 IN (0, 1, 2) AND id % 3 <> 0 AND sid <> 3
 ORDER BY sid = 2 DESC, id LIMIT 40""")
 def replay_strict(spark, d):

@@ -223,16 +223,17 @@ def clean_candidates(spark, d):
 
 @query("cl2_normalize_articles", f"""WITH {k.CLEANED},
 t AS (SELECT *, CASE WHEN length(trim(summary)) >= 12 THEN trim(summary) WHEN length(trim(substr(title, 1, 260))) >= 12 THEN trim(substr(title, 1, 260)) ELSE '' END AS ns FROM cleaned WHERE title <> ''),
-u AS (SELECT *, array_to_string([title, ns, array_to_string(keywords, ' '), source, array_to_string(region_tags, ' ')], ' ') AS ft, lower(title || ' ' || ns) AS ts
-  FROM t WHERE ns <> '' AND {k.any_of('ns', bind.REQUIRED)}),
+b AS (SELECT * REPLACE (list_concat(keywords, list_filter({k.parts("lower(title || ' ' || ns)", bind.DOMAIN)}, lambda w: NOT list_contains(keywords, w))) AS keywords), title || ' ' || ns AS tn FROM t WHERE ns <> '' AND {k.any_of('ns', bind.REQUIRED)}),
+u AS (SELECT *, array_to_string([title, ns, array_to_string(keywords, ' '), source, array_to_string(region_tags, ' ')], ' ') AS ft, lower(tn) AS ts, list_filter({k.term_list(bind.REGIONS)}, lambda r: contains(tn || ' ' || array_to_string(keywords, ' '), r)) AS found FROM b),
 targets AS ({TARGETS})
 SELECT u.id, u.title, ns AS summary, coalesce((SELECT string_agg(entity_id, '|' ORDER BY entity_id) FROM known WHERE list_bool_or(list_transform(terms, lambda x: contains(ft, x)))), '') AS entity_ids,
  CASE WHEN {k.count_of('ts', bind.CATEGORIES['policy'])} >= {k.count_of('ts', bind.CATEGORIES['enterprise'])} AND {k.count_of('ts', bind.CATEGORIES['policy'])} >= {k.count_of('ts', bind.CATEGORIES['technology'])} THEN 'policy'
    WHEN {k.count_of('ts', bind.CATEGORIES['enterprise'])} >= {k.count_of('ts', bind.CATEGORIES['technology'])} THEN 'enterprise' ELSE 'technology' END AS category,
- CASE WHEN u.id % 10 <> 0 THEN u.url ELSE targets.target END AS resolved_url
+ CASE WHEN u.id % 10 <> 0 THEN u.url ELSE targets.target END AS resolved_url, array_to_string(keywords, '|') AS keywords, CASE WHEN len(found) = 0 THEN 'none' ELSE array_to_string(found, '|') END AS region_tags, len(found) > 0 AS is_related
 FROM u JOIN targets ON u.source = targets.source_code""")
 def normalize_articles(spark, d):
     hints = {c: bind.CATEGORIES[c] for c in ("policy", "enterprise", "technology")}
     out = cleaning.normalize_articles(bind.cleaned(spark, d).drop("site_url"), bind.entities(spark),
-                                      urlset.best_source_target(_targets(spark, d)), bind.REQUIRED, hints)
-    return out.select("id", "title", "summary", F.concat_ws("|", "entity_ids").alias("entity_ids"), "category", "resolved_url")
+                                      urlset.best_source_target(_targets(spark, d)), bind.REQUIRED, hints, bind.DOMAIN, bind.REGIONS, "none")
+    return out.select("id", "title", "summary", F.concat_ws("|", "entity_ids").alias("entity_ids"), "category", "resolved_url",
+                      F.concat_ws("|", "keywords").alias("keywords"), F.concat_ws("|", "region_tags").alias("region_tags"), "is_related")
