@@ -59,10 +59,12 @@ def deep_page(spark, d):
     return search.page_articles(index, page=10**9, size=60).drop("published_at", "category")
 
 
-@query("ql2_next_articles", f"WITH c AS (SELECT * FROM {ORDERS} ORDER BY published_at, id LIMIT 1 OFFSET 500) SELECT id FROM {ORDERS} WHERE (published_at, id) > (SELECT (published_at, id) FROM c) ORDER BY published_at, id LIMIT 40")
+@query("ql2_next_articles", f"WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY published_at, id) - 1 AS r, count(*) OVER () AS n FROM {ORDERS}) WHERE r = n // 2) SELECT id FROM {ORDERS} WHERE (published_at, id) > (SELECT (published_at, id) FROM c) ORDER BY published_at, id LIMIT 40")
 def next_articles(spark, d):
+    """What follows the article in the middle."""
     rows = orders(spark, d)
-    last = search.page_index(rows, oldest=True, category="F").rows(500, 1).first()
+    index = search.page_index(rows, oldest=True, category="F")
+    last = index.rows(index.total // 2, 1).first()
     return search.next_articles(rows, (last.published_at, last.id), 40, oldest=True, category="F").select("id")
 
 
