@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,10 +104,13 @@ def region_keywords(article_regions: DataFrame, blocked: DataFrame, stopwords=()
 
 
 def legend_bins(metrics: DataFrame, value: str) -> DataFrame:
-    """Bins ``(bin, lo, hi)`` from the largest value: zero, then thirds; one empty bin when all are zero."""
+    """Bins ``(bin, lo, hi)`` from the largest value: zero, then thirds; one empty bin when all are zero.
+
+    Shares are decimals: as doubles they pass a whole number by a rounding error at some values, and the bound is one too high.
+    """
     top = metrics.agg(F.coalesce(F.max(value), F.lit(0)).cast("bigint").alias("m"))
-    first = F.greatest(F.lit(1), F.ceil(F.col("m") * 0.34))
-    second = F.greatest(first + 1, F.ceil(F.col("m") * 0.67))
+    first = F.greatest(F.lit(1), F.ceil(F.col("m") * F.lit(Decimal("0.34"))))
+    second = F.greatest(first + 1, F.ceil(F.col("m") * F.lit(Decimal("0.67"))))
     m = F.col("m")
 
     def item(lo, hi):
