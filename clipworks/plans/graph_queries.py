@@ -29,16 +29,20 @@ x AS (SELECT ke.source_id, ke.target_id, aid, published_at, coalesce({hit('a.ts'
 ev AS (SELECT * FROM (SELECT source_id, target_id, aid AS id, row_number() OVER (PARTITION BY source_id, target_id ORDER BY published_at DESC, aid) AS rank FROM x WHERE h1::INT + h2::INT + h3::INT >= 2) WHERE rank <= 6)"""
 
 
-def parts(spark, d):
+# Evidence from all of an article's text; the other graph queries see its summary only.
+EVID_WHOLE = EVID.replace(k.CURRENT, k.CURRENT_WHOLE)
+
+
+def parts(spark, d, whole=False):
     nodes = spark.createDataFrame(NODES, "id STRING, name STRING, aliases ARRAY<STRING>, element_class STRING")
     edges = spark.createDataFrame(EDGES, "source_id STRING, target_id STRING, keywords ARRAY<STRING>")
     research = spark.createDataFrame(RESEARCH, "source_id STRING, target_id STRING, ref_id STRING, pos INT")
-    return nodes, edges, research, bind.current(spark, d)
+    return nodes, edges, research, bind.current(spark, d, whole)
 
 
-@query("kg1_edge_evidence", f"WITH {EVID} SELECT * FROM ev")
+@query("kg1_edge_evidence", f"WITH {EVID_WHOLE} SELECT * FROM ev")
 def edge_evidence(spark, d):
-    nodes, edges, _, arts = parts(spark, d)
+    nodes, edges, _, arts = parts(spark, d, whole=True)
     return graph.edge_evidence(edges, nodes, arts)
 
 
@@ -46,9 +50,9 @@ REFS = f"""{EVID}, allr AS (SELECT source_id, target_id, 0 AS kind, 'article:' |
  UNION ALL SELECT source_id, target_id, 1, 'research:' || ref_id, pos, 1 FROM res)"""
 
 
-@query("kg2_edge_refs", f"""WITH {REFS} SELECT source_id, target_id, ref, rank FROM (SELECT source_id, target_id, ref, row_number() OVER (PARTITION BY source_id, target_id ORDER BY min((kind, pos)), ref) AS rank FROM allr GROUP BY 1, 2, 3) WHERE rank <= 8""")
+@query("kg2_edge_refs", f"""WITH {REFS.replace(EVID, EVID_WHOLE)} SELECT source_id, target_id, ref, rank FROM (SELECT source_id, target_id, ref, row_number() OVER (PARTITION BY source_id, target_id ORDER BY min((kind, pos)), ref) AS rank FROM allr GROUP BY 1, 2, 3) WHERE rank <= 8""")
 def edge_refs(spark, d):
-    nodes, edges, research, arts = parts(spark, d)
+    nodes, edges, research, arts = parts(spark, d, whole=True)
     return graph.edge_refs(graph.edge_evidence(edges, nodes, arts), research, arts)[0]
 
 

@@ -141,6 +141,9 @@ cur AS (SELECT id, source, language, published_at, url, {clean('title')} AS titl
  FROM ({ARTICLES}))
 """
 
+# The same with the whole body as summary, for queries that look for words in all of an article.
+CURRENT_WHOLE = CURRENT.replace(f"{natural('body', REQUIRED)} AS summary", f"{clean('body')} AS summary")
+
 
 def with_current(body: str) -> str:
     return f"WITH {CURRENT} {body}"

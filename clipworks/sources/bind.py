@@ -188,8 +188,8 @@ def cleaned(spark: SparkSession, folder: str, with_slug: bool = False, only: Dat
                             default_tag="none", with_slug=with_slug)
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """Current articles in the shape the derived datasets and searches read."""
+def current(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Current articles in the shape the derived datasets and searches read; with ``whole`` the body itself is the summary."""
     from clipworks.functions import terms, text
     from clipworks.operators import tagging
 
@@ -197,7 +197,7 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("id") % 3
     return arts.select(
         "id", "source", "language", "published_at", "url", text.clean("title").alias("title"),
-        terms.natural_summary("body", REQUIRED).alias("summary"),
+        (text.clean("body") if whole else terms.natural_summary("body", REQUIRED)).alias("summary"),
         terms.matched(F.col("_low"), DOMAIN, word_boundary=False).alias("keywords"),
         tagging.region_list(F.col("body"), REGIONS, "none").alias("region_tags"),
         (F.size(terms.keep((t, F.contains(F.col("body"), F.lit(t))) for t in REGIONS)) > 0).alias("is_related"),

@@ -4,9 +4,8 @@ import math
 from fractions import Fraction
 
 import pytest
-from pyspark.sql import functions as F
-
 from clipworks.operators import derive
+from clipworks.plans import graph_queries
 
 
 @pytest.mark.parametrize("top", [150, 300, 600, 2350, 6459])
@@ -15,3 +14,14 @@ def test_legend_bounds_are_exact_shares(spark, top):
     first, second = math.ceil(Fraction(34, 100) * top), math.ceil(Fraction(67, 100) * top)
     got = [tuple(r) for r in derive.legend_bins(rows, "v").orderBy("bin").collect()]
     assert got == [(0, 0, 0), (1, 1, first), (2, first + 1, second), (3, second + 1, top)]
+
+
+def test_edge_evidence_reads_whole_bodies(spark, tmp_path):
+    filler = "nothing of note stands here. " * 40
+    rows = [(1, "a plain title\n" + filler + "nobody sees erin", "src0", "en"), (2, "another\n" + filler, "src1", "en")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, lang STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {("k3", "k4", 1, 1), ("k4", "gone", 1, 1)}  # "erin" is a keyword, too; "nobody" stands in the body only
+    got = graph_queries.edge_evidence(spark, str(tmp_path)).select("source_id", "target_id", "id", "rank").collect()
+    assert {tuple(r) for r in got} == wanted
+    refs = {tuple(r) for r in graph_queries.edge_refs(spark, str(tmp_path)).where("ref LIKE 'article:%'").collect()}
+    assert refs == {("k3", "k4", "article:1", 1), ("k4", "gone", "article:1", 1)}
