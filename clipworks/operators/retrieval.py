@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from clipworks import config
 from clipworks.functions import groups, sparse
@@ -81,27 +84,94 @@ def item_texts(items: DataFrame, kind: str, fields: dict[str, int], id_col: str
     return rows.select("kind", "item", "p.*").where("text <> ''")
 
 
-def _grams(text, size: int):
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+#: A value starts with a piece of the largest of these sizes that it has; a piece of ``SIZES`` characters is met by its hash.
+SIZES = (2, 3, 4, 6, 8, 12, 20)
+#: Bits of the filter for each start, and at most; characters of text hashed at a time.
+FILTER_BITS, MOST_BITS, HASHED_CHARS = 16, 1 << 27, 1_000_000
+
+
+def _pieces(texts: list[str]):
+    """Of some texts: (size, text number, hash) of the pieces of each size that stand anywhere in them."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    row = np.repeat(np.arange(len(texts)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))
+    rolled, power = np.zeros(len(codes), np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(SIZES[-1]):
+            rolled[:max(0, len(codes) - k)] += (codes[k:] + np.uint64(1)) * power
+            power *= np.uint64(0x9E3779B97F4A7C15)
+            if k + 1 in SIZES:
+                at = np.flatnonzero(left >= k + 1)
+                h = (rolled[at] + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                yield k + 1, row[at], (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+@F.arrow_udf(LongType())
+def _start(value: pa.Array) -> pa.Array:
+    """The hash of the piece that a value of at least two characters starts with."""
+    texts = [v[:max(n for n in SIZES if n <= len(v))] for v in value.to_pylist()]
+    length, out = np.fromiter(map(len, texts), np.int64, len(texts)), np.zeros(len(texts), np.int64)
+    for size, row, h in _pieces(texts):
+        whole = length[row] == size
+        out[row[whole]] = h[whole]
+    return pa.array(out)
+
+
+def _offered(bits):
+    """UDF: the distinct hashes of a text's pieces that the filter lets through."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def offered(text: pa.Array) -> pa.Array:
+        mask, out = np.int64(len(bits.value) * 8 - 1), []
+        texts = text.to_pylist()
+        length = np.cumsum([len(t) for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(length // HASHED_CHARS)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, row, h in _pieces(texts[lo:hi]):
+                place = h & mask
+                some = np.flatnonzero(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                rows.append(row[some])
+                hashes.append(h[some])
+            row, h = np.concatenate(rows), np.concatenate(hashes)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            row, h = row[new], h[new]
+            first = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(first), pa.array(h)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
+
+    return offered
+
+
+def _filter(starts: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of hashes, ``FILTER_BITS`` bits for each at first; a few megabytes whatever the input."""
+    size = 1 << min(max(16, (count * FILTER_BITS).bit_length()), MOST_BITS.bit_length() - 1)
+    place = F.col("start").bitwiseAND(F.lit(size - 1))
+    runs = starts.groupBy(F.floor(place / 32768).alias("run")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")).collect()
+    out = np.zeros(size // 8, np.uint8)
+    for run, bits in runs:
+        out[run * 4096:(run + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def postings(texts: DataFrame, values: DataFrame) -> DataFrame:
     """(kind, item, value, strength): which of ``values`` (value) stand in which item, with the strengths of their fields summed.
 
-    Values of all questions meet the texts of all items once, by the rarest of their 3-grams (a value of two characters by
-    itself); a value with a gram that no text has meets nothing. Hits are verified in the text. Work follows the texts
-    and their hits, whatever the number of questions.
+    Values of all questions meet the texts of all items once, by the piece of up to 20 characters that they start with; a
+    text offers only pieces that a filter of all starts lets through. So a meeting is nearly always a hit, and work follows
+    the texts and their hits, whatever the number of questions. Hits are verified in the text.
     """
     values = values.select("value").where(F.length("value") >= 2).distinct()
-    own = materialize(values.select("value", F.explode(F.when(F.length("value") > 2, _grams(F.col("value"), 3)).otherwise(F.array("value"))).alias("gram")))
-    known = groups.small_side(own.select("gram").distinct())
-    short = groups.small_side(own.where("length(gram) = 2").select("gram").distinct())
+    starts = materialize(values.select("value", _start("value").alias("start")))
+    bits = texts.sparkSession.sparkContext.broadcast(_filter(starts, starts.count()))
     place = ["kind", "item", "field"]
-    spots = texts.select(*place, F.explode(_grams(F.col("text"), 3)).alias("gram")).join(known, "gram", "left_semi")
-    spots = materialize(spots.unionByName(texts.select(*place, F.explode(_grams(F.col("text"), 2)).alias("gram")).join(short, "gram", "left_semi")))
-    counts = spots.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = own.join(counts, "gram", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("value", "g.gram")
-    met = spots.join(rarest, "gram").drop("gram").join(texts, place).where(F.contains("text", "value"))
+    spots = texts.where("text <> ''").select(*place, F.explode(_offered(bits)("text")).alias("start"))
+    met = spots.join(starts, "start").drop("start").join(texts, place).where(F.contains("text", "value"))
     return met.groupBy("kind", "item", "value").agg(F.sum("strength").alias("strength"))
 
 

@@ -4,7 +4,8 @@ import math
 from fractions import Fraction
 
 import pytest
-from clipworks.operators import derive
+from pyspark.sql import functions as F
+from clipworks.operators import derive, retrieval
 from clipworks.plans import graph_queries
 
 
@@ -25,3 +26,19 @@ def test_edge_evidence_reads_whole_bodies(spark, tmp_path):
     assert {tuple(r) for r in got} == wanted
     refs = {tuple(r) for r in graph_queries.edge_refs(spark, str(tmp_path)).where("ref LIKE 'article:%'").collect()}
     assert refs == {("k3", "k4", "article:1", 1), ("k4", "gone", "article:1", 1)}
+
+
+def test_values_and_texts_meet_only_where_they_can_hit(spark):
+    """Values whose trigrams are common, but whose starts are rare: the meeting held nearly every pair before."""
+    words = [f"{a}{b}{c}erationing" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprst"]
+    texts = [("article", str(n), 0, 2, f"the {w} one, \\u00e9\\U0001f600 {w[:-1]}") for n, w in enumerate(words)]
+    values = [(w,) for w in words] + [("\\u00e9\\U0001f600",), ("erationing one",), ("nowhere at all in these texts, which is long",), ("x",)]
+    texts = spark.createDataFrame(texts, "kind STRING, item STRING, field INT, strength INT, text STRING")
+    values = spark.createDataFrame(values, "value STRING")
+    expect = texts.crossJoin(values).where("length(value) >= 2 AND contains(text, value)").select("kind", "item", "value", "strength").collect()
+    got = retrieval.postings(texts, values).select("kind", "item", "value", "strength").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expect))
+    starts = values.where("length(value) >= 2").select("value", retrieval._start("value").alias("start"))
+    bits = spark.sparkContext.broadcast(retrieval._filter(starts, starts.count()))
+    meetings = texts.select(F.explode(retrieval._offered(bits)("text")).alias("start")).join(starts, "start").count()
+    assert meetings < 2 * len(expect)
