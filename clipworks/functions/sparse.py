@@ -1,71 +1,114 @@
-"""Sparse top-k: the items that score best for each question, without meeting every pair.
+"""Sparse top-k: the items that score best for each question, without a shuffle of the pairs that meet.
 
 A question wants features with weights, an item offers features with strengths, and a score sums weight x strength over
-the features both have. Posting lists join the two sides, and bounds keep common features out of that join:
-
-1. each feature's strongest offers ("champions") give every question some scores, so a floor for its k-th best;
-2. a question's commonest features are left out as long as all of them together stay below that floor;
-3. items met through the other features are completed only if they can still reach the floor.
-
-Steps 1 to 3 leave out only what cannot be among the best, so results are exact whatever the number of champions.
+the features both have. Questions and items are dealt into blocks by hash, and every block of questions meets every block
+of items in a task, which adds up whole scores from posting lists and lets only the best few items of each question out.
+So what is shuffled is features and a few results, while the pairs that meet, which grow with questions times items, stay
+numbers in an array of one block.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipworks.functions import groups
 from clipworks.sources.tables import materialize
 
-CHAMPIONS = 8
+#: Rows of wanted features and of offers that a block holds, on average.
+WANTED_ROWS, OFFER_ROWS = 500_000, 1_000_000
 
 
 def best_matches(wanted: DataFrame, offers: DataFrame, limits: dict[str, int], constants: DataFrame, first_items: DataFrame,
-                 key: str = "key", champions: int = CHAMPIONS) -> DataFrame:
+                 key: str = "key", champions: int | None = None, wanted_rows: int = WANTED_ROWS, offer_rows: int = OFFER_ROWS) -> DataFrame:
     """(key, kind, item, base, boost, score, rank): the best items of each kind for each question, ties to the smaller item.
 
     wanted(key, kind, feature, main, weight): ``main`` features make the base score, others only boost it; main weights
     are positive. offers(kind, item, feature, strength): one row per item and feature, strengths positive; boosts may be
-    negative if only a few items offer them (at most ``champions``). constants(key, kind, base, bias): ``base`` counts for
-    every item of the kind, ``bias`` for items with a base score. first_items(kind, item): the ``limits`` smallest items
-    of each kind, which fill up when a constant reaches every item. Scores of zero and below are no match.
+    negative if only a few items offer them. constants(key, kind, base, bias): ``base`` counts for every item of the kind,
+    ``bias`` for items with a base score. first_items(kind, item): the ``limits`` smallest items of each kind, which fill up
+    when a constant reaches every item. Scores of zero and below are no match. Weights and strengths are whole numbers.
+    ``champions`` has no effect.
     """
     common = constants.select(
         key, "kind", F.when(F.col("base") > 0, F.col("base") + F.col("bias")).otherwise(0).alias("everywhere"), F.col("base").alias("const"),
         F.when(F.col("base") > 0, 0).otherwise(F.col("bias")).alias("bias"))
     limit = _by_kind(limits)
-    value = F.col("weight") * F.col("strength")
-    sums = [F.sum(F.when(F.col("main"), value).otherwise(0)).alias("base"), F.sum(F.when(F.col("main"), 0).otherwise(value)).alias("boost")]
     with_bias = F.col("base") + F.col("boost") + F.when(F.col("base") > 0, F.col("bias")).otherwise(0)
 
-    stats = offers.groupBy("kind", "feature").agg(F.max("strength").alias("most"), F.count("*").alias("items"))
-    wanted = materialize(wanted.join(stats, ["kind", "feature"]).withColumn("bound", F.greatest(F.col("weight") * F.col("most"), F.lit(0))).drop("most"))
-    strongest = groups.top_k(offers, ["kind", "feature"], [F.desc("strength"), F.asc("item")], champions)
-    seen = wanted.join(strongest, ["kind", "feature"]).groupBy(key, "kind", "item").agg(*sums).join(common, [key, "kind"]).withColumn("score", with_bias)
-    kth = groups.top_k(seen.where(F.col("score") > 0), [key, "kind"], [F.desc("score")], max(limits.values()), rank="rank")
-    floor = kth.where(F.col("rank") == limit).select(key, "kind", F.col("score").alias("floor"))
-
-    bounds = common.join(floor, [key, "kind"], "left")
-    running = F.sum("bound").over(W.partitionBy(key, "kind").orderBy(F.desc("items"), "feature").rowsBetween(W.unboundedPreceding, 0))
-    split = wanted.withColumn("running", running).join(bounds, [key, "kind"])
-    split = materialize(split.withColumn("needed", F.coalesce(F.col("running") + F.col("bias") >= F.col("floor"), F.lit(True)))
-                        .select(key, "kind", "feature", "main", "weight", "bound", "needed"))
-    left_out = split.where("NOT needed")
-    rest = left_out.groupBy(key, "kind").agg(F.sum("bound").alias("rest"))
-    found = split.where("needed").join(offers, ["kind", "feature"]).groupBy(key, "kind", "item").agg(*sums)
-    reach = F.col("base") + F.col("boost") + F.coalesce("rest", F.lit(0)) + F.col("bias")
-    found = found.join(bounds, [key, "kind"]).join(rest, [key, "kind"], "left").where(F.col("floor").isNull() | (reach >= F.col("floor")))
-    found = materialize(found.select(key, "kind", "item", "base", "boost"))
-    more = found.select(key, "kind", "item").join(left_out, [key, "kind"]).join(offers, ["kind", "item", "feature"]).groupBy(key, "kind", "item").agg(*sums)
+    features = offers.select("kind", "feature").distinct().join(wanted.select("kind", "feature").distinct(), ["kind", "feature"])
+    features = materialize(features.withColumn("no", F.monotonically_increasing_id()))  # numbers of a kind's features are its own
+    asked = materialize(wanted.join(features, ["kind", "feature"]).join(common.select(key, "kind", "bias"), [key, "kind"])
+                        .select(key, "kind", "no", "main", F.col("weight").cast("bigint").alias("weight"), F.col("bias").cast("bigint").alias("bias")))
+    given = materialize(offers.join(features, ["kind", "feature"]).select("item", "no", F.col("strength").cast("bigint").alias("strength")))
+    rows, columns = (max(1, -(-df.count() // most)) for df, most in ((asked, wanted_rows), (given, offer_rows)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("row", deal(key, rows)).withColumn("column", every(columns)).groupBy("row", "column")
+    right = given.withColumn("column", deal("item", columns)).withColumn("row", every(rows)).groupBy("row", "column")
+    kind_of = dict(asked.dtypes)[key]
+    found = left.cogroup(right).applyInArrow(_block(key, limits), f"`{key}` {kind_of}, kind string, item string, base bigint, boost bigint")
     filled = common.where("everywhere > 0").join(first_items, "kind").select(key, "kind", "item", F.lit(0).alias("base"), F.lit(0).alias("boost"))
-    total = found.unionByName(more).unionByName(filled).groupBy(key, "kind", "item").agg(F.sum("base").alias("base"), F.sum("boost").alias("boost"))
+    total = found.unionByName(filled).groupBy(key, "kind", "item").agg(F.sum("base").alias("base"), F.sum("boost").alias("boost"))
     scored = total.join(common, [key, "kind"]).withColumn("score", with_bias + F.col("everywhere")).withColumn("base", F.col("base") + F.col("const"))
     best = groups.top_k(scored.where("score > 0"), [key, "kind"], [F.desc("score"), F.asc("item")], max(limits.values()), rank="rank")
     return best.where(F.col("rank") <= limit).select(key, "kind", "item", "base", "boost", "score", "rank")
 
 
+def _block(key: str, limits: dict[str, int]):
+    """Cogroup function: of some questions' features and some items' offers, the questions' best of these items, and all items below zero.
+
+    Items below zero go out because one of them may be a first item, which would else count as zero.
+    """
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([left.schema.field(key), ("kind", pa.string()), ("item", pa.string()), ("base", pa.int64()), ("boost", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        names = pc.unique(right.column("item").cast(pa.string()))
+        names = names.take(pc.sort_indices(names))  # smaller items have smaller numbers
+        item = pc.index_in(right.column("item").cast(pa.string()), names).to_numpy()
+        no, strength = right.column("no").to_numpy(), right.column("strength").to_numpy()
+        order = np.argsort(no, kind="stable")
+        no, item, strength = no[order], item[order], strength[order].astype(np.float64)
+        left = left.sort_by([(key, "ascending"), ("kind", "ascending")])
+        question = pa.StructArray.from_arrays([left.column(c).combine_chunks() for c in (key, "kind")], ["key", "kind"])
+        change = np.zeros(left.num_rows, bool)
+        for c in question.flatten():
+            change[1:] |= ~pc.equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+        change[0] = True
+        bound = np.append(np.flatnonzero(change), left.num_rows)
+        start, end = np.searchsorted(no, left.column("no").to_numpy()), np.searchsorted(no, left.column("no").to_numpy(), "right")
+        main, weight, bias = left.column("main").to_numpy(zero_copy_only=False).astype(bool), left.column("weight").to_numpy(), left.column("bias").to_numpy()
+        most = [limits.get(k, 0) for k in left.column("kind").take(pa.array(bound[:-1])).to_pylist()]
+        sums = np.zeros((2, len(names)))
+        out = [[], [], [], []]
+        for n, (lo, hi) in enumerate(zip(bound, bound[1:])):
+            met = []
+            for f in range(lo, hi):
+                some = item[start[f]:end[f]]  # an item offers a feature once
+                sums[0 if main[f] else 1, some] += weight[f] * strength[start[f]:end[f]]
+                met.append(some)
+            seen = np.unique(np.concatenate(met))
+            base, boost = sums[:, seen]
+            sums[:, seen] = 0
+            score = base + boost + np.where(base > 0, bias[lo], 0)
+            keep = np.arange(len(seen))
+            if len(seen) > most[n] > 0:
+                keep = np.flatnonzero(score >= np.partition(score, len(score) - most[n])[len(score) - most[n]])
+            keep = keep[np.lexsort((seen[keep], -score[keep]))][:most[n]]
+            keep = np.union1d(keep, np.flatnonzero(score < 0))
+            for c, values in zip(out, (np.full(len(keep), lo), seen[keep], base[keep], boost[keep])):
+                c.append(values)
+        at, which, base, boost = (np.concatenate(c).astype(np.int64) for c in out)
+        return pa.Table.from_arrays([left.column(key).take(pa.array(at)), left.column("kind").take(pa.array(at)), names.take(pa.array(which)), pa.array(base), pa.array(boost)], schema=schema)
+
+    return block
+
+
 def _by_kind(limits: dict[str, int]) -> Column:
     out = F.lit(0)
     for kind, k in limits.items():

@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
+from clipworks.functions import sparse
 from clipworks.operators import derive, retrieval
 from clipworks.plans import graph_queries
 
@@ -42,3 +43,24 @@ def test_values_and_texts_meet_only_where_they_can_hit(spark):
     bits = spark.sparkContext.broadcast(retrieval._filter(starts, starts.count()))
     meetings = texts.select(F.explode(retrieval._offered(bits)("text")).alias("start")).join(starts, "start").count()
     assert meetings < 2 * len(expect)
+
+
+def test_best_matches_over_many_blocks(spark):
+    """Only the best of each block leave it: no row for each question and item that meet."""
+    offers = [("a", f"i{n:04}", f"f{f}", 1 + (n * f) % 5) for n in range(400) for f in range(6) if (n + f) % 3]
+    wanted = [(q, "a", f"f{f}", f < 4, 1 + (q + f) % 4 if f < 4 or q % 2 else -2) for q in range(30) for f in range(6) if (q * f) % 4 != 1]
+    o = spark.createDataFrame(offers, "kind string, item string, feature string, strength long")
+    w = spark.createDataFrame(wanted, "key long, kind string, feature string, main boolean, weight long")
+    c = spark.createDataFrame([(q, "a", 2 * (q % 3 == 0), 5) for q in range(30)], "key long, kind string, base long, bias long")
+    first = spark.createDataFrame([("a", f"i{n:04}") for n in range(7)], "kind string, item string")
+    one = sparse.best_matches(w, o, {"a": 7}, c, first)
+    many = sparse.best_matches(w, o, {"a": 7}, c, first, wanted_rows=20, offer_rows=100)
+    score = F.sum(F.when(F.col("main"), F.col("weight") * F.col("strength")).otherwise(0)), F.sum(F.when(F.col("main"), 0).otherwise(F.col("weight") * F.col("strength")))
+    met = w.join(o, ["kind", "feature"]).groupBy("key", "kind", "item").agg(score[0].alias("s"), score[1].alias("t")).join(c, ["key", "kind"])
+    total = met.select("key", "item", (F.col("s") + F.col("base") + F.col("t") + F.when(F.col("s") + F.col("base") > 0, F.col("bias")).otherwise(0)).alias("score")).where("score > 0")
+    plain = {}
+    for r in total.collect():
+        plain.setdefault(r.key, []).append((-r.score, r.item))
+    expect = {(q, item, -s, n) for q, rows in plain.items() for n, (s, item) in enumerate(sorted(rows)[:7], 1)}
+    assert {tuple(r) for r in one.select("key", "item", "score", "rank").collect()} == expect
+    assert {tuple(r) for r in many.collect()} == {tuple(r) for r in one.collect()}
