@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from clipworks import config
@@ -95,15 +95,15 @@ def first_non_blank(*cols) -> Column:
     return F.coalesce(*[F.nullif(clean(c), F.lit("")) for c in cols], F.lit(""))
 
 
-@pandas_udf(StringType())
-def nfkd(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def nfkd(s: pa.Array) -> pa.Array:
     """Unicode NFKD: the one fold that Spark has no built-in function for."""
-    return s.str.normalize("NFKD")
+    return pc.utf8_normalize(s, "NFKD")
 
 
-@pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+@F.arrow_udf(StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(s, "NFKC")
 
 
 def slug(title_col, code_col, url_col, folded: bool = False) -> Column:

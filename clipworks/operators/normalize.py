@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipworks import config
 from clipworks.functions import dates, text
 from clipworks.functions.text import col_of
+from clipworks.session import bounded_batches
 
 
 def clean_text(df: DataFrame, cols) -> DataFrame:
@@ -39,6 +40,7 @@ def add_slug(df: DataFrame, title_col="title", code_col="source", url_col="url")
 
 
 def route_segments(df: DataFrame, id_col="id", slug_col="slug") -> DataFrame:
+    bounded_batches(df.sparkSession)
     return df.withColumn("route", text.route_segment(id_col, slug_col))
 
 

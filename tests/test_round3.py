@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 from clipworks.functions import sparse
-from clipworks.operators import derive, retrieval
+from clipworks.operators import derive, normalize, retrieval
 from clipworks.plans import graph_queries
 
 
@@ -64,3 +64,14 @@ def test_best_matches_over_many_blocks(spark):
     expect = {(q, item, -s, n) for q, rows in plain.items() for n, (s, item) in enumerate(sorted(rows)[:7], 1)}
     assert {tuple(r) for r in one.select("key", "item", "score", "rank").collect()} == expect
     assert {tuple(r) for r in many.collect()} == {tuple(r) for r in one.collect()}
+
+
+def test_route_texts_go_to_python_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    df = spark.createDataFrame([(1, "ﬁne Ａ/b%", ), (2, "")], "id INT, slug STRING")
+    routes = normalize.route_segments(df).orderBy("id")
+    assert int(spark.conf.get(key)) <= 1000
+    assert [r.route for r in routes.collect()] == ["1-fine-A-b", "2"]
+    spark.conf.set(key, before)
