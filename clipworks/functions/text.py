@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -95,15 +96,20 @@ def first_non_blank(*cols) -> Column:
     return F.coalesce(*[F.nullif(clean(c), F.lit("")) for c in cols], F.lit(""))
 
 
+def _folded(s: pa.Array, form: str) -> pa.Array:
+    """One text at a time; Arrow's own ``utf8_normalize`` leaves NFKC decomposed."""
+    return pa.array((None if t is None else normalize(form, t) for t in (x.as_py() for x in s)), pa.string())
+
+
 @F.arrow_udf(StringType())
 def nfkd(s: pa.Array) -> pa.Array:
     """Unicode NFKD: the one fold that Spark has no built-in function for."""
-    return pc.utf8_normalize(s, "NFKD")
+    return _folded(s, "NFKD")
 
 
 @F.arrow_udf(StringType())
 def nfkc(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, "NFKC")
+    return _folded(s, "NFKC")
 
 
 def slug(title_col, code_col, url_col, folded: bool = False) -> Column:

@@ -70,8 +70,8 @@ def test_route_texts_go_to_python_in_bounded_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, "10000")
-    df = spark.createDataFrame([(1, "ﬁne Ａ/b%", ), (2, "")], "id INT, slug STRING")
+    df = spark.createDataFrame([(1, "ﬁne Ａ/b%"), (2, ""), (3, "É" * 90), (4, "E\u0301" * 90)], "id INT, slug STRING")
     routes = normalize.route_segments(df).orderBy("id")
     assert int(spark.conf.get(key)) <= 1000
-    assert [r.route for r in routes.collect()] == ["1-fine-A-b", "2"]
+    assert [r.route for r in routes.collect()] == ["1-fine-A-b", "2", "3-" + "É" * 80, "4-" + "É" * 80]
     spark.conf.set(key, before)
