@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pickle
 import random
 import re
 import zlib
@@ -301,6 +302,19 @@ def test_lm_scores_each_token_once_with_proper_probabilities():
     assert np.allclose(longer[:12], model.token_logs(ids, np.array([0, 12])), atol=1e-4)  # causal
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_CHARS", 8000)
+    texts = [f"alpha beta {'zeta eta' if i % 40 == 0 else 'gamma'} {i}" for i in range(1500)]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(9000, None, "a"), (9001, "left out", "a")])
+    model = pickle.loads(lm.train_model(docs, "doc_id", "text", F.col("doc_id") != 9001, pieces.MODEL))
+    data, offsets = tb.flat(pa.array(texts))
+    ids = lm.tokens(data, offsets, pieces.MODEL)[2]
+    assert model.learnt == len(ids)  # over several shards and rounds, each token once
+    counts = np.bincount(ids, minlength=len(model.slot))
+    assert np.array_equal(model.slot, lm.Attention(counts.astype(float)).slot)
+    assert np.isfinite(model.flat()).all() and not np.allclose(model.flat(), lm.Attention(counts.astype(float)).flat())
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 def test_pieces(spark, odd):
     machine = pieces.automaton()
