@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipworks.functions import groups, terms, text, urls
 from clipworks.operators import tagging
+from clipworks.sources.tables import materialize
 
 
 def rate(part, whole):
@@ -44,9 +45,16 @@ def quality_audit(checked: DataFrame, target: int, language: str = "zh") -> Data
     })
 
 
+def reason_counts(sets: DataFrame, reasons="reasons") -> DataFrame:
+    """(reason, n) from counted sets of reasons. A plain explode would bring a filter on the set, which is pushed below
+    the checks and makes all of them twice."""
+    each = sets.select(F.explode_outer(reasons).alias("reason"), "n").filter("reason IS NOT NULL")
+    return each.groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 def top_reasons(df: DataFrame, k: int = 10, reasons="reasons") -> DataFrame:
     """Most frequent reasons with counts; ties by name."""
-    counts = df.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    counts = reason_counts(df.groupBy(reasons).agg(F.count("*").alias("n")), reasons)
     return counts.orderBy(F.desc("n"), "reason").limit(k)
 
 
@@ -55,18 +63,18 @@ def mark_duplicates(df: DataFrame, id_col: str, keys, order=()) -> DataFrame:
 
 
 def problems(checked: DataFrame, id_col="id") -> DataFrame:
-    return checked.select(id_col, F.explode("reasons").alias("reason"))
+    return checked.select(id_col, F.explode_outer("reasons").alias("reason")).filter("reason IS NOT NULL")  # the checks are made once
 
 
 def assert_report(checked: DataFrame) -> DataFrame:
     """Long report ``(metric, n)``: total, qualified, problem count and one row per reason."""
-    totals = checked.agg(
-        F.count("*").alias("total"), F.count_if("qualified").alias("qualified"),
-        F.sum(F.size("reasons")).cast("bigint").alias("problems"))
+    sets = materialize(checked.groupBy("reasons", "qualified").agg(F.count("*").alias("n")))  # a few sets of reasons, counted in one pass
+    sums = {"total": F.col("n"), "qualified": F.when(F.col("qualified"), F.col("n")).otherwise(0), "problems": F.size("reasons") * F.col("n")}
+    totals = sets.agg(*[F.sum(c).alias(m) for m, c in sums.items()])
+    totals = totals.withColumns({m: F.coalesce(m, F.lit(0)) for m in ("total", "qualified")})
     wide = totals.select(F.explode(F.map_from_arrays(
         F.array(*[F.lit(c) for c in totals.columns]), F.array(*totals.columns))).alias("metric", "n"))
-    counts = checked.select(F.explode("reasons").alias("metric")).groupBy("metric").agg(F.count("*").alias("n"))
-    return wide.unionByName(counts)
+    return wide.unionByName(reason_counts(sets).withColumnRenamed("reason", "metric"))
 
 
 def problem_samples(checked: DataFrame, k: int = 20, id_col="id") -> DataFrame:
