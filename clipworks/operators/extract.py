@@ -207,7 +207,7 @@ def rank_candidates(cands: DataFrame, k: int, required=config.REQUIRED_TERMS, hi
 
 def _xml(item: Column, tag: str) -> Column:
     raw = F.regexp_extract(item, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
-    return F.nullif(html.to_text(F.regexp_replace(raw, r"<!\[CDATA\[|\]\]>", "")), F.lit(""))
+    return let(html.to_text(F.regexp_replace(raw, r"<!\[CDATA\[|\]\]>", "")), lambda t: F.when(t != "", t))  # nullif would make the text twice
 
 
 def explode_feed(payloads: DataFrame, id_col="feed_id", col="payload", base="url", max_categories: int | None = None) -> DataFrame:

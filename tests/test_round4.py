@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clipworks.operators import audit
+from clipworks.operators import audit, extract
 from clipworks.plans import review_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,3 +30,11 @@ def test_checks_are_made_once(spark):
     assert got == {("total", 3), ("qualified", 1), ("problems", 3), ("a", 2), ("b", 1)} and calls.value == 3
     assert {tuple(r) for r in audit.assert_report(rows.where("false")).collect()} == {("total", 0), ("qualified", 0), ("problems", None)}
     assert [tuple(r) for r in audit.problems(rows).orderBy("id", "reason").collect()] == [(1, "a"), (1, "b"), (3, "a")]
+
+
+def test_feed_texts_are_made_once(spark):
+    """nullif made every text twice."""
+    expression = extract._xml(F.col("item"), "title")._jc.toString()
+    assert "nullif" not in expression
+    rows = spark.createDataFrame([("<item><title><![CDATA[a &amp; <b>b</b>]]></title></item>",), ("<item><title> </title></item>",), ("<item/>",)], "item STRING")
+    assert [r[0] for r in rows.select(extract._xml(F.col("item"), "title")).collect()] == ["a & b", None, None]
