@@ -150,13 +150,17 @@ def term_key(c) -> Column:
 
 
 def keyword_term(c, blocked=config.BLOCKED_KEYWORDS) -> Column:
-    """Normalized keyword or '': edge dashes and end punctuation off, Latin words in lower case."""
+    """Normalized keyword or '': edge dashes and end punctuation off, Latin words in lower case.
+
+    A word of letters and marks that no step touches is passed on as it is: most words are.
+    """
     def good(t):
         return ~t.isin(list(blocked)) & F.length(t).between(2, 24)
 
     trimmed = F.regexp_replace(F.regexp_replace(clean(c), r"^[—-]+|[—-]+$", ""), r"[：:，,。；;、]+$", "")
     folded = let(trimmed, lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z\s-]+$"), F.lower(t)).otherwise(t))
-    return let(folded, lambda t: F.when(good(t), t).otherwise(F.lit("")))
+    plain = col_of(c).rlike(r"\A[^\s\xA0—\-：:，,。；;、A-Z]+\z")
+    return let(F.when(plain, col_of(c)).otherwise(folded), lambda t: F.when(good(t), t).otherwise(F.lit("")))
 
 
 def clamp(c, n: int, ellipsis: str = "...") -> Column:

@@ -107,7 +107,7 @@ def split_keywords(df: DataFrame, col: str, blocked=config.BLOCKED_KEYWORDS, out
 
 def normalize_terms(df: DataFrame, col: str, blocked=config.BLOCKED_KEYWORDS) -> DataFrame:
     """Array column of terms, normalized, empties dropped, first occurrence kept."""
-    terms = F.transform(F.col(col), lambda t: text.keyword_term(t, blocked))
+    terms = F.transform(F.array_distinct(col), lambda t: text.keyword_term(t, blocked))
     return df.withColumn(col, F.array_distinct(F.filter(terms, lambda t: t != "")))
 
 

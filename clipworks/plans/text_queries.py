@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clipworks.functions import groups
 from clipworks.operators import normalize as ops
 from clipworks.plans import sqlkit as k
 from clipworks.plans.registry import query
@@ -188,9 +189,10 @@ WITH w AS (SELECT doc_id, unnest(string_split({BODY}, ' ')) AS t FROM documents)
 SELECT doc_id, count(*) AS n_terms, md5(string_agg(t, '|' ORDER BY t)) AS terms FROM c GROUP BY doc_id""")
 def normalize_terms(spark, d):
     docs = ops.clean_text(load_table(spark, d, "documents"), ["text"]).select("doc_id", F.split("text", " ").alias("terms"))
-    docs = ops.normalize_terms(docs, "terms", blocked=["the", "que"]).filter(F.size("terms") > 0)
+    docs = ops.normalize_terms(docs, "terms", blocked=["the", "que"])
+    docs = groups.keep_computed(docs, {"terms": F.sort_array("terms")}, lambda x: F.size(x["terms"]) > 0)
     return docs.select("doc_id", F.size("terms").cast("bigint").alias("n_terms"),
-                       F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms"))
+                       F.md5(F.array_join("terms", "|")).alias("terms"))
 
 
 @query("tx17_strip_term_suffix", """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clipworks.operators import audit, extract
+from clipworks.operators import audit, extract, normalize
 from clipworks.plans import review_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,3 +38,10 @@ def test_feed_texts_are_made_once(spark):
     assert "nullif" not in expression
     rows = spark.createDataFrame([("<item><title><![CDATA[a &amp; <b>b</b>]]></title></item>",), ("<item><title> </title></item>",), ("<item/>",)], "item STRING")
     assert [r[0] for r in rows.select(extract._xml(F.col("item"), "title")).collect()] == ["a & b", None, None]
+
+
+def test_plain_words_are_passed_on(spark):
+    words = ["plain", "Word", "x", "the", "The", "tail,", "—dash-", "a b", "\u00a0hard\u00a0", "caf\u00e9", "CAF\u00c9", "R2D2", "new\n", "line\n", "don't", "", "plain", "y" * 24, "y" * 25, None]
+    df = spark.createDataFrame([(1, words)], "id INT, terms ARRAY<STRING>")
+    got = normalize.normalize_terms(df, "terms", blocked=["the"]).first()["terms"]
+    assert got == ["plain", "word", "tail", "dash", "a b", "hard", "caf\u00e9", "CAF\u00c9", "R2D2", "new", "line", "don't", "y" * 24]
