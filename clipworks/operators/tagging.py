@@ -70,8 +70,9 @@ ANCHOR = 6
 def match_term_table(df, table, id_col, col, word_boundary=False, ignore_case=False) -> DataFrame:
     """Term tables of any size: documents and terms meet on the first characters of each term, then the hit is verified.
 
-    Anchors have up to six characters, so few wrong pairs arise; a document offers each distinct piece once. The
-    text itself is not carried through the meeting join, only ids are.
+    Anchors have up to six characters, so few wrong pairs arise; a document offers each distinct piece once. A table that
+    is broadcast meets the texts where they lie. With a larger one the text itself is not carried through the meeting
+    join, only ids are.
     """
     fold = F.lower if ignore_case or word_boundary else (lambda c: c)
     docs = df.select(F.col(id_col), fold(F.coalesce(F.col(col), F.lit(""))).alias("_hay"))
@@ -81,16 +82,25 @@ def match_term_table(df, table, id_col, col, word_boundary=False, ignore_case=Fa
     if not sizes:
         return docs.limit(0).select(id_col, F.lit("").alias("term"))
     pieces = F.concat(*[F.regexp_extract_all("_hay", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
-    starts = docs.select(id_col, F.explode(F.array_distinct(pieces)).alias("_start"))
-    pairs = starts.join(keyed, "_start").select(id_col, "term")
+    small = bounded_terms(keyed)
+    offered = F.explode(F.array_distinct(pieces)).alias("_start")
     needle = fold(F.col("term"))
     hit = F.contains(F.col("_hay"), needle)
     if word_boundary:
         bounded = F.concat(F.lit(rf"(?<!{terms.WORD})\Q"), needle, F.lit(rf"\E(?!{terms.WORD})"))
         hit = hit & (needle.rlike("[一-龥]") | F.regexp_like(F.col("_hay"), bounded))
+    if small is not None:
+        return docs.select(id_col, "_hay", offered).join(small, "_start").filter(hit).select(id_col, "term")
+    pairs = docs.select(id_col, offered).join(keyed, "_start").select(id_col, "term")
     return pairs.join(docs, id_col).filter(hit).select(id_col, "term")
 
 
+def bounded_terms(keyed: DataFrame, rows: int = groups.SMALL_SIDE, chars: int = 4_000_000):
+    """``keyed`` (term, _start) for a broadcast, if it proves to hold few terms and characters, else None."""
+    some = keyed.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    return F.broadcast(keyed) if some.n <= rows and some.chars <= chars else None
+
+
 def resolve_alias_term(df: DataFrame, alias_map: dict, col="body", out="canonical_term") -> DataFrame:
     """First canonical term, in map order, one of whose aliases is in the text; else ''."""
     df = df.withColumn("_low", F.lower(col_of(col))).withColumn("_norm", terms.spaced(F.col("_low")))

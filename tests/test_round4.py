@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clipworks.operators import audit, extract, normalize
+from clipworks.operators import audit, extract, normalize, tagging
 from clipworks.plans import review_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +45,14 @@ def test_plain_words_are_passed_on(spark):
     df = spark.createDataFrame([(1, words)], "id INT, terms ARRAY<STRING>")
     got = normalize.normalize_terms(df, "terms", blocked=["the"]).first()["terms"]
     assert got == ["plain", "word", "tail", "dash", "a b", "hard", "caf\u00e9", "CAF\u00c9", "R2D2", "new", "line", "don't", "y" * 24]
+
+
+def test_small_term_tables_meet_texts_where_they_lie(spark):
+    """The texts were joined again by id to verify a hit."""
+    docs = spark.createDataFrame([(n, f"the number{n} and numbering {n}") for n in range(300)], "id INT, body STRING")
+    table = spark.createDataFrame([(f"number{n}",) for n in range(500)] + [("numbering",), ("none of these",), ("n",)], "term STRING")
+    hits = tagging.match_term_table(docs, table, "id", "body")
+    want = docs.crossJoin(table).where("contains(body, term)").select("id", "term").collect()
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want))
+    plan = tagging.match_term_table(docs, table, "id", "body")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
