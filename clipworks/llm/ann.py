@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipworks.functions.groups import top_k
+from clipworks.llm.frames import bounded_batches
 from clipworks.sources.tables import materialize
 
 #: Neighbours kept of a vector, reverse ones looked at, rounds of NN-descent, bucketings to start from and rows of a bucket.
 DEGREE, REVERSE, ROUNDS, BUCKETINGS, BUCKET = 40, 40, 4, 6, 512
 #: Candidates each comparison hands on per vector; vectors a search keeps at least, and the share of them it opens at a time.
 HANDED, BEAM, OPENED = 12, 224, 4
+#: Vectors of neighbour lists that are unpacked at a time, and lists handed to Python at a time.
+SCORED, LISTS = 4096, 500
 #: Queries whose recall is measured, and the recall below which a search keeps twice as many.
 MEASURED, RECALL = 64, 0.95
 
@@ -57,7 +60,8 @@ def codes(column) -> np.ndarray:
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, 1))
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(len(column), -1)
     return raw[:, 8:].view(np.int8) * np.ascontiguousarray(raw[:, :8]).view(np.float64)
 
 
@@ -112,10 +116,10 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, turn: int) -> DataF
     @F.arrow_udf("array<struct<u:long,v:long,s:double>>")
     def join(m: pa.Array) -> pa.Array:
         flat, size = m.flatten(), m.value_lengths().to_numpy(zero_copy_only=False)
-        ids, floors, x = flat.field("id").to_numpy(), flat.field("floor").to_numpy(), codes(flat.field("code"))
+        ids, floors, code = flat.field("id").to_numpy(), flat.field("floor").to_numpy(), flat.field("code")
         us, vs, ss, n, at = [], [], [], [0], 0
         for k in size:
-            u, v, s = best_pairs(ids[at:at + k], x[at:at + k], floors[at:at + k], None, HANDED)
+            u, v, s = best_pairs(ids[at:at + k], codes(code.slice(at, k)), floors[at:at + k], None, HANDED)
             us.append(u); vs.append(v); ss.append(s)  # noqa: E702
             n.append(n[-1] + len(u))
             at += k
@@ -156,9 +160,9 @@ def search(lists: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     @F.arrow_udf("array<struct<id:long,s:double>>")
     def near(code: pa.Array, floor: pa.Array, m: pa.Array) -> pa.Array:
         flat, size = m.flatten(), m.value_lengths().to_numpy(zero_copy_only=False)
-        x, q = codes(flat.field("code")), codes(code)
-        row = np.repeat(np.arange(len(size)), size)
-        s = np.einsum("ij,ij->i", x, q[row]) if len(row) else np.zeros(0)
+        held, q, row = flat.field("code"), codes(code), np.repeat(np.arange(len(size)), size)
+        cut = range(0, len(row), SCORED)
+        s = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", codes(held.slice(a, SCORED)), q[row[a:a + SCORED]]) for a in cut]])
         hit = s > floor.to_numpy(zero_copy_only=False)[row]
         n = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(size)))]).astype(np.int32)
         rows = pa.StructArray.from_arrays([pa.array(flat.field("id").to_numpy()[hit]), pa.array(s[hit].astype(np.float64))], ["id", "s"])
@@ -209,6 +213,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     smallest vector. Equal vectors are one place in the graph, which stands for the k + 1 smallest of their ids; more
     could not be among the nearest. Other columns are not read.
     """
+    bounded_batches(vectors, LISTS)
     rows = vectors.withColumn("_q", is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), "_q") if "_q" not in vectors.columns else vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("_q"))
     once = rows.where("id IS NOT NULL").where(usable("v")).groupBy("id").agg(F.min("v").alias("v"), F.max(F.coalesce("_q", F.lit(False))).alias("q"))
     once = materialize(once)
