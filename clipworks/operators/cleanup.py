@@ -57,18 +57,23 @@ def fill_bodies(versions: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def plan_date_cleanup(heads: DataFrame, versions: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Versions outside the range go; their heads point to the newest version inside it or go too."""
+    """Versions outside the range go; their heads point to the newest version inside it or go too.
+
+    Heads and versions meet in one grouped pass that is combined before the shuffle. Its marks are plain columns, so where
+    only the actions are read (a count of them) the pick and the sort it needs are left out.
+    """
     low, high = F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")
     at = F.col("published_at")
     dated = versions.select("news_id", "version_id", at.alias("_at"), ((at < low) | (at > high)).alias("_out"))
-    dated = dated.join(heads.select("news_id"), "news_id", "left_semi")
-    state = dated.groupBy("news_id").agg(
-        F.max("_out").alias("_hit"),
-        F.max(F.when(~F.col("_out"), F.struct("_at", "version_id"))).getField("version_id").alias("_pick")).filter("_hit")
-    moved = state.filter("_pick IS NOT NULL").select(F.lit("set_current").alias("action"), "news_id", F.col("_pick").alias("version_id"))
-    gone = state.filter("_pick IS NULL").select(F.lit("delete_head").alias("action"), "news_id", F.lit(None).cast("bigint").alias("version_id"))
-    drop = dated.filter("_out").select(F.lit("delete_version").alias("action"), "news_id", "version_id")
-    return moved.unionByName(gone).unionByName(drop)
+    marks = dated.withColumn("_head", F.lit(False)).unionByName(heads.select("news_id", F.lit(True).alias("_head")), allowMissingColumns=True)
+    state = marks.filter("news_id IS NOT NULL").groupBy("news_id").agg(
+        F.max("_head").alias("_known"), F.max("_out").alias("_hit"),
+        F.max(F.when(~F.col("_out"), F.col("_at"))).alias("_last"), F.max(F.when(~F.col("_out") & F.col("version_id").isNotNull(), F.col("_at"))).alias("_named"),
+        F.max(F.when(~F.col("_out"), F.struct("_at", "version_id"))).getField("version_id").alias("_pick")).filter("_known AND _hit")
+    done = state.select(F.when(F.col("_last") == F.col("_named"), "set_current").otherwise("delete_head").alias("action"), "news_id", F.col("_pick").alias("version_id"))
+    parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # ids compress well: partitions joined by bytes sort too many rows in one task
+    drop = dated.filter("_out").repartition(parts, "news_id").join(heads.select("news_id").repartition(parts, "news_id"), "news_id", "left_semi")
+    return done.unionByName(drop.select(F.lit("delete_version").alias("action"), "news_id", "version_id"))
 
 
 def plan_source_delete(sources: DataFrame, heads: DataFrame, versions: DataFrame) -> DataFrame:
