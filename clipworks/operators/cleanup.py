@@ -89,16 +89,23 @@ def plan_source_delete(sources: DataFrame, heads: DataFrame, versions: DataFrame
 
 
 def apply_cleanup(heads: DataFrame, versions: DataFrame, plan: DataFrame):
-    """``(heads, versions)`` after a plan; heads left pointing at a deleted version move to their newest one."""
+    """``(heads, versions)`` after a plan; heads left pointing at a deleted version move to their newest one.
+
+    The plan and the keys of what is left are written once as narrow tables, since several branches read them; the newest
+    version is looked up only for heads whose own is gone.
+    """
+    plan = materialize(plan.select("action", "news_id", "version_id"))
     drop = plan.filter("action = 'delete_version'").select("version_id")
     gone = plan.filter("action = 'delete_head'").select("news_id")
     moved = plan.filter("action = 'set_current'").select("news_id", F.col("version_id").alias("_to"))
     left = versions.join(drop, "version_id", "left_anti").join(gone, "news_id", "left_anti")
+    keys = materialize(left.select("news_id", "version_id", "published_at"))
     kept = heads.join(gone, "news_id", "left_anti").join(moved, "news_id", "left").withColumn(
         "current_version_id", F.coalesce("_to", "current_version_id")).drop("_to")
-    live = left.select("version_id", F.lit(True).alias("_live"))
+    live = keys.select("version_id", F.lit(True).alias("_live"))
     checked = kept.join(live, kept.current_version_id == live.version_id, "left").drop("version_id")
-    newest = left.groupBy("news_id").agg(F.max(F.struct("published_at", "version_id")).getField("version_id").alias("_newest"))
+    lost = kept.join(keys.select(F.col("version_id").alias("current_version_id")), "current_version_id", "left_anti").select("news_id")
+    newest = keys.join(lost, "news_id", "left_semi").groupBy("news_id").agg(F.max(F.struct("published_at", "version_id")).getField("version_id").alias("_newest"))
     fixed = checked.join(newest, "news_id", "left").filter(F.col("_live") | F.col("_newest").isNotNull())
     fixed = fixed.withColumn("current_version_id", F.when(F.col("_live"), F.col("current_version_id")).otherwise(F.col("_newest")))
     return fixed.drop("_live", "_newest"), left
