@@ -38,15 +38,22 @@ def plan_noncompliant_cleanup(heads: DataFrame, versions: DataFrame, ok="qualifi
     return _plan(heads, versions, ok, F.struct(F.col("published_at"), -F.col("version_id")))
 
 
+def latest_fetches(heads: DataFrame, empty: DataFrame, fetches: DataFrame, url="original_url") -> DataFrame:
+    """``(version_id, url, fetch_id)``: the latest fetch for each current version among ``empty`` (version_id, url), those without a body.
+
+    fetches(url, fetch_id) lists the fetches that brought a text. No text is read here.
+    """
+    lacking = empty.select("version_id", url).join(heads.select(F.col("current_version_id").alias("version_id")), "version_id", "left_semi")
+    return fetches.groupBy(url).agg(F.max("fetch_id").alias("fetch_id")).join(lacking, url).select("version_id", url, "fetch_id")
+
+
 def body_backfill(heads: DataFrame, versions: DataFrame, fetches: DataFrame, url="original_url") -> DataFrame:
     """``(version_id, body)`` for current versions without a body whose page was fetched: the text of the latest fetch.
 
     fetches(url, page_text, fetch_id).
     """
-    empty = versions.filter(F.coalesce("body", F.lit("")) == "").select("version_id", url).join(
-        heads.select(F.col("current_version_id").alias("version_id")), "version_id", "left_semi")
     some = fetches.filter("page_text <> ''")
-    latest = some.groupBy(url).agg(F.max("fetch_id").alias("fetch_id")).join(empty, url)
+    latest = latest_fetches(heads, versions.filter(F.coalesce("body", F.lit("")) == ""), some.select(url, "fetch_id"), url)
     return latest.join(some, [url, "fetch_id"]).groupBy("version_id").agg(F.max("page_text").alias("body"))
 
 
