@@ -206,6 +206,40 @@ def test_query_and_stage_remove_whole_runs(spark, tmp_path):
     assert {r.doc_id: (r.removed_lines, r.kept_chars) for r in out} == {k: (4 * (k > 0), len(t)) for k, t in want.items()}
 
 
+def test_runs_meet_in_content_defined_chunks():
+    """Every passage lies in one chunk, and boundaries inside a passage come out alike after any insertion before it."""
+    def chunks(text):
+        rows = pa.Table.from_batches(line_dedup.passage_rows()([pa.record_batch([pa.array([7]), pa.array([text])], ["id", "text"])])).to_pylist()
+        assert [r["no"] for r in rows] == list(range(text.count("\n")))
+        assert all(r["chunk_no"] <= r["no"] < r["last"] <= r["chunk_last"] for r in rows)
+        spans = sorted({(r["chunk_no"], r["chunk_last"]) for r in rows})
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))  # the boundary line is in both
+        return {r["chunk_h"]: "\n".join(text.split("\n")[r["chunk_no"]:r["chunk_last"] + 1]) for r in rows}
+
+    lines = [f"line {k * k}" for k in range(60)]
+    whole, moved = chunks("\n".join(lines)), chunks("\n".join(["new", "newer", *lines[5:]]))
+    shared = whole.keys() & moved.keys()
+    assert len(shared) >= 5 and all(whole[h] == moved[h] for h in shared)
+    assert max(t.count("\n") for t in whole.values()) > 1
+
+
+def test_runs_are_compared_by_bytes(spark):
+    def thue_morse(k, a="a", b="b"):
+        return a if k == 0 else thue_morse(k - 1, a, b) + thue_morse(k - 1, b, a)
+
+    one, other = thue_morse(12), thue_morse(12, "b", "a")
+    h = line_dedup.digests(*tb.flat(pa.array([one + other]))[:1], np.array([0, 4096]), np.array([4096, 8192]))
+    assert h[0] == h[1]  # no hash of running sums tells these apart
+    texts = {1: f"x\n{one}\ny", 2: f"x\n{other}\ny", 3: f"0\nx\n{other}\ny\n1", 4: f"{one}\ny"}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(frame(spark, [(i, t, "a") for i, t in texts.items()]), drop_emptied=False).collect()}
+    assert got == {1: texts[1], 2: texts[2], 3: "0\n1", 4: ""}
+    rng = random.Random(8)
+    texts = {i: "\n".join(rng.choice("abcdefghijkl") * rng.randrange(1, 4) for _ in range(12)) for i in range(30)}
+    gone = repeated_runs(texts)
+    got = line_dedup.dedup_runs(frame(spark, [(i, t, "a") for i, t in texts.items()]), drop_emptied=False, size=1).collect()
+    assert {r.doc_id: r.text for r in got} == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def test_mixing_reaches_target_weights(spark):
     docs = frame(spark, [(k, f"t{k}", ["big", "small", None][(k % 10 > 6) + (k % 10 > 8)]) for k in range(3000)])
