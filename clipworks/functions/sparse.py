@@ -2,7 +2,7 @@
 
 A question wants features with weights, an item offers features with strengths, and a score sums weight x strength over
 the features both have. Questions and items are dealt into blocks by hash, and every block of questions meets every block
-of items in a task, which adds up whole scores from posting lists and lets only the best few items of each question out.
+of items in a task, which adds up whole scores from posting lists, many questions at once, and lets only the best few items of each question out.
 So what is shuffled is features and a few results, while the pairs that meet, which grow with questions times items, stay
 numbers in an array of one block.
 """
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from clipworks.functions import groups
 from clipworks.sources.tables import materialize
 
-#: Rows of wanted features and of offers that a block holds, on average.
-WANTED_ROWS, OFFER_ROWS = 500_000, 1_000_000
+#: Rows of wanted features and of offers that a block holds, on average, at most; small tables are dealt over all cores.
+WANTED_ROWS, OFFER_ROWS = 1_000_000, 4_000_000
+#: Cells of questions and items, and pairs that meet, that are added up at once.
+CELLS = 1 << 18
 
 
 def best_matches(wanted: DataFrame, offers: DataFrame, limits: dict[str, int], constants: DataFrame, first_items: DataFrame,
@@ -45,6 +47,8 @@ def best_matches(wanted: DataFrame, offers: DataFrame, limits: dict[str, int], c
                         .select(key, "kind", "no", "main", F.col("weight").cast("bigint").alias("weight"), F.col("bias").cast("bigint").alias("bias")))
     given = materialize(offers.join(features, ["kind", "feature"]).select("item", "no", F.col("strength").cast("bigint").alias("strength")))
     rows, columns = (max(1, -(-df.count() // most)) for df, most in ((asked, wanted_rows), (given, offer_rows)))
+    cores = wanted.sparkSession.sparkContext.defaultParallelism
+    columns = max(columns, min(-(-cores // rows), -(-given.count() // max(1, offer_rows // 16))))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("row", deal(key, rows)).withColumn("column", every(columns)).groupBy("row", "column")
@@ -74,7 +78,7 @@ def _block(key: str, limits: dict[str, int]):
         no, strength = right.column("no").to_numpy(), right.column("strength").to_numpy()
         order = np.argsort(no, kind="stable")
         no, item, strength = no[order], item[order], strength[order].astype(np.float64)
-        left = left.sort_by([(key, "ascending"), ("kind", "ascending")])
+        left = left.sort_by([("kind", "ascending"), (key, "ascending")])
         question = pa.StructArray.from_arrays([left.column(c).combine_chunks() for c in (key, "kind")], ["key", "kind"])
         change = np.zeros(left.num_rows, bool)
         for c in question.flatten():
@@ -83,32 +87,68 @@ def _block(key: str, limits: dict[str, int]):
         bound = np.append(np.flatnonzero(change), left.num_rows)
         start, end = np.searchsorted(no, left.column("no").to_numpy()), np.searchsorted(no, left.column("no").to_numpy(), "right")
         main, weight, bias = left.column("main").to_numpy(zero_copy_only=False).astype(bool), left.column("weight").to_numpy(), left.column("bias").to_numpy()
-        most = [limits.get(k, 0) for k in left.column("kind").take(pa.array(bound[:-1])).to_pylist()]
-        sums = np.zeros((2, len(names)))
-        out = [[], [], [], []]
-        for n, (lo, hi) in enumerate(zip(bound, bound[1:])):
-            met = []
-            for f in range(lo, hi):
-                some = item[start[f]:end[f]]  # an item offers a feature once
-                sums[0 if main[f] else 1, some] += weight[f] * strength[start[f]:end[f]]
-                met.append(some)
-            seen = np.unique(np.concatenate(met))
-            base, boost = sums[:, seen]
-            sums[:, seen] = 0
-            score = base + boost + np.where(base > 0, bias[lo], 0)
-            keep = np.arange(len(seen))
-            if len(seen) > most[n] > 0:
-                keep = np.flatnonzero(score >= np.partition(score, len(score) - most[n])[len(score) - most[n]])
-            keep = keep[np.lexsort((seen[keep], -score[keep]))][:most[n]]
-            keep = np.union1d(keep, np.flatnonzero(score < 0))
-            for c, values in zip(out, (np.full(len(keep), lo), seen[keep], base[keep], boost[keep])):
-                c.append(values)
-        at, which, base, boost = (np.concatenate(c).astype(np.int64) for c in out)
+        kinds = np.array(left.column("kind").take(pa.array(bound[:-1])).to_pylist(), object)
+        edge = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, [len(kinds)]])
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for first, last in zip(edge[:-1], edge[1:]):  # the questions of a kind
+            some = slice(bound[first], bound[last])
+            met = np.zeros(len(no) + 1, np.int64)
+            np.add.at(met, start[some], 1)
+            np.subtract.at(met, end[some], 1)
+            there = np.zeros(len(names), bool)
+            there[item[np.cumsum(met[:-1]) > 0]] = True
+            here = np.flatnonzero(there)
+            if not len(here):
+                continue
+            place = np.cumsum(there) - 1
+            for row, which, base, boost in _scored(bound[first:last + 1], start, end, main, weight, bias, place[item], strength, len(here), limits.get(kinds[first], 0)):
+                for c, values in zip(out, (bound[first + row], here[which], base, boost)):
+                    c.append(values.astype(np.int64))
+        at, which, base, boost = (np.concatenate(c) for c in out)
         return pa.Table.from_arrays([left.column(key).take(pa.array(at)), left.column("kind").take(pa.array(at)), names.take(pa.array(which)), pa.array(base), pa.array(boost)], schema=schema)
 
     return block
 
 
+def _scored(bound, start, end, main, weight, bias, item, strength, items: int, most: int):
+    """(question, item, base, boost) of the best ``most`` items, and of all below zero, of questions of one kind.
+
+    ``bound``: first feature of each question and the end. Many questions are added up at once, in a table of questions
+    and items of about ``CELLS`` cells.
+    """
+    count = end - start
+    adds = np.concatenate([[0], np.cumsum(count[bound[0]:bound[-1]])])[bound - bound[0]]
+    cost = adds + items * np.arange(len(bound))
+    lo = 0
+    while lo < len(bound) - 1:
+        hi = max(lo + 1, int(np.searchsorted(cost, cost[lo] + CELLS, "right")) - 1)
+        f, rows = slice(bound[lo], bound[hi]), hi - lo
+        n = count[f]
+        at = np.arange(n.sum()) + np.repeat(start[f] - (np.cumsum(n) - n), n)
+        cell = np.repeat(np.repeat(np.arange(rows) * items, np.diff(bound[lo:hi + 1])), n) + item[at]
+        value = np.repeat(weight[f], n) * strength[at]
+        add = lambda own: np.bincount(cell[own], value[own], rows * items).reshape(rows, items)
+        if main[f].all():
+            base, boost = np.bincount(cell, value, rows * items).reshape(rows, items), None
+            score, met = base, base > 0
+        else:
+            own = np.repeat(main[f], n)
+            base, boost = add(own), add(~own)
+            score, met = base + boost, (base > 0) | (boost != 0)
+        score = np.where(met, score + np.where(base > 0, bias[bound[lo:hi]][:, None], 0), -np.inf)
+        least = np.full(rows, np.inf if most <= 0 else -np.inf)
+        if items > most > 0:
+            least = np.partition(score, items - most, axis=1)[:, items - most]
+        row, which = np.nonzero(met & ((score >= least[:, None]) | (score < 0)))
+        worth = score[row, which]
+        order = np.lexsort((which, -worth, row))
+        row, which, worth = row[order], which[order], worth[order]
+        keep = (np.arange(len(row)) - np.searchsorted(row, row) < most) | (worth < 0)
+        row, which = row[keep], which[keep]
+        yield row + lo, which, base[row, which], np.zeros(len(row)) if boost is None else boost[row, which]
+        lo = hi
+
+
 def _by_kind(limits: dict[str, int]) -> Column:
     out = F.lit(0)
     for kind, k in limits.items():

@@ -101,7 +101,7 @@ def article_texts(current):
 def score_fields(spark, d):
     current = bind.current(spark, d)
     contexts = page_contexts(spark, d, current)
-    out = retrieval.retrieve(page_signals(spark, d, contexts), contexts, article_texts(current), limits={"article": 20})
+    out = retrieval.retrieve(page_signals(spark, d, contexts), contexts, materialize(article_texts(current)), limits={"article": 20})
     return out.select("conv_id", "item", F.col("base").alias("base_score"), "rank")
 
 
