@@ -93,9 +93,9 @@ def near_pairs(words: DataFrame, equal_parts: int = EQUAL_PARTS, added_parts: in
                 yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(np.full(rows, role, np.int8)), batch.column(0), batch.column(1)], ["sign", "role", "word", "n"])
 
     signed = words.select("word", "n").mapInArrow(listed, "sign long, role byte, word string, n long")
-    a, b = signed.alias("a"), signed.alias("b")
+    a, b = signed.alias("a"), signed.alias("b")  # Spark takes these to be as small as ``words``, so it must not broadcast them
     meet = (F.col("a.sign") == F.col("b.sign")) & (F.col("a.role") * 3 + F.col("b.role")).isin(0, 5) & ((F.col("a.role") > 0) | (F.col("a.word") < F.col("b.word")))
-    found = a.join(b, meet & (F.levenshtein("a.word", "b.word", 1) == 1))
+    found = a.join(b.hint("merge"), meet & (F.levenshtein("a.word", "b.word", 1) == 1))
     pairs = found.select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")).distinct()
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*")
