@@ -31,8 +31,10 @@ BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piec
 MARK = "▁"
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text in a block, in a run of rows, and of distinct words solved at once; the longest word for the quadratic merger.
-BLOCK, ROWS, RUN, LONG_WORD = 1 << 22, 1 << 20, 1 << 14, 1 << 11
+#: Bytes of text in a block at least, in a run of rows, and of distinct words solved at once; the longest word for the quadratic merger.
+BLOCK, ROWS, RUN, LONG_WORD = 1 << 19, 1 << 20, 1 << 14, 1 << 11
+#: Blocks in a row group: Spark reads and writes thousands of rows at once, and a block is a row of a few MB.
+GROUP_ROWS = 4
 #: An id pair as one number: a shifted by so many bits, plus b.
 SHIFT = 20
 
@@ -188,6 +190,16 @@ def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     return both[0][~again], both[1][~again]
 
 
+def common_ends(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of each side end where one of the other side ends."""
+    out, size = [], max([0, *a.end[-1:], *b.end[-1:]]) + 1
+    for one, other in ((a, b), (b, a)):
+        ends = np.zeros(size, bool)
+        ends[other.end] = True
+        out.append(ends[one.end])
+    return out[0], out[1]
+
+
 @dataclass
 class Aligned:
     """A run of texts: both sides, the overlapping pairs, and the byte offsets at which both sides end."""
@@ -203,10 +215,11 @@ class Aligned:
 
     def digests(self) -> tuple[list[str], np.ndarray]:
         """The sha256 of each text's groups, spelt ``a1,a2|b1;a3|b2`` ('' without tokens), and how many groups it has."""
-        last_a, last_b = np.isin(self.a.end, self.cuts), np.isin(self.b.end, self.cuts)
-        group_a, group_b = np.searchsorted(self.cuts, self.a.end), np.searchsorted(self.cuts, self.b.end)
+        last_a, last_b = common_ends(self.a, self.b)
+        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1  # of each group on both sides
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         ids, mark = np.empty(len(group_a) + len(group_b), np.int64), np.full(len(group_a) + len(group_b), ord(","), np.uint8)
-        at_a, at_b = np.arange(len(group_a)) + np.searchsorted(group_b, group_a), np.arange(len(group_b)) + np.searchsorted(group_a, group_b, "right")
+        at_a, at_b = np.arange(len(group_a)) + np.append(0, stop_b)[group_a], np.arange(len(group_b)) + stop_a[group_b]
         ids[at_a], ids[at_b] = self.a.ids, self.b.ids
         mark[at_a[last_a]], mark[at_b[last_b]] = ord("|"), ord(";")
         size = _decimals().size[ids]
@@ -252,7 +265,7 @@ def align(column, machine: Tokenizers) -> Iterator[Aligned]:
             count = np.where(sound, np.diff(first), 0)
             ends = np.cumsum(size[kept])
             out.append(Side(ids[kept], ends - size[kept], ends, np.concatenate([[0], np.cumsum(count)])))
-        yield Aligned(*out, *overlaps(*out), np.intersect1d(out[0].end, out[1].end, assume_unique=True))
+        yield Aligned(*out, *overlaps(*out), out[0].end[common_ends(*out)[0]])
 
 
 def _loader(docs: DataFrame, byte_bpe: str, piece_model: str):
@@ -328,7 +341,7 @@ def link_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _block(number, held)
 
     bounded_batches(docs)
-    made = materialize(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(blocks, schema))
+    made = materialize(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(blocks, schema), GROUP_ROWS)
     listed = made.select("block", F.explode(F.arrays_zip("pairs", "n_docs")).alias("p")).select("block", F.col("p.pairs").alias("pair"), "p.n_docs")
     counts = materialize(listed.groupBy("pair").agg(F.sum("n_docs").alias("count")).withColumn("a", F.shiftright("pair", SHIFT)))
     judged = counts.join(counts.groupBy("a").agg(F.max("count").alias("top")), "a").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
