@@ -35,6 +35,8 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 BLOCK, ROWS, RUN, LONG_WORD = 1 << 19, 1 << 20, 1 << 14, 1 << 11
 #: Blocks in a row group: Spark reads and writes thousands of rows at once, and a block is a row of a few MB.
 GROUP_ROWS = 4
+#: Distinct words, and ids of theirs, that a worker remembers at most.
+KNOWN_WORDS, KNOWN_IDS = 1 << 18, 1 << 21
 #: An id pair as one number: a shifted by so many bits, plus b.
 SHIFT = 20
 
@@ -101,6 +103,12 @@ class Tokenizers:
         if len(self.b.size) > 1 << SHIFT:
             raise ValueError("too many pieces for the numbering of pairs")
         self.mark = self.pieces.piece_to_id(MARK)
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is known: hashes in order, and for each side the ids of all words, where those of each begin, and how many."""
+        self.known = np.zeros(0, np.uint64)
+        self.solved = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in range(2)]
 
     def first_side(self, text: bytes) -> np.ndarray:
         quick = self.fast is not None and (len(text) <= LONG_WORD or text.count(b" ", 1) > 0)
@@ -110,23 +118,37 @@ class Tokenizers:
         return np.array(self.pieces.encode(text[1:].decode()) or [self.mark], np.int64)
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each side: the ids of the words, one after the other, and how many each word has.
-
-        Distinct words are solved in runs of about ``RUN`` bytes; very long words, and those with a space at the end that
-        would join the next one's, by themselves. A run that isn't spelt as it stands is solved word by word.
-        """
-        _, at, back = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        size = (ends - starts)[at]
-        alone = (size > LONG_WORD) | (data[ends[at] - 1] == 0x20)
+        """For each side: the ids of the words, one after the other, and how many each word has. Distinct words are solved once."""
+        if len(self.known) > KNOWN_WORDS or any(len(ids) > KNOWN_IDS for ids, _, _ in self.solved):
+            self.forget()
+        words, at, back = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.known, words)
+        fresh = np.ones(len(words), bool)
+        inside = spot < len(self.known)
+        fresh[inside] = self.known[spot[inside]] != words[inside]
+        if fresh.any():
+            self._learn(data, starts[at[fresh]], ends[at[fresh]], words[fresh], spot[fresh])
+            spot = np.searchsorted(self.known, words)
+        out = []
+        for ids, begin, count in self.solved:
+            begun, n = begin[spot][back], count[spot][back]
+            before = np.cumsum(n) - n
+            out.append((ids[np.arange(n.sum()) + np.repeat(begun - before, n)], n))
+        return out
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, spot: np.ndarray) -> None:
+        """Solves distinct words in runs of about ``RUN`` bytes; very long ones, and those with a space at the end that
+        would join the next one's, by themselves. A run that isn't spelt as it stands is solved word by word."""
+        size = ends - starts
+        alone = (size > LONG_WORD) | (data[ends - 1] == 0x20)
         order = np.argsort(alone, kind="stable")
-        back, size, begin = np.argsort(order)[back], size[order], starts[at][order]
+        size, begin = size[order], starts[order]
         edge = np.concatenate([[0], np.cumsum(size)])
         joined = data[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)]
         raw, plain = joined.tobytes(), int(len(size) - alone.sum())
         runs = np.unique(np.concatenate([np.searchsorted(edge[:plain + 1], np.arange(0, edge[plain], RUN)), np.arange(plain, len(size) + 1)]))
-        out = []
-        for solve, spelling in ((self.first_side, self.a), (self.second_side, self.b)):
-            pool, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for side, (solve, spelling) in enumerate(((self.first_side, self.a), (self.second_side, self.b))):
+            pool, counts = [self.solved[side][0]], [np.zeros(0, np.int64)]
             for first, last in zip(runs[:-1], runs[1:]):
                 ids = solve(raw[edge[first]:edge[last]])
                 spelt, token_end = spelling.spell(ids)
@@ -139,11 +161,12 @@ class Tokenizers:
                     n = np.array([len(p) for p in parts])
                 pool += parts
                 counts.append(n)
-            pool, count = np.concatenate(pool), np.concatenate(counts)
-            begun, n = np.cumsum(count) - count, count[back]
-            before = np.cumsum(n) - n
-            out.append((pool[np.arange(n.sum()) + np.repeat(begun[back] - before, n)], n))
-        return out
+            count = np.concatenate(counts)
+            of_word = np.argsort(order)
+            begun = (len(pool[0]) + np.cumsum(count) - count)[of_word]
+            _, begin, n = self.solved[side]
+            self.solved[side] = np.concatenate(pool), np.insert(begin, spot, begun), np.insert(n, spot, count[of_word])
+        self.known = np.insert(self.known, spot, words)
 
 
 @lru_cache(maxsize=2)

@@ -306,3 +306,19 @@ def test_blocks_are_held_a_few_at_a_time(spark, monkeypatch):
     groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written[0].inputFiles()]
     sizes = [g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)]
     assert sum(sizes) == 20 and max(sizes) <= alignment.GROUP_ROWS
+
+
+def test_words_of_earlier_runs_are_not_solved_again(monkeypatch):
+    with open(alignment.BYTE_BPE, "rb") as a, open(alignment.PIECE_BPE, "rb") as b:
+        machine = alignment.Tokenizers(a.read(), b.read())
+    solved, plain = [], machine.first_side
+    monkeypatch.setattr(machine, "first_side", lambda text: solved.append(text) or plain(text))
+    texts = [pa.array([f"one two {n % 7} wörds  more  " for n in range(k, k + 40)]) for k in (0, 7, 5)]
+    ids = lambda column: [(r.a.ids.tolist(), r.b.ids.tolist()) for r in alignment.align(column, machine)]
+    first = ids(texts[0])
+    assert solved and ids(texts[1]) == first  # the same words in the same order
+    solved.clear()
+    third = ids(texts[2])
+    assert not solved
+    monkeypatch.setattr(alignment, "KNOWN_WORDS", 3)
+    assert ids(texts[2]) == third and solved
